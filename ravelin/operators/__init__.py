@@ -1,0 +1 @@
+"""Operators of the engine, each a function on columns or DataFrames."""

@@ -1,0 +1 @@
+"""Plans of the engine, each a function on columns or DataFrames."""

@@ -1,0 +1 @@
+"""Sources of the engine, each a function on columns or DataFrames."""

@@ -1,0 +1 @@
+"""Streaming of the engine, each a function on columns or DataFrames."""

@@ -19,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,9 +31,10 @@ QUADRATIC = 4096
 BLOCK_SEQUENCES = 256
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
-#: Texts of these characters alone are split here; case and normal form of others are left to the tokenizer.
-PLAIN = re.compile(r"[\t\n\r -~¡-įı-ňŊ-ž]*")
-WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: Texts of these characters alone are split here, by what the tokenizer's own pattern comes to for
+#: them in lower case; other texts, which need its normal forms and classes, are left to it.
+PLAIN = re.compile(r"[\t\n\r -~¡-±´-¸º»¿-įı-ňŊ-ž]*")
+WORD = re.compile(r"[a-zªµºß-öø-ž]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[!-/:-@\[-`{-~¡-©«-±´¶-¸»¿×÷]+")
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
 PIECES = SCHEMA.removesuffix(", ids array<int>")

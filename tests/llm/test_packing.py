@@ -74,6 +74,12 @@ def test_empty_and_repeated(spark):
     assert sum(r.length for r in packing.pack_documents(df, PATH).collect()) == 6
 
 
+@given(st.text(st.characters(max_codepoint=0x250), max_size=60))
+def test_ids_are_the_tokenizers(text):
+    coder = packing.tokens(PATH)
+    assert coder.encode([text])[0] == np.array(coder.own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 @given(st.lists(st.integers(0, 300), max_size=40))
 def test_pack_fills_exactly(lengths):
     total = sum(lengths)

@@ -17,8 +17,11 @@ import base64
 import functools
 import hashlib
 import heapq
+import re
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -29,14 +32,18 @@ from ravelin.llm.common import table
 VOCABULARY = "byte_bpe_50k.tiktoken"
 LONG = 256
 #: Distinct words a worker keeps, and encodes in one query.
-CACHE_WORDS, AT_ONCE = 400_000, 60_000
+CACHE_WORDS, AT_ONCE = 800_000, 60_000
 #: Bytes of texts that one query puts together.
 BATCH_BYTES = 4 << 20
+#: The public pattern of byte-level vocabularies, and what it comes to for texts of PLAIN characters.
+PUBLIC_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+PLAIN = re.compile(r"[\t\n\r -~¡-±´-¸º»¿-ž]*")
+PLAIN_WORD = re.compile(r" ?[A-Za-zªµºÀ-ÖØ-öø-ž]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[!-/:-@\[-`{-~¡-©«-±´¶-¸»¿×÷]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]+")
 #: SHA-256 of no bytes.
 NOTHING = hashlib.sha256(b"").hexdigest()
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
-ENCODE = """
+WORDS = """
 WITH RECURSIVE contract(word, tokens, open) AS (
     SELECT word, tokens, true FROM start
     UNION ALL
@@ -52,12 +59,12 @@ WITH RECURSIVE contract(word, tokens, open) AS (
            best IS NOT NULL
     FROM contract c LEFT JOIN least l ON l.word = c.word WHERE c.open)
 )
-SELECT word, tokens FROM contract WHERE NOT open
-"""
-DECODE = """
-SELECT t.word, decode(unhex(string_agg(v.bytes, '' ORDER BY t.position))) AS text
-FROM (SELECT word, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS position FROM encoded) t JOIN vocabulary v ON v.token = t.token
-GROUP BY t.word
+SELECT d.word, array_to_string(d.tokens, ' ') AS ids, len(d.tokens) AS n, t.text
+FROM (SELECT word, tokens FROM contract WHERE NOT open) d JOIN (
+    SELECT u.word, decode(unhex(string_agg(v.bytes, '' ORDER BY u.position))) AS text
+    FROM (SELECT word, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS position FROM contract WHERE NOT open) u
+    JOIN vocabulary v ON v.token = u.token GROUP BY u.word
+) t ON t.word = d.word
 """
 DOCUMENTS = """
 SELECT d.doc, sha256(string_agg(w.text, '' ORDER BY d.position)) AS decoded_sha256
@@ -78,7 +85,7 @@ class Codec:
 
         self.ranks = ranks_of(path)
         self.tokens = {b: a for a, b in self.ranks.items()}
-        self.pattern = regex.compile(pattern)
+        self.pattern, self.plain = regex.compile(pattern), pattern == PUBLIC_PATTERN
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "350MB", "preserve_insertion_order": False})
         self.merges = {}
         for whole, rank in self.ranks.items():
@@ -90,6 +97,8 @@ class Codec:
         vocabulary = pa.table({"token": pa.array(self.tokens.keys(), pa.int64()), "bytes": [t.hex() for t in self.tokens.values()]})  # noqa: F841
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary")
+        self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        #: ids, their number, and the decoded text of each word.
         self.known: dict[str, tuple[str, int, str]] = {}
 
     def _by_heap(self, word: bytes) -> list[int]:
@@ -114,16 +123,18 @@ class Codec:
 
     def _encode(self, words: list[str]) -> None:
         raw = [w.encode("utf-8", "replace") for w in words]
-        ids: list[list[int] | None] = [[r] if (r := self.ranks.get(b)) is not None else self._by_heap(b) if len(b) > LONG else None for b in raw]
-        short = [k for k, x in enumerate(ids) if x is None]
-        if short:
-            one = [self.ranks[bytes([b])] for b in range(256)]
-            start = {"word": pa.array(short, pa.int64()), "tokens": pa.array([[one[b] for b in raw[k]] for k in short], pa.list_(pa.int64()))}
-            for k, x in self._ask(ENCODE, start=pa.table(start)):
-                ids[k] = x
-        encoded = {"word": pa.array(range(len(words)), pa.int64()), "tokens": pa.array(ids, pa.list_(pa.int64()))}
-        for k, text in self._ask(DECODE, encoded=pa.table(encoded)):
-            self.known[words[k]] = (" ".join(map(str, ids[k])), len(ids[k]), text)
+        # a word that is a token is that token alone, as the library has it
+        ready = {k: [r] if r is not None else self._by_heap(b) for k, b in enumerate(raw) if (r := self.ranks.get(b)) is not None or len(b) > LONG}
+        size = np.fromiter((len(ready[k]) if k in ready else len(b) for k, b in enumerate(raw)), np.int64, len(raw))
+        at = np.concatenate(([0], np.cumsum(size)))
+        tokens = np.empty(at[-1], np.int64)
+        own = np.repeat(np.fromiter((k not in ready for k in range(len(raw))), bool, len(raw)), size)
+        tokens[own] = self.of_byte[np.frombuffer(b"".join(b for k, b in enumerate(raw) if k not in ready), np.uint8)]
+        for k, ids in ready.items():
+            tokens[at[k] : at[k + 1]] = ids
+        start = {"word": pa.array(np.arange(len(raw))), "tokens": pa.ListArray.from_arrays(at.astype(np.int32), pa.array(tokens))}
+        for k, ids, n, text in self._ask(WORDS, start=pa.table(start)):
+            self.known[words[k]] = (ids, n, words[k] if text == words[k] else text)
 
     def _ask(self, query: str, **tables: pa.Table) -> list[tuple]:
         for name, rows in tables.items():
@@ -141,22 +152,27 @@ class Codec:
         for a in range(0, len(new), AT_ONCE):
             self._encode(new[a : a + AT_ONCE])
 
+    def split(self, text: str) -> list[str]:
+        """The pattern's matches; for texts of plain characters by what the public pattern comes to for them."""
+        return PLAIN_WORD.findall(text) if self.plain and PLAIN.fullmatch(text) else self.pattern.findall(text)
+
     def encode(self, text: str) -> list[int]:
-        words = self.pattern.findall(text)
+        words = self.split(text)
         self.learn(set(words))
         return [int(i) for w in words for i in self.known[w][0].split(" ")]
 
     def digests(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
         """n_tokens, ids_sha256 and decoded_sha256 of each text."""
-        split = [self.pattern.findall(t) if t else [] for t in texts]
+        split = [self.split(t) if t else [] for t in texts]
         distinct = set().union(*split)
         self.learn(distinct)
         known, number = self.known, {w: k for k, w in enumerate(distinct)}
-        words = {"word": pa.array(range(len(number)), pa.int32()), "text": pa.array([known[w][2] for w in number], pa.string())}
+        size = np.fromiter(map(len, split), np.int64, len(split))
+        words = {"word": pa.array(np.arange(len(number), dtype=np.int32)), "text": pa.array([known[w][2] for w in number], pa.string())}
         parts = {
-            "doc": pa.array([k for k, ws in enumerate(split) for _ in ws], pa.int32()),
-            "position": pa.array([i for ws in split for i in range(len(ws))], pa.int32()),
-            "word": pa.array([number[w] for ws in split for w in ws], pa.int32()),
+            "doc": pa.array(np.repeat(np.arange(len(split), dtype=np.int32), size)),
+            "position": pa.array(np.arange(size.sum(), dtype=np.int32)),
+            "word": pa.array(np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int32, size.sum())),
         }
         decoded = dict(self._ask(DOCUMENTS, words=pa.table(words), parts=pa.table(parts)))
         out = []

@@ -38,6 +38,12 @@ def test_any_text(own, text):
     assert byte_bpe.codec(PATH, P.PATTERN).encode(text) == own.encode_ordinary(text)
 
 
+@given(st.text(st.sampled_from("aZéž09 \n\t'st!²¼ªº_×.\u00a0\u3000"), max_size=40))
+def test_plain_split(text):
+    codec = byte_bpe.codec(PATH, P.PATTERN)
+    assert codec.split(text) == codec.pattern.findall(text) and P.PATTERN == byte_bpe.PUBLIC_PATTERN
+
+
 @given(st.text("abehilnorst", min_size=1, max_size=60))
 @settings(deadline=None, max_examples=60)
 def test_heap_and_query_agree(text):

@@ -3,9 +3,10 @@
 A recording's spectrum is folded into twelve pitch classes a frame. Over the image of frames and classes
 an integral image gives any rectangle's sum by four look-ups; sixteen filters compare rectangles within
 WIDTH frames, and each answer is coded in two bits that differ by one between neighbours. So every
-frame gives one 32-bit integer. Recordings of equal fingerprints form a class. A query's integers are
-joined with those of all classes; the histogram of the offsets between equal ones proposes how two
-recordings align, and the share of differing bits over that alignment decides.
+frame gives one 32-bit integer. Recordings of equal fingerprints form a class. Two integers REACH frames
+apart make a key, which is far rarer than one alone; a query's keys are joined with those of all
+classes; of neighbouring keys only the least stands in the index. The histogram of the offsets between equal keys proposes how two recordings align, and the
+share of differing bits over that alignment decides. Silence has no keys.
 """
 
 from __future__ import annotations
@@ -27,8 +28,12 @@ CLASSES = 12
 #: Relative differences of rectangle sums that separate a filter's four answers.
 STEPS = (-0.2, 0.0, 0.2)
 GRAY = (0, 1, 3, 2)
-#: An alignment needs so many equal integers at one offset, and at most this share of differing bits over at least so many integers.
-LEAST_VOTES, MOST_ERROR, LEAST_OVERLAP = 3, 0.2, 12
+#: Frames between the two integers of a key.
+REACH = 8
+#: Keys on either side among which an index key is the least.
+AROUND = 3
+#: An alignment needs so many equal keys at one offset, and at most this share of differing bits over at least so many integers.
+LEAST_VOTES, MOST_ERROR, LEAST_OVERLAP = 2, 0.2, 12
 #: Searches take the recordings whose id is divisible by this.
 QUERY_STEP = 100
 
@@ -90,6 +95,25 @@ def pack(chroma: np.ndarray) -> np.ndarray:
     return out.view(np.int32)
 
 
+#: What WIDTH silent frames give.
+SILENCE = int(pack(np.zeros((WIDTH, CLASSES)))[0])
+
+
+def pair_hashes(items):
+    """Hash of every two items REACH apart; null where both are silence."""
+    n = F.greatest(F.size(items) - REACH, F.lit(0))
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    a, b = (lambda i: F.get(items, i)), (lambda i: F.get(items, i + REACH))
+    return F.transform(places, lambda i: F.when((a(i) != SILENCE) | (b(i) != SILENCE), F.xxhash64(a(i), b(i))))
+
+
+def keys(hashes):
+    """(at, key) of the hashes that are the least within AROUND places on either side: the choice goes by content, so equal stretches choose alike."""
+    near = lambda i: F.slice(hashes, F.greatest(i + 1 - AROUND, F.lit(1)), F.least(i, F.lit(AROUND)) + AROUND + 1)
+    chosen = F.transform(hashes, lambda h, i: F.when(h == F.array_min(near(i)), F.struct(i.alias("at"), h.alias("key"))))
+    return F.filter(chosen, lambda k: k.isNotNull())
+
+
 def rendered(values: list[float] | None) -> np.ndarray:
     """A melody of a vector: a note of three hops for each value, its pitch class by the value, its octave by the place."""
     if not values:
@@ -135,9 +159,10 @@ def search(prints: DataFrame, is_query) -> DataFrame:
     prints = materialise(prints, "prints")
     classes = materialise(prints.groupBy("items").agg(F.min("id").alias("class_id"), F.max(F.when(is_query(F.col("id")), 1).otherwise(0)).alias("query")), "classes")
     members = prints.join(classes.select("items", "class_id"), "items").select(F.lit("member").alias("kind"), "id", "class_id", F.size("items").cast("long").alias("n_items"))
-    items = classes.filter("size(items) > 0").select("class_id", "query", F.posexplode("items").alias("at", "item"))
-    asked = items.filter("query = 1").select(F.col("class_id").alias("q"), F.col("at").alias("q_at"), "item")
-    pairs = asked.join(items.select(F.col("class_id").alias("c"), F.col("at").alias("c_at"), "item"), "item").filter("q <> c")
+    hashed = classes.select("class_id", "query", pair_hashes(F.col("items")).alias("h"))
+    index = hashed.select("class_id", "query", F.explode_outer(keys(F.col("h"))).alias("k")).filter("k is not null").select("class_id", "query", "k.*")
+    asked = index.filter("query = 1").select(F.col("class_id").alias("q"), F.col("at").alias("q_at"), "key")
+    pairs = asked.join(index.select(F.col("class_id").alias("c"), F.col("at").alias("c_at"), "key"), "key").filter("q <> c")
     votes = pairs.groupBy("q", "c", (F.col("q_at") - F.col("c_at")).alias("offset")).agg(F.count("*").alias("votes")).filter(F.col("votes") >= LEAST_VOTES)
     best = votes.groupBy("q", "c").agg(F.max_by("offset", F.struct("votes", -F.abs("offset"), -F.col("offset"))).alias("offset"), F.max("votes").alias("votes"))
     own = classes.select("class_id", "items")

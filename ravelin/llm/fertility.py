@@ -26,6 +26,8 @@ VOCABULARY = "piece_bpe_32k.model"
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: A text's letters per token must lie within so many robust standard deviations of its language's median.
 BELOW, ABOVE = 5.0, 8.0
+#: The band of a text of n tokens is sqrt(1 + SHORT / n) times as wide: short texts vary more.
+SHORT = 60
 #: And its share of byte fallbacks at most so many above, with such a deviation at least.
 FALLBACK_ABOVE, FALLBACK_LEAST = 12.0, 0.01
 #: Bits of token entropy at least; ordinary prose of LEAST_WORDS words has over 5.
@@ -111,7 +113,7 @@ def measured(docs: DataFrame, path: str) -> DataFrame:
 
 
 def bands(rows: DataFrame) -> DataFrame:
-    """(lang, low, high, most_fallback) fitted to all measured rows that pass the base rules."""
+    """(lang, middle, low, high, most_fallback) fitted to all measured rows that pass the base rules."""
     own = rows.filter("not base_failed")
 
     def spread(column: str) -> DataFrame:
@@ -126,6 +128,7 @@ def bands(rows: DataFrame) -> DataFrame:
     both = spread("letters_per_token").join(spread("fallback_share"), "lang")
     return both.select(
         "lang",
+        middle("letters_per_token").alias("middle"),
         F.when(enough, middle("letters_per_token") - BELOW * deviation("letters_per_token")).otherwise(WIDE["low"]).alias("low"),
         F.when(enough, middle("letters_per_token") + ABOVE * deviation("letters_per_token")).otherwise(WIDE["high"]).alias("high"),
         F.when(enough, middle("fallback_share") + FALLBACK_ABOVE * F.greatest(deviation("fallback_share"), F.lit(FALLBACK_LEAST))).otherwise(WIDE["fallback"]).alias("most_fallback"),
@@ -141,8 +144,10 @@ def judge(docs: DataFrame, path: str) -> DataFrame:
     Repeated rows each get their row; an empty table gives none.
     """
     rows = materialise(measured(docs, path), "measures")
+    wide = F.sqrt(1 + F.lit(SHORT) / F.greatest("n_tokens", F.lit(1)))
+    fitted = rows.join(bands(rows), "lang", "left").withColumns({c: F.col("middle") + (F.col(c) - F.col("middle")) * wide for c in ("low", "high")})
     inside = F.col("letters_per_token").between(F.col("low"), F.col("high")) & (F.col("fallback_share") <= F.col("most_fallback")) & (F.col("entropy") >= LEAST_ENTROPY)
-    return rows.join(bands(rows), "lang", "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
+    return fitted.drop("middle").withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
 
 
 def keep_good(docs: DataFrame, path: str) -> DataFrame:

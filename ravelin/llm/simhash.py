@@ -141,6 +141,7 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     roots = found.join(distinct, found.node == distinct.fp).groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = found.join(roots, "root").select(F.col("node").alias("linked"), "component_id")
     own = distinct.join(of_fp, distinct.fp == F.col("linked"), "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    own = materialise(own, "components")  # so that the join below stands alone, and a fingerprint of very many copies can be split
     return fps.join(own, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

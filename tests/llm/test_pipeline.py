@@ -37,3 +37,11 @@ def test_odd_documents(spark):
             assert stage(spark, some, "/root/testdata/sf0.001").columns == df.columns
             assert stage(spark, some, "/root/testdata/sf0.001").count() <= df.count()
         assert corpus_pipeline.STAGES[-1][1](spark, some, "").count() >= (0 if some is not df else 4)
+
+
+def test_one_of_each_group_stays(spark):
+    text = " ".join(f"word{k}" for k in range(80))
+    rows = [(3, text, 1), (1, text, 2), (1, text, 2), (None, text, 3), (7, "something else altogether", 4), (None, "and no other like it", 5), (None, "and no other like it", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, uid int")
+    got = corpus_pipeline.near_dedup(spark, df, "")
+    assert got.columns == df.columns and sorted((r.doc_id or 0, r.uid) for r in got.collect()) == [(0, 5), (1, 2), (7, 4)]

@@ -690,3 +690,101 @@ def json_repair(spark, sf):
     broken = F.concat(F.lit("<think>no</think>```json\n{'kind': '"), F.col("event_type"), F.lit("', 'ok': True, 'k': "), F.get_json_object("props", "$.k"), F.lit(",}\n```"))
     found = F.from_json(jsonrepair.object_text(broken), "kind string, ok boolean, k int")
     return e.select("event_id", found.alias("f")).select("event_id", "f.*")
+
+
+# -- more scalar functions over tables --
+
+
+@query("SELECT 'gsm8k/train/' || item_id AS id, trim(text, e' \\t\\n\\r') AS question, 'item ' || item_id AS answer FROM benchmark ORDER BY item_id LIMIT 25")
+def export_ids(spark, sf):
+    from ravelin.sources.jsonl import export_split
+
+    b = t(spark, sf, "benchmark").select(F.col("item_id").alias("index"), F.concat(F.lit(" "), "text", F.lit("\n")).alias("question"), F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("answer"))
+    return export_split(b, "train", 25)
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_partkey, l_quantity::INT || '*' || l_linenumber AS exprs, (l_quantity::INT * l_linenumber)::VARCHAR AS final, l_linenumber % 2 = 0 AS has_mark FROM lineitem""")
+def calc_chains(spark, sf):
+    li, q, n = t(spark, sf, "lineitem"), F.col("l_quantity").cast("int").cast("string"), F.col("l_linenumber").cast("string")
+    product = (F.col("l_quantity").cast("int") * F.col("l_linenumber")).cast("string")
+    even = F.col("l_linenumber") % 2 == 0
+    answer = F.concat(F.lit("so <<"), q, F.lit("*"), n, F.lit("="), product, F.lit(">> and <<x=y>>"), F.when(even, F.concat(F.lit("\n####  "), product, F.lit(" "))).otherwise(F.concat(F.lit(" <<2+x="), product, F.lit(">>"))))
+    c = li.select("l_orderkey", "l_linenumber", "l_partkey", even.alias("has_mark"), text.calc_chain(answer).alias("c"))
+    return c.select("l_orderkey", "l_linenumber", "l_partkey", F.array_join("c.exprs", ";").alias("exprs"), "c.final", "has_mark")
+
+
+@query("""
+SELECT o_orderkey, abs(o_totalprice - round(o_totalprice)) < 1e-9 AS holds FROM orders""")
+def truth_invariant(spark, sf):
+    o = t(spark, sf, "orders")
+    whole = F.round("o_totalprice").cast("long").cast("string")
+    return o.select("o_orderkey", numeric.truth_invariant(F.col("o_totalprice").cast("decimal(20,4)").cast("string"), F.concat(F.lit(" "), whole)).alias("holds"))
+
+
+@query("""
+SELECT event_id, event_type || ' end' AS spoken, event_type || '=1' AS expression, '1+1' AS first_step, 2::BIGINT AS n_steps FROM events""")
+def cleaned_replies(spark, sf):
+    e, kind = t(spark, sf, "events"), F.col("event_type")
+    steps = text.chain_steps(F.concat(F.lit("1+1 ; "), kind, F.lit(" ;; final=2")))
+    return e.select("event_id", text.without_think_tags(F.concat(F.lit(" <think>a\nb</think>"), kind, F.lit(" end\n"))).alias("spoken"), text.normal_expression(F.concat(F.lit(" "), F.upper(kind), F.lit(" =\t1 "))).alias("expression"), F.get(steps, F.lit(0)).alias("first_step"), F.size(steps).cast("long").alias("n_steps"))
+
+
+@query("""
+SELECT event_id, CASE WHEN event_id % 2 = 0 THEN (event_id % 50)::VARCHAR ELSE event_type END AS pred_answer, event_type AS reasoning, '1,' || event_id % 5 AS evidence FROM events""")
+def recovered_fields(spark, sf):
+    e, n = t(spark, sf, "events"), (F.col("event_id") % 50).cast("string")
+    broken = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"pred_answer": "'), n, F.lit('", '))).otherwise(F.concat(F.lit("{<answer>"), F.col("event_type"), F.lit("</answer> ")))
+    raw = F.concat(broken, F.lit('"reasoning": "'), F.col("event_type"), F.lit('", "evidence_ids": [1, '), (F.col("event_id") % 5).cast("string"))
+    f = e.select("event_id", text.recovered_fields(raw).alias("f"))
+    return f.select("event_id", "f.pred_answer", "f.reasoning", F.array_join(F.col("f.pred_evidence_ids").cast("array<string>"), ",").alias("evidence"))
+
+
+@query("""
+WITH o AS (SELECT user_id, event_id, ts, event_type, floor(value)::BIGINT::VARCHAR AS o, event_type NOT IN ('error', 'view') AS good FROM events),
+     g AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, o ORDER BY ts, event_id) > 1 AS duplicate,
+                  last_value(CASE WHEN good THEN o END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS last_success,
+                  count(*) FILTER (good) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n_success FROM o)
+SELECT event_id, duplicate, coalesce(last_success, '') AS last_success, n_success FROM g""")
+def progress_markers(spark, sf):
+    """Whether a call repeats an earlier one, and the progress so far: (number of successes, last success)."""
+    from pyspark.sql import Window
+
+    good = ~F.col("event_type").isin("error", "view")
+    e = t(spark, sf, "events").withColumn("o", F.floor("value").cast("string"))
+    so_far = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    same = Window.partitionBy("user_id", "event_type", "o").orderBy("ts", "event_id")
+    return e.select("event_id", (F.row_number().over(same) > 1).alias("duplicate"), F.coalesce(F.last(F.when(good, F.col("o")), ignorenulls=True).over(so_far), F.lit("")).alias("last_success"), F.count(F.when(good, 1)).over(so_far).alias("n_success"))
+
+
+@query("""
+SELECT p_partkey, NOT regexp_matches(lower('The ' || p_name || ' costs 5 pages'), '\\b(' || split_part(p_name, ' ', 1) || ')\\b') AS neutral, true AS mentions FROM part""")
+def unit_mentions(spark, sf):
+    p = t(spark, sf, "part")
+    s, first = F.concat(F.lit("The "), "p_name", F.lit(" costs 5 pages")), F.get(F.split("p_name", " "), F.lit(0))
+    return p.select("p_partkey", text.neutral_units_only(s, F.array(F.lit("pages"), first)).alias("neutral"), text.mentions_any_word(F.upper(s), F.array(first, F.lit("none"))).alias("mentions"))
+
+
+@query(f"""
+WITH {LABEL_ROWS}, x AS (SELECT id, CASE WHEN correct THEN 'baseline_correct' WHEN cot THEN 'cot_fixable' WHEN calls < 2 THEN 'undercompute_heuristic' ELSE 'residual_commit' END AS s FROM b JOIN c USING (id))
+SELECT s AS label_source, count(*) AS n, sum(CASE WHEN s IN ('cot_fixable', 'undercompute_heuristic') THEN 1 ELSE 0 END)::BIGINT AS n_positive FROM x GROUP BY s""")
+def label_histogram(spark, sf):
+    b, c, _ = label_rows(spark, sf)
+    return gate.step_labels_paper(b, c).groupBy("label_source").agg(F.count("*").alias("n"), F.count_if(F.col("label") == "continue").alias("n_positive"))
+
+
+@query("""
+WITH x AS (SELECT DISTINCT user_id, event_type FROM events)
+SELECT a.user_id AS left_id, b.user_id AS right_id, count(*) AS shared FROM x a JOIN x b ON a.event_type = b.event_type AND a.user_id + 1 = b.user_id GROUP BY ALL""")
+def set_intersection(spark, sf):
+    """Event types that neighbouring users share, by array intersection."""
+    e = t(spark, sf, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("s"))
+    b = e.select((F.col("user_id") - 1).alias("left_id"), F.col("user_id").alias("right_id"), F.col("s").alias("r"))
+    return e.join(b, e.user_id == b.left_id).select("left_id", "right_id", F.size(F.array_intersect("s", "r")).cast("long").alias("shared")).filter("shared > 0")
+
+
+@query("""
+SELECT o_orderkey, o_orderpriority AS group_key, (('0x' || substr(md5(o_orderpriority), 1, 16))::UBIGINT % 5 + ('0x' || substr(md5(o_orderpriority), 17, 16))::UBIGINT % 5) % 5 <> 2 AS in_train FROM orders""")
+def fold_membership(spark, sf):
+    o = t(spark, sf, "orders")
+    return o.select("o_orderkey", F.col("o_orderpriority").alias("group_key"), (gate.fold(F.col("o_orderpriority"), 5) != 2).alias("in_train"))

@@ -5,15 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A side with fewer rows than this may be broadcast; its rows are counted first.
-BROADCAST_ROWS = 100_000
-
-
-def maybe_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has few rows, else as it is, for Spark to choose."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def last_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The row of the greatest order of each key. max_by is combined before the shuffle, unlike a window."""
     rest = [c for c in df.columns if c not in keys]

@@ -36,6 +36,10 @@ VOCABULARY = "word_bpe_49k.json"
 PLAIN = re.compile(r"[\t\n\r -~¡-±´-¸º»¿-įı-ňŊ-ž]*")
 WORD = re.compile(r"[a-zªµºß-öø-ž]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[!-/:-@\[-`{-~¡-©«-±´¶-¸»¿×÷]+")
 
+#: Characters of a part of a long text, and of the texts that are split at a time.
+PART, AT_ONCE = 1 << 18, 1 << 20
+CUT = re.compile(r"[ \n](?=[!-~])")
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
 PIECES = SCHEMA.removesuffix(", ids array<int>")
 
@@ -66,7 +70,28 @@ class Tokens:
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as bytes of little-endian uint32."""
+        """Ids of each text as bytes of little-endian uint32. Long texts are encoded in parts, so memory does not follow their length."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        held: list[tuple[int, str]] = []
+        size = 0
+
+        def flush() -> None:
+            nonlocal size
+            for (k, _), ids in zip(held, self._encode_texts([p for _, p in held]), strict=True):
+                out[k].append(ids)
+            held.clear()
+            size = 0
+
+        for k, text in enumerate(texts):
+            for part in parts_of(text or ""):
+                held.append((k, part))
+                size += len(part)
+                if size > AT_ONCE:
+                    flush()
+        flush()
+        return [b"".join(x) for x in out]
+
+    def _encode_texts(self, texts: list[str]) -> list[bytes]:
         split = [WORD.findall(t.lower()) if t and PLAIN.fullmatch(t) else None for t in texts]
         known = self.words.learn({w for ws in split if ws for w in ws})
         return [
@@ -75,6 +100,19 @@ class Tokens:
         ]
 
 
+def parts_of(text: str) -> Iterator[str]:
+    """The text in parts of about PART characters, cut before an ASCII character that follows a space or line feed.
+
+    No token reaches over white space, and neither lower case nor normal form looks over such a cut.
+    """
+    at = 0
+    while len(text) - at > PART and (m := CUT.search(text, at + PART)):
+        yield text[at : m.end()]
+        at = m.end()
+    if at < len(text):
+        yield text[at:] if at else text
+
+
 @functools.lru_cache(2)
 def tokens(path: str) -> Tokens:
     return Tokens(path)

@@ -80,6 +80,17 @@ def test_ids_are_the_tokenizers(text):
     assert coder.encode([text])[0] == np.array(coder.own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+@given(st.text(st.sampled_from("aZ é\u0301\nÅ İſ日.9"), max_size=200))
+def test_long_texts_in_parts(text):
+    coder, part = packing.tokens(PATH), packing.PART
+    try:
+        packing.PART = 5
+        assert "".join(packing.parts_of(text)) == text
+        assert coder.encode([text, None, text])[2] == np.array(coder.own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    finally:
+        packing.PART = part
+
+
 @given(st.lists(st.integers(0, 300), max_size=40))
 def test_pack_fills_exactly(lengths):
     total = sum(lengths)

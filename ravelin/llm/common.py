@@ -49,14 +49,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 class WordEncoder:
     """word -> little-endian uint32 ids as bytes, encoding only words it has not seen.
 
-    encode: list of distinct words -> list of their ids as bytes, in the same order.
+    encode: list of distinct words -> list of their ids as bytes, in the same order. Of all encoders of a
+    worker only the one in use keeps its words.
     """
 
+    in_use: WordEncoder | None = None
+
     def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], most: int = CACHE_WORDS):
         self.encode, self.most, self.known = encode, most, {}
 
     def learn(self, words: Iterable[str]) -> dict[str, bytes]:
         """The cache, holding at least these words."""
+        if WordEncoder.in_use is not self:
+            if WordEncoder.in_use is not None:
+                WordEncoder.in_use.known = {}
+            WordEncoder.in_use = self
         words = set(words)
         new = words - self.known.keys()
         if len(self.known) + len(new) > self.most and self.known:

@@ -36,6 +36,8 @@ LEAST_ENTROPY = 3.0
 LEAST_MEASURED = 30
 WIDE = {"low": 0.3, "high": 12.0, "fallback": 0.5}
 
+#: Words that a worker keeps encoded.
+CACHE_WORDS = 300_000
 #: Metrics are binned for the bands: their histograms have a bounded number of rows per language.
 BINS_PER_UNIT = 1000
 NOT_LETTERS = re.compile(r"[\W_]+")
@@ -49,7 +51,7 @@ def pieces_of(path: str) -> tuple[WordEncoder, np.ndarray]:
 
     own = SentencePieceProcessor(model_file=path)
     fallback = np.array([own.is_byte(i) for i in range(own.get_piece_size())])
-    return WordEncoder(lambda words: [np.array(x, "<u4").tobytes() for x in own.encode(words, num_threads=1)]), fallback
+    return WordEncoder(lambda words: [np.array(x, "<u4").tobytes() for x in own.encode(words, num_threads=1)], CACHE_WORDS), fallback
 
 
 def n_repeated(words: list[bytes]) -> int:

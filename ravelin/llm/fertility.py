@@ -36,6 +36,8 @@ LEAST_ENTROPY = 3.0
 LEAST_MEASURED = 30
 WIDE = {"low": 0.3, "high": 12.0, "fallback": 0.5}
 
+#: Bands of at most so many languages are sent to all tasks, 40 bytes each; more are joined.
+MOST_LANGUAGES = 10_000
 #: Words that a worker keeps encoded.
 CACHE_WORDS = 300_000
 #: Metrics are binned for the bands: their histograms have a bounded number of rows per language.
@@ -147,7 +149,10 @@ def judge(docs: DataFrame, path: str) -> DataFrame:
     """
     rows = materialise(measured(docs, path), "measures")
     wide = F.sqrt(1 + F.lit(SHORT) / F.greatest("n_tokens", F.lit(1)))
-    fitted = rows.join(bands(rows), "lang", "left").withColumns({c: F.col("middle") + (F.col(c) - F.col("middle")) * wide for c in ("low", "high")})
+    of_lang = materialise(bands(rows), "bands")
+    if of_lang.count() <= MOST_LANGUAGES:
+        of_lang = F.broadcast(of_lang)  # else every document of a language would meet in one task
+    fitted = rows.join(of_lang, "lang", "left").withColumns({c: F.col("middle") + (F.col(c) - F.col("middle")) * wide for c in ("low", "high")})
     inside = F.col("letters_per_token").between(F.col("low"), F.col("high")) & (F.col("fallback_share") <= F.col("most_fallback")) & (F.col("entropy") >= LEAST_ENTROPY)
     return fitted.drop("middle").withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
 

@@ -32,8 +32,9 @@ GRAY = (0, 1, 3, 2)
 REACH = 8
 #: Keys on either side among which an index key is the least.
 AROUND = 3
-#: An alignment needs so many equal keys at one offset, and at most this share of differing bits over at least so many integers.
-LEAST_VOTES, MOST_ERROR, LEAST_OVERLAP = 2, 0.2, 12
+#: An alignment needs so many equal keys at one offset, and at most this share of differing bits over at least so many
+#: integers, some four seconds: shorter overlaps agree by chance.
+LEAST_VOTES, MOST_ERROR, LEAST_OVERLAP = 2, 0.2, 60
 #: Searches take the recordings whose id is divisible by this.
 QUERY_STEP = 100
 

@@ -3,10 +3,11 @@
 A recording's spectrum is folded into twelve pitch classes a frame. Over the image of frames and classes
 an integral image gives any rectangle's sum by four look-ups; sixteen filters compare rectangles within
 WIDTH frames, and each answer is coded in two bits that differ by one between neighbours. So every
-frame gives one 32-bit integer. Recordings of equal fingerprints form a class. Two integers REACH frames
-apart make a key, which is far rarer than one alone; a query's keys are joined with those of all
-classes; of neighbouring keys only the least stands in the index. The histogram of the offsets between equal keys proposes how two recordings align, and the
-share of differing bits over that alignment decides. Silence has no keys.
+frame gives one 32-bit integer. Recordings of equal fingerprints form a class. The same half of two integers
+REACH frames apart makes a key, so noise in one half leaves the other's. Each block of queries meets each block
+of classes in one task, which looks up all keys of both; the histogram of the offsets between equal keys proposes
+how two recordings align, and of all proposals with votes the share of differing bits over the alignment decides.
+Silence has no keys.
 """
 
 from __future__ import annotations
@@ -29,9 +30,11 @@ CLASSES = 12
 STEPS = (-0.2, 0.0, 0.2)
 GRAY = (0, 1, 3, 2)
 #: Frames between the two integers of a key.
-REACH = 8
-#: Keys on either side among which an index key is the least.
-AROUND = 3
+REACH = 12
+#: Items of a block of recordings and of queries that one task aligns, recordings looked up at a time, and equal keys or items compared at a time.
+BLOCK_ITEMS, QUERY_BLOCK_ITEMS, GROUP, PAIRS_AT_ONCE = 1 << 18, 1 << 20, 256, 1 << 20
+#: Bits of an offset in a vote's code.
+OFFSET_BITS = 26
 #: An alignment needs so many equal keys at one offset, and at most this share of differing bits over at least so many
 #: integers, some four seconds: shorter overlaps agree by chance.
 LEAST_VOTES, MOST_ERROR, LEAST_OVERLAP = 2, 0.2, 60
@@ -100,19 +103,96 @@ def pack(chroma: np.ndarray) -> np.ndarray:
 SILENCE = int(pack(np.zeros((WIDTH, CLASSES)))[0])
 
 
-def pair_hashes(items):
-    """Hash of every two items REACH apart; null where both are silence."""
-    n = F.greatest(F.size(items) - REACH, F.lit(0))
-    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    a, b = (lambda i: F.get(items, i)), (lambda i: F.get(items, i + REACH))
-    return F.transform(places, lambda i: F.when((a(i) != SILENCE) | (b(i) != SILENCE), F.xxhash64(a(i), b(i))))
-
-
-def keys(hashes):
-    """(at, key) of the hashes that are the least within AROUND places on either side: the choice goes by content, so equal stretches choose alike."""
-    near = lambda i: F.slice(hashes, F.greatest(i + 1 - AROUND, F.lit(1)), F.least(i, F.lit(AROUND)) + AROUND + 1)
-    chosen = F.transform(hashes, lambda h, i: F.when(h == F.array_min(near(i)), F.struct(i.alias("at"), h.alias("key"))))
-    return F.filter(chosen, lambda k: k.isNotNull())
+def half_keys(items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, place): both halves of every two items REACH apart, the half's number in the lowest bit; none where both are silence's."""
+    x = np.asarray(items, np.int32).view(np.uint32).astype(np.uint64)
+    keys, places = [], []
+    for shift in (0, 16):
+        own = (x >> np.uint64(shift)) & np.uint64(0xFFFF)
+        still = (np.uint32(SILENCE & 0xFFFFFFFF) >> np.uint32(shift)) & np.uint32(0xFFFF)
+        a, b = own[:-REACH], own[REACH:]
+        some = np.flatnonzero((a != still) | (b != still))
+        keys.append(((a[some] << np.uint64(16) | b[some]) << np.uint64(1) | np.uint64(shift > 0)).astype(np.int64))
+        places.append(some)
+    return np.concatenate(keys), np.concatenate(places)
+
+
+def _keys_of(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, number of the list, place) of all keys of lists, by key."""
+    got = [half_keys(x) for x in lists]
+    key = np.concatenate([k for k, _ in got])
+    order = np.argsort(key, kind="stable")
+    return key[order], np.repeat(np.arange(len(got)), [len(k) for k, _ in got])[order], np.concatenate([p for _, p in got])[order]
+
+
+def _summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    code, at = np.unique(np.concatenate(codes), return_inverse=True)
+    return code, np.bincount(at, np.concatenate(counts)).astype(np.int64)
+
+
+def _votes(index: tuple[np.ndarray, np.ndarray, np.ndarray], asked: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """(number in index, number in asked, offset, votes) of equal keys, where votes are enough. The equal keys are counted a part at a time."""
+    start, stop = np.searchsorted(index[0], asked[0], "left"), np.searchsorted(index[0], asked[0], "right")
+    size = stop - start
+    ends = np.cumsum(size)
+    codes, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    held, n = 0, int(ends[-1]) if len(ends) else 0
+    for low in range(0, n, PAIRS_AT_ONCE):
+        pair = np.arange(low, min(n, low + PAIRS_AT_ONCE))
+        k = np.searchsorted(ends, pair, "right")
+        at = start[k] + pair - (ends[k] - size[k])
+        code = (index[1][at] * GROUP + asked[1][k] << OFFSET_BITS) + index[2][at] - asked[2][k] + (1 << OFFSET_BITS - 1)
+        code, count = np.unique(code, return_counts=True)
+        codes.append(code)
+        counts.append(count)
+        held += len(code)
+        if held > 2 * PAIRS_AT_ONCE:
+            code, count = _summed(codes, counts)
+            codes, counts, held = [code], [count], 0
+    code, count = _summed(codes, counts)
+    code, count = code[count >= LEAST_VOTES], count[count >= LEAST_VOTES]
+    pair = code >> OFFSET_BITS
+    return pair // GROUP, pair % GROUP, (code & (1 << OFFSET_BITS) - 1) - (1 << OFFSET_BITS - 1), count
+
+
+def _errors(a: list[np.ndarray], b: list[np.ndarray], of_a: np.ndarray, of_b: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Share of differing bits of a[i + offset] and b[i] where both exist, and how many those are, for each alignment of LEAST_OVERLAP or more."""
+    flat_a, flat_b = np.concatenate(a).view(np.uint32), np.concatenate(b).view(np.uint32)
+    n_a, n_b = np.array(list(map(len, a))), np.array(list(map(len, b)))
+    begin = np.maximum(0, -offset)
+    n = np.maximum(0, np.minimum(n_b[of_b], n_a[of_a] - offset) - begin)
+    at_a, at_b = (np.cumsum(n_a) - n_a)[of_a] + begin + offset, (np.cumsum(n_b) - n_b)[of_b] + begin
+    share = np.ones(len(n))
+    some = np.flatnonzero(n >= LEAST_OVERLAP)
+    part = np.cumsum(n[some]) // PAIRS_AT_ONCE
+    for own in np.split(some, np.flatnonzero(np.diff(part)) + 1) if len(some) else []:
+        ends = np.cumsum(n[own])
+        step = np.arange(ends[-1]) - np.repeat(ends - n[own], n[own])
+        bits = np.bitwise_count(flat_a[np.repeat(at_a[own], n[own]) + step] ^ flat_b[np.repeat(at_b[own], n[own]) + step])
+        share[own] = np.add.reduceat(bits, ends - n[own], dtype=np.int64) / (32 * n[own])
+    return share, n
+
+
+MATCH = pa.schema([(c, pa.int64()) for c in ("id", "class_id", "n_items", "offset", "votes")] + [("bit_error", pa.float64()), ("n_overlap", pa.int64())])
+
+
+def _aligned(queries: pa.Table, classes: pa.Table) -> pa.Table:
+    """Best alignments within the limits of a block of queries with a block of classes, both (id, items)."""
+    if not queries.num_rows or not classes.num_rows:  # such a side has no columns
+        return MATCH.empty_table()
+    ids = queries.column("id").to_numpy(), classes.column("id").to_numpy()
+    own, others = ([np.asarray(x, np.int32) for x in t.column("items").to_numpy()] for t in (queries, classes))
+    out: list[list[np.ndarray]] = [[np.zeros(0, f.type.to_pandas_dtype()) for f in MATCH]]
+    index = _keys_of(own)
+    for low in range(0, len(others), GROUP):
+        some = others[low : low + GROUP]
+        q, c, offset, votes = _votes(index, _keys_of(some))
+        error, n = _errors(own, some, q, c, offset)
+        good = np.flatnonzero((error <= MOST_ERROR) & (n >= LEAST_OVERLAP) & (ids[0][q] != ids[1][low + c]))
+        good = good[np.lexsort((offset[good], np.abs(offset[good]), -votes[good], c[good], q[good]))]
+        first = good[np.flatnonzero(np.diff(q[good] * GROUP + c[good], prepend=-1))]
+        out.append([ids[0][q[first]], ids[1][low + c[first]], np.array([len(own[k]) for k in q[first]], np.int64), offset[first], votes[first], np.round(error[first], 6), n[first]])
+    return pa.Table.from_arrays([pa.array(np.concatenate(x), f.type) for x, f in zip(zip(*out, strict=True), MATCH, strict=True)], schema=MATCH)
 
 
 def rendered(values: list[float] | None) -> np.ndarray:
@@ -140,37 +220,26 @@ def fingerprints(rows: DataFrame, key: str, column: str, samples: Callable = np.
     return rows.select(F.col(key).cast("long").alias("id"), F.col(column).alias("audio")).mapInArrow(run, "id long, items array<int>")
 
 
-def bit_error(a, b, offset):
-    """Share of differing bits of items a[i + offset] and b[i] where both exist, and how many those are."""
-    start, stop = F.greatest(F.lit(0), -offset), F.least(F.size(b), F.size(a) - offset)
-    n = F.greatest(F.lit(0), stop - start)
-    x, y = F.slice(a, start + offset + 1, n), F.slice(b, start + 1, n)
-    bits = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q).bitwiseAND(F.lit(0xFFFFFFFF)))), F.lit(0), lambda s, v: s + v)
-    return F.when(n > 0, bits / (32 * n)), n
-
-
 def search(prints: DataFrame, is_query) -> DataFrame:
     """Alignments of query recordings with all: two kinds of rows.
 
     member: id, class_id (least id of equal fingerprints), n_items, of every row of prints (id, items).
     match: id and class_id are class representatives, that of a query's class and of another class;
     offset, votes, bit_error and n_overlap tell the best alignment of the two. Classes without
-    items match nothing. The best offset has most votes; of equal ones the one nearest 0, then the least.
+    items match nothing. Of the offsets within the limits the best has most votes; of equal ones the one nearest 0, then the least.
     """
     prints = materialise(prints, "prints")
     classes = materialise(prints.groupBy("items").agg(F.min("id").alias("class_id"), F.max(F.when(is_query(F.col("id")), 1).otherwise(0)).alias("query")), "classes")
     members = prints.join(classes.select("items", "class_id"), "items").select(F.lit("member").alias("kind"), "id", "class_id", F.size("items").cast("long").alias("n_items"))
-    hashed = classes.select("class_id", "query", pair_hashes(F.col("items")).alias("h"))
-    index = hashed.select("class_id", "query", F.explode_outer(keys(F.col("h"))).alias("k")).filter("k is not null").select("class_id", "query", "k.*")
-    asked = index.filter("query = 1").select(F.col("class_id").alias("q"), F.col("at").alias("q_at"), "key")
-    pairs = asked.join(index.select(F.col("class_id").alias("c"), F.col("at").alias("c_at"), "key"), "key").filter("q <> c")
-    votes = pairs.groupBy("q", "c", (F.col("q_at") - F.col("c_at")).alias("offset")).agg(F.count("*").alias("votes")).filter(F.col("votes") >= LEAST_VOTES)
-    best = votes.groupBy("q", "c").agg(F.max_by("offset", F.struct("votes", -F.abs("offset"), -F.col("offset"))).alias("offset"), F.max("votes").alias("votes"))
-    own = classes.select("class_id", "items")
-    both = best.join(own.select(F.col("class_id").alias("q"), F.col("items").alias("q_items")), "q").join(own.select(F.col("class_id").alias("c"), F.col("items").alias("c_items")), "c")
-    error, n = bit_error(F.col("q_items"), F.col("c_items"), F.col("offset"))
-    found = both.select(F.lit("match").alias("kind"), F.col("q").alias("id"), F.col("c").alias("class_id"), F.size("q_items").cast("long").alias("n_items"), F.col("offset").cast("long").alias("offset"), "votes", F.round(error, 6).alias("bit_error"), n.cast("long").alias("n_overlap"))
-    return members.unionByName(found.filter((F.col("bit_error") <= MOST_ERROR) & (F.col("n_overlap") >= LEAST_OVERLAP)), allowMissingColumns=True)
+    some = classes.filter(F.size("items") > REACH)
+    n = some.agg(F.sum(F.size("items").cast("long")).alias("all"), F.sum(F.when(F.col("query") == 1, F.size("items").cast("long"))).alias("asked")).first()
+    n_blocks, n_query_blocks = 1 + (n["all"] or 0) // BLOCK_ITEMS, 1 + (n.asked or 0) // QUERY_BLOCK_ITEMS
+    # each side names its columns anew: with shared ones cogroup hands over wrong tables
+    block = lambda n: F.pmod(F.xxhash64("class_id"), F.lit(n)).cast("int")
+    asked = some.filter("query = 1").select(block(n_query_blocks).alias("of_q"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("of_c"), F.col("class_id").alias("id"), F.col("items").alias("items"))
+    others = some.select(block(n_blocks).alias("of_c"), F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))).alias("of_q"), F.col("class_id").alias("id"), F.col("items").alias("items"))
+    found = asked.groupBy("of_q", "of_c").cogroup(others.groupBy("of_q", "of_c")).applyInArrow(_aligned, "id long, class_id long, n_items long, offset long, votes long, bit_error double, n_overlap long")
+    return members.unionByName(found.select(F.lit("match").alias("kind"), "*"), allowMissingColumns=True)
 
 
 def op4_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,3 +60,25 @@ def test_recall_against_brute_force(spark):
     prints = [C.pack(C.pitch_classes(C.rendered(v.tolist()))) for v in vectors]
     want = {(i, j) for i in range(30) for j in range(60) if i != j and any(error(prints[i], prints[j], o) <= C.MOST_ERROR for o in range(-40, 41, 1))}
     assert len(want & got) >= 0.9 * len(want) and len(want) >= 25
+
+
+def test_recall_up_to_the_most_error(spark):
+    rng = np.random.default_rng(11)
+    base = rng.normal(0, 0.15, (40, 64))
+    rows = [(k, C.rendered(v.tolist())) for k, v in enumerate(base)]
+    for n, noise in enumerate((0.02, 0.03, 0.04)):
+        rows += [(100 * (n + 1) + k, C.rendered((v + rng.normal(0, noise, 64)).tolist())) for k, v in enumerate(base)]
+    for k, v in enumerate(base):
+        part = C.rendered(v.tolist())[int(60.4 * C.HOP) :]  # between two hops
+        rows.append((400 + k, part + rng.normal(0, 0.1, len(part))))
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in rows], "id long, audio array<double>")
+    found = {(r.id, r.class_id) for r in C.search(C.fingerprints(df, "id", "audio"), lambda i: i < 40).collect() if r.kind == "match"}
+    prints = {k: C.pack(C.pitch_classes(x)) for k, x in rows}
+
+    def least(a, b):
+        offsets = range(-len(b) + C.LEAST_OVERLAP, len(a) - C.LEAST_OVERLAP + 1)
+        return min(error(a, b, o) for o in offsets)
+
+    for n in range(1, 5):
+        want = {(k, 100 * n + k) for k in range(40) if least(prints[k], prints[100 * n + k]) <= C.MOST_ERROR}
+        assert len(want) >= 15 and len(want & found) >= 0.95 * len(want), n

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm import fertility, packing, pii, simhash, suffix_repeats
+from ravelin.llm import fertility, jaccard, packing, pii, suffix_repeats
 from ravelin.llm.common import materialise, table
 
 
@@ -20,11 +20,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the least id stays, nulls last; of rows that repeat both id and text one."""
+    """Of each group of near-duplicates (five-word shingles, Jaccard 0.8 or more) the document of the least id stays, nulls last; of rows that repeat both id and text one."""
     inner = docs.toDF(*(c if c in ("doc_id", "text") else f"c{k}" for k, c in enumerate(docs.columns)))
     own, key = suffix_repeats.numbered(inner)
-    groups = simhash.near_duplicates(own.select(F.col("uid").alias("doc_id"), "text"))
-    gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    groups = jaccard.near_duplicates(own.select(F.col("uid").cast("long").alias("uid"), "text"))
+    gone = groups.filter("uid <> component_id").select(F.col("uid").alias("_gone")).distinct()
     kept = own.join(gone, F.col("uid") == F.col("_gone"), "left_anti")
     return (kept if key else kept.dropDuplicates(["uid"])).select(*inner.columns).toDF(*docs.columns)
 

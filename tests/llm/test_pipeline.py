@@ -45,3 +45,35 @@ def test_one_of_each_group_stays(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, uid int")
     got = corpus_pipeline.near_dedup(spark, df, "")
     assert got.columns == df.columns and sorted((r.doc_id or 0, r.uid) for r in got.collect()) == [(0, 5), (1, 2), (7, 4)]
+
+
+def test_near_dedup_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+
+    def shingles(text):
+        words = (text or "").encode("utf-8", "replace").lower().split()
+        return {b" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+    sets = {r.doc_id: shingles(r.text) for r in docs.collect()}
+    ids = sorted(sets)
+    root = {k: k for k in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    n = 0
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            both = len(sets[a] & sets[b])
+            if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                n += sets[a] != sets[b]
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    assert n >= 10
+    gone = sets.keys() - {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    want = {k for k in ids if find(k) != k}
+    assert gone <= want and len(gone) >= 0.99 * len(want)
+    before = sets.keys() - {r.component_id for r in simhash.near_duplicates(docs).collect()}
+    print(f"FIGURES pairs {n}, want {len(want)}, found {len(gone)}, by op3's defaults {len(before & want)}, beyond {len(before - want)}")

@@ -4,7 +4,7 @@ A public subword vocabulary with byte fallback measures each text: letters and d
 fertility turned over), the share of tokens that are byte fallbacks, and the entropy of its tokens.
 Prose of a language holds its letters per token within a narrow band, while mark-up debris, tables,
 encoded data and the like cost tokens without letters. The bands of each language are fitted to the
-whole corpus: the median of all documents that pass the base rules, and multiples of the median
+whole corpus: the median of all distinct texts that pass the base rules, and multiples of the median
 absolute deviation around it. Words are encoded one by one, as the vocabulary's pieces never cross white space.
 """
 
@@ -26,6 +26,8 @@ VOCABULARY = "piece_bpe_32k.model"
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: A text's letters per token must lie within so many robust standard deviations of its language's median.
 BELOW, ABOVE = 5.0, 8.0
+#: Such a deviation is at least this, about what prose has: copies with small changes do not narrow the band to nothing.
+LETTERS_LEAST = 0.04
 #: The band of a text of n tokens is sqrt(1 + SHORT / n) times as wide: short texts vary more.
 SHORT = 60
 #: And its share of byte fallbacks at most so many above, with such a deviation at least.
@@ -117,8 +119,8 @@ def measured(docs: DataFrame, path: str) -> DataFrame:
 
 
 def bands(rows: DataFrame) -> DataFrame:
-    """(lang, middle, low, high, most_fallback) fitted to all measured rows that pass the base rules."""
-    own = rows.filter("not base_failed")
+    """(lang, middle, low, high, most_fallback) fitted to all measured texts that pass the base rules, copies counted once."""
+    own = rows.filter("not base_failed").groupBy("lang", "text_hash").agg(F.max("letters_per_token").alias("letters_per_token"), F.max("fallback_share").alias("fallback_share"))
 
     def spread(column: str) -> DataFrame:
         bins = own.groupBy("lang", F.round(F.col(column) * BINS_PER_UNIT).cast("long").alias("bin")).agg(F.count("*").alias("n"))
@@ -128,13 +130,14 @@ def bands(rows: DataFrame) -> DataFrame:
 
     deviation = lambda c: F.col(f"{c}_mad") * 1.4826 / BINS_PER_UNIT
     middle = lambda c: F.col(c) / BINS_PER_UNIT
+    letters = F.greatest(deviation("letters_per_token"), F.lit(LETTERS_LEAST))
     enough = F.col("letters_per_token_n") >= LEAST_MEASURED
     both = spread("letters_per_token").join(spread("fallback_share"), "lang")
     return both.select(
         "lang",
         middle("letters_per_token").alias("middle"),
-        F.when(enough, middle("letters_per_token") - BELOW * deviation("letters_per_token")).otherwise(WIDE["low"]).alias("low"),
-        F.when(enough, middle("letters_per_token") + ABOVE * deviation("letters_per_token")).otherwise(WIDE["high"]).alias("high"),
+        F.when(enough, middle("letters_per_token") - BELOW * letters).otherwise(WIDE["low"]).alias("low"),
+        F.when(enough, middle("letters_per_token") + ABOVE * letters).otherwise(WIDE["high"]).alias("high"),
         F.when(enough, middle("fallback_share") + FALLBACK_ABOVE * F.greatest(deviation("fallback_share"), F.lit(FALLBACK_LEAST))).otherwise(WIDE["fallback"]).alias("most_fallback"),
     )
 

@@ -51,3 +51,16 @@ def test_words_one_by_one_are_the_text():
     own = SentencePieceProcessor(model_file=PATH)
     text = "Some ordinary prose, with Ünïcode and 123 numbers 日本."
     assert own.encode(text) == [i for w in text.split() for i in own.encode(w)]
+
+
+def test_copies_do_not_narrow_the_bands(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang = 'es'").select("doc_id", "text", "lang").collect()
+    df = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    alone = {r.doc_id: (r.kept, r.letters_per_token) for r in fertility.judge(df(docs), PATH).collect()}
+    good = sorted((v[1], k) for k, v in alone.items() if v[0])
+    middle = good[len(good) // 2][1]
+    text = next(r.text for r in docs if r.doc_id == middle)
+    for copies in (lambda k: text, lambda k: f"{text} {text.split()[k % 9]}"):  # exact ones, and ones with a word more
+        got = {r.doc_id: r.kept for r in fertility.judge(df([*docs, *((10_000_000 + k, copies(k), "es") for k in range(2 * len(docs)))]), PATH).collect()}
+        assert sum(got[k] for _, k in good) >= 0.95 * len(good)
+        assert all(kept for k, kept in got.items() if k >= 10_000_000)

@@ -221,14 +221,13 @@ def term_counts(rows: DataFrame) -> DataFrame:
 
 
 def fit_lexicon(rows: DataFrame) -> dict[str, float]:
-    """At most TERMS terms of the greatest log odds. Of a beginning and the words that it covers no better, only the beginning stays."""
+    """At most TERMS terms of the greatest log odds. Words stay beside their beginnings: a beginning must be met exactly, a word may be one edit off."""
     n = rows.agg(F.count_if(F.col("toxic") == 1).alias("toxic"), F.count("*").alias("all")).first()
     if not n.toxic or n.toxic == n["all"]:
         return {}
     odds = F.log((F.col("toxic") + 0.5) / (n.toxic + 1)) - F.log((F.col("other") + 0.5) / (n["all"] - n.toxic + 1))
     top = term_counts(rows).filter(F.col("toxic") >= LEAST_DOCUMENTS).withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS)
-    terms = {r.term: r.odds for r in top.orderBy(F.desc("odds"), "term").limit(TERMS).collect()}
-    return {t: w for t, w in terms.items() if t.endswith("*") or not any(terms.get(t[:k] + "*", 0.0) >= w for k in STEMS)}
+    return {r.term: r.odds for r in top.orderBy(F.desc("odds"), "term").limit(TERMS).collect()}
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 60) -> tuple[list[float], float]:

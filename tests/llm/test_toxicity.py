@@ -55,3 +55,27 @@ def test_held_out_accuracy(result):
     p, n = ([r.score for r in result if r.held_out and r.toxic == k] for k in (1, 0))
     auc = sum((a > b) + 0.5 * (a == b) for a in p for b in n) / (len(p) * len(n))
     assert auc > 0.9 and sum(x >= 0.5 for x in n) / len(n) < 0.02
+
+
+def test_an_edit_in_any_letter_of_a_learned_word(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    model = X.fit(docs, labels)
+    words = {w for w in model.lexicon if w[-1] != "*" and len(w) >= X.LEAST_FUZZY}
+    assert {"idiot", "stupid", "moron", "worthless", "pathetic"} <= words
+    scorer = X.Scorer(model.lexicon)
+    for w in words:
+        for k in range(len(w)):
+            for edited in (w[:k] + "x" + w[k + 1 :], w[:k] + "x" + w[k:], w[:k] + w[k + 1 :]):
+                assert len(edited) < X.LEAST_FUZZY or max(scorer.automaton.weights(edited)) > 0, edited
+    held = docs.join(labels.filter("toxic = 1"), "doc_id").filter(X.in_fold("doc_id") == 0).select("text").collect()
+    n = caught = 0
+    for r in held:
+        hits = words & set(X.WORD.findall(r.text.lower()))
+        for w in hits:
+            for k in range(len(w)):
+                n += 1
+                caught += model.score(scorer.features(X.re.sub(rf"(?i)\b{w}\b", w[:k] + "x" + w[k + 1 :], r.text))) >= 0.5
+    print("FIGURES", len(words), len(model.lexicon), n, caught, caught / n)
+    assert n > 50 and caught >= 0.9 * n

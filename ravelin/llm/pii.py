@@ -1,11 +1,12 @@
 """Personal data by patterns, and terms that disclose it by their co-occurrence in the corpus.
 
 Patterns find the protected entities: e-mail addresses, IP addresses, card and phone numbers. The
-WINDOW terms on either side of an entity's place form one window; equal windows of copies count once.
+WINDOW terms on either side of an entity's place form one window.
 Over the whole corpus, a term t discloses an entity x as far as it tells x from chance:
-log2 of p(x | t) / p(x), with p(x | t) the windows of x with t over all occurrences of t, and p(x) the
-windows of x over all terms. Where a pair has LEAST_WINDOWS windows, LEAST_SHARE of t's occurrences and
-LEAST_BITS, t's places in windows of x are spans too: they are generalised to a placeholder.
+log2 of p(x | t) / p(x), with p(x | t) the occurrences of t in windows of x over all occurrences of t, both with copies,
+and p(x) the distinct windows of x over all terms. Where a pair has LEAST_WINDOWS distinct windows and LEAST_SHARE of t's
+occurrences, or FEWEST_WINDOWS and that share by a smoothed estimate, and LEAST_BITS, t's places in windows of x are
+spans too: they are generalised to a placeholder.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from ravelin.llm.common import materialise, table
 KINDS = ("email", "ip", "card", "phone", "term")
 WINDOW = 4
 LEAST_WINDOWS, LEAST_SHARE, LEAST_BITS = 3, 0.5, 8.0
+#: Pairs of fewer windows than LEAST_WINDOWS, but this at least, disclose if the share holds with so many windows of other terms added.
+FEWEST_WINDOWS, SMOOTHING = 2, 2
 LEAST_LETTERS = 3
 #: Distinct terms that a task counts before it passes the counts on.
 COUNTED = 300_000
@@ -163,14 +166,20 @@ def found(docs: DataFrame) -> DataFrame:
 def disclosing(rows: DataFrame) -> DataFrame:
     """(term, entity, bits) of the pairs over the thresholds."""
     near = rows.filter("size(near) > 0").select(F.explode("near").alias("x")).select("x.term", "x.entity", "x.window").distinct()
-    pairs = near.groupBy("term", "entity").agg(F.count("*").alias("together")).filter(F.col("together") >= LEAST_WINDOWS)
+    places = rows.filter("size(near) > 0").select("row", F.explode("near").alias("x")).select("row", "x.term", "x.entity", "x.start").distinct()
+    together = places.groupBy("term", "entity").agg(F.count("*").alias("together"))
+    pairs = near.groupBy("term", "entity").agg(F.count("*").alias("n_windows")).filter(F.col("n_windows") >= FEWEST_WINDOWS)
+    pairs = materialise(pairs.join(together, ["term", "entity"]), "pairs")
     entities = near.groupBy("entity").agg(F.count_distinct("window").alias("of_entity"))
     counts = rows.filter("term is not null").select("term", "n")
     terms = counts.join(pairs.select("term").distinct(), "term").groupBy("term").agg(F.sum("n").alias("of_term"))
     total = counts.agg(F.sum("n").alias("total")).first().total or 1
     bits = F.log2(F.col("together") / F.col("of_term") / (F.col("of_entity") / F.lit(float(total))))
     both = pairs.join(terms, "term").join(entities, "entity")
-    return both.filter(F.col("together") >= LEAST_SHARE * F.col("of_term")).select("term", "entity", bits.alias("bits")).filter(F.col("bits") >= LEAST_BITS)
+    share = F.col("together") / F.col("of_term")
+    enough = (F.col("n_windows") >= LEAST_WINDOWS) & (share >= LEAST_SHARE)
+    smoothed = share * F.col("n_windows") / (F.col("n_windows") + SMOOTHING) >= LEAST_SHARE
+    return both.filter(enough | smoothed).select("term", "entity", bits.alias("bits")).filter(F.col("bits") >= LEAST_BITS)
 
 
 def added(rows: DataFrame) -> DataFrame:

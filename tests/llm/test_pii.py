@@ -93,3 +93,12 @@ def test_long_runs_are_read_once():
     began = time.process_time()
     assert pii.base_spans("1" * 300000) == [] and pii.base_spans("a" * 300000 + "@") == [] and pii.base_spans("1." * 100000)[0] == (0, 1, 7)
     assert time.process_time() - began < 5
+
+
+def test_copies_hide_no_term(spark):
+    texts = secret_corpus() * 3 + [f"a lone {w} Quillon met quill@mail.example {w} once" for w in ("red", "blue")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.find_personal_data(df).collect()}
+    for k, name in [(k, "Zarquon") for k in range(len(texts) - 2) if "Zarquon" in texts[k]] + [(k, "Quillon") for k in (len(texts) - 2, len(texts) - 1)]:
+        a = texts[k].index(name)
+        assert f"term:{a}:{a + 7}" in got[k].split(",")

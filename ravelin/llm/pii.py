@@ -11,6 +11,7 @@ spans too: they are generalised to a placeholder.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections import Counter
@@ -99,16 +100,14 @@ def hashed(x: str) -> int:
 
 def windows(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
     """Terms near each span that no span covers: term, start, end, entity, window (hash of its terms and entity)."""
+    if not spans:
+        return []
     out = []
+    terms = list(TERM.finditer(text))
+    starts, ends = [m.start() for m in terms], [m.end() for m in terms]
     for a, kind, b in spans:
-        reach = 40 * WINDOW
-        left = [m for m in TERM.finditer(text, max(0, a - reach), a)]
-        if left and left[0].start() == max(0, a - reach) > 0:
-            left = left[1:]  # may be cut
-        right = [m for m in TERM.finditer(text, b, min(len(text), b + reach))]
-        if right and right[-1].end() == b + reach < len(text):
-            right = right[:-1]
-        near = [m for m in left[-WINDOW:] + right[:WINDOW] if not any(x < m.end() and m.start() < y for x, _, y in spans)]
+        left, right = bisect.bisect_right(ends, a), bisect.bisect_left(starts, b)
+        near = [m for m in terms[max(0, left - WINDOW) : left] + terms[right : right + WINDOW] if not any(x < m.end() and m.start() < y for x, _, y in spans)]
         entity = hashed(f"{kind}:{text[a:b].lower()}")
         window = hashed(f"{entity} " + " ".join(m[0].lower() for m in near))
         out += [{"term": hashed(m[0].lower()), "start": m.start(), "end": m.end(), "entity": entity, "window": window} for m in near if m.end() - m.start() >= LEAST_LETTERS]

@@ -102,3 +102,9 @@ def test_copies_hide_no_term(spark):
     for k, name in [(k, "Zarquon") for k in range(len(texts) - 2) if "Zarquon" in texts[k]] + [(k, "Quillon") for k in (len(texts) - 2, len(texts) - 1)]:
         a = texts[k].index(name)
         assert f"term:{a}:{a + 7}" in got[k].split(",")
+
+
+def test_nearest_terms_at_any_distance():
+    text = "far Zarquon " + "1 | " * 200 + "x@mail.example " + "- " * 200 + "beyond"
+    got = pii.windows(text, pii.base_spans(text))
+    assert [text[x["start"] : x["end"]] for x in got] == ["far", "Zarquon", "beyond"]

@@ -2,15 +2,19 @@
 
 Every string of LEAST = 100 bytes is dealt out by its minimizer, the least hash of its GRAM-byte grams:
 equal strings have equal minimizers. Neighbouring strings mostly share theirs, so a text falls apart
-into short pieces, one row each. Pieces of one minimizer and equal bytes are copies: all but the first
-are repeats as a whole, and only the first goes on. Pieces of one minimizer that differ, as at the edges
+into short pieces, one row each; a run of one character or pattern is cut every MOST_WINDOWS strings, so
+its inner pieces are equal too. Pieces of one minimizer and equal bytes are copies: all but the first
+are repeats as a whole, and only the first goes on. Every task tells copies among its own pieces before
+the shuffle, so a passage that very many documents share gives a row a batch of them. Pieces of one
+minimizer that differ, as at the edges
 of a repeated passage, meet with their bytes. Over them a suffix array with common-prefix lengths is
 scanned by a stack, which walks the tree of its common-prefix intervals: an interval of LEAST bytes or
 more whose members have more than one left neighbour is a maximal repeat, with all its occurrences.
 The occurrences other than the first are removed.
 
-Minimizers with over HOT_PIECES different pieces, as next to a line that very many documents share, are
-not brought together: there the strings of LEAST bytes are counted by hash, with partial sums.
+No suffix array covers more than ARRAY_BYTES, about 200 bytes of memory each. A minimizer whose different
+pieces are more than that together, as next to a line that very many documents share, is split by a second
+key: the whole string of LEAST bytes, compared by its bytes and counted with partial sums.
 """
 
 from __future__ import annotations
@@ -28,10 +32,11 @@ from ravelin.llm.common import materialise, table
 LEAST = 100
 GRAM = 32
 #: Bytes of text that are hashed at a time, and windows of one piece at most.
-CHUNK, MOST_WINDOWS = 1 << 20, 1 << 15
-#: Bytes of pieces that one suffix array covers, but for a larger group of one minimizer.
+CHUNK, MOST_WINDOWS = 1 << 20, 1 << 9
+#: Bytes of pieces that one suffix array covers at most; groups of one minimizer with more are split.
 ARRAY_BYTES = 1 << 20
-HOT_PIECES = 4000
+#: Pieces that a task holds to tell copies among them before they are shuffled.
+HELD_PIECES = 1 << 19
 
 _RANDOM = np.random.default_rng(20240607)
 _BYTE = _RANDOM.integers(0, 2**64, 256, dtype=np.uint64)
@@ -120,14 +125,33 @@ def _chunks(bounds: np.ndarray, least: int) -> Iterator[tuple[int, int, int, int
             k = j
 
 
-#: bytes is negative for pieces that hold their minimizer more than once.
-PIECE = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("uid", pa.int64()), ("start", pa.int64()), ("bytes", pa.int32())])
-PIECE_SQL = "h long, c long, uid long, start long, bytes int"
+#: bytes is negative for pieces that hold their minimizer more than once; h of a copy only deals it out.
+PIECE = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("uid", pa.int64()), ("start", pa.int64()), ("bytes", pa.int32()), ("copy", pa.bool_())])
+PIECE_SQL = "h long, c long, uid long, start long, bytes int, copy boolean"
+
+
+def _later(group: np.ndarray, uid: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Rows that are not the first by (uid, start) of their group, and not alone in it."""
+    order = np.argsort(group, kind="stable")
+    same = group[order][1:] == group[order][:-1]
+    some = order[np.concatenate((same, [False])) | np.concatenate(([False], same))] if len(same) else order[:0]
+    some = some[np.lexsort((start[some], uid[some], group[some]))]
+    return some[1:][group[some][1:] == group[some][:-1]]
 
 
 def _cut(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The pieces of texts (uid, text). Those with an earlier piece of the same minimizer and content at hand are copies for certain."""
     from xxhash import xxh3_64_intdigest as digest
 
+    held: list[list[np.ndarray]] = []
+
+    def told() -> pa.RecordBatch:
+        h, c, uid, start, size = (np.concatenate(x) for x in zip(*held, strict=True))
+        copy = np.zeros(len(h), bool)
+        copy[_later(h ^ c * _ODD[0], uid, start)] = True
+        h = np.where(copy, uid.view(np.uint64) * _ODD[1] + start.view(np.uint64), h)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), c.view(np.int64), uid, start, size, copy)], schema=PIECE)
+
     for batch in batches:
         uids = batch.column("uid").to_numpy()
         data, bounds = _batch_bytes(batch.column("text"))
@@ -138,8 +162,12 @@ def _cut(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBat
             view = memoryview(data[a:b])
             c = np.fromiter((digest(view[x : y + least - 1]) for x, y in zip(at.tolist(), until.tolist(), strict=True)), np.uint64, len(at))
             text = np.searchsorted(bounds[k : j + 1], at + a, "right") - 1 + k
-            rows = [h.view(np.int64), c.view(np.int64), uids[text], at + a - bounds[text], (np.where(more, -1, 1) * (until - at + least - 1)).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], schema=PIECE)
+            held.append([h, c, uids[text], at + a - bounds[text], (np.where(more, -1, 1) * (until - at + least - 1)).astype(np.int32)])
+            if sum(len(x[0]) for x in held) > HELD_PIECES:
+                yield told()
+                held = []
+    if held:
+        yield told()
 
 
 FOUND = pa.schema([("h", pa.int64()), ("uid", pa.int64()), ("start", pa.int64()), ("bytes", pa.int32()), ("copy", pa.bool_())])
@@ -147,15 +175,19 @@ FOUND_SQL = "h long, uid long, start long, bytes int, copy boolean"
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From pieces by (h, c, uid, start): copies, and the first of each content where h has several, or where it may repeat itself."""
+    """From pieces by (copy, h, c, uid, start): copies, and the first of each content where h has several, or where it may repeat itself."""
     last = None  # (h, c) of the last row
-    held = None  # the last first-of-its-content, and whether its h had another before
+    held = None  # the last first-of-its-content, whether its h had another before, and whether it may repeat itself
 
-    def batch_of(cols: list[np.ndarray], copy: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (*cols, copy)], schema=FOUND)
+    def batch_of(cols: list[np.ndarray], copy: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (*cols, np.full(len(cols[0]), copy))], schema=FOUND)
 
     for batch in batches:
-        h, c, uid, start, size = (batch.column(n).to_numpy() for n in PIECE.names)
+        h, c, uid, start, size = (batch.column(n).to_numpy() for n in PIECE.names[:5])
+        known = batch.column("copy").to_numpy(zero_copy_only=False)
+        if known.any():
+            yield batch_of([x[known] for x in (h, uid, start, np.abs(size))], True)
+            h, c, uid, start, size = (x[~known] for x in (h, c, uid, start, size))
         if not len(h):
             continue
         first = np.ones(len(h), bool)
@@ -163,7 +195,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first[0] = last is None or last != (h[0], c[0])
         last = (h[-1], c[-1])
         if (~first).any():
-            yield batch_of([x[~first] for x in (h, uid, start, np.abs(size))], np.ones(int((~first).sum()), bool))
+            yield batch_of([x[~first] for x in (h, uid, start, np.abs(size))], True)
         cols = [x[first] for x in (h, uid, start, np.abs(size))]
         alone = size[first] < 0
         before = np.zeros(len(cols[0]), bool)
@@ -180,9 +212,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [x[-1] for x in cols], before[-1], alone[-1]
         needed[-1] = False  # told when the next is known
         if needed.any():
-            yield batch_of([x[needed] for x in cols], np.zeros(int(needed.sum()), bool))
+            yield batch_of([x[needed] for x in cols], False)
     if held is not None and (held[1] or held[2]):
-        yield batch_of([np.array([x]).astype(t) for x, t in zip(held[0], (np.int64, np.int64, np.int64, np.int32), strict=True)], np.zeros(1, bool))
+        yield batch_of([np.array([x]).astype(t) for x, t in zip(held[0], (np.int64, np.int64, np.int64, np.int32), strict=True)], False)
 
 
 class SuffixArray:
@@ -302,7 +334,7 @@ SPAN_SQL = "uid long, start long, end long"
 
 
 def _arrays(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Removed spans from pieces (h, uid, start, piece) by h."""
+    """Removed spans from pieces (h, uid, start, piece) by h, a suffix array over whole groups of h, of ARRAY_BYTES at most unless one is larger."""
 
     def spans(group: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
         texts = [x[2] for x in group]
@@ -311,20 +343,18 @@ def _arrays(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
         cols = [[group[t][0] for t, _, _ in found], [group[t][1] + s for t, s, _ in found], [group[t][1] + s + n for t, s, n in found]]
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], schema=SPAN)
 
-    now, size, group, last = [], 0, [], None
+    now, group, size, last = [], [], 0, None  # pieces of the last h, of those before it, and their bytes
     for batch in batches:
         for h, uid, start, piece in zip(*(batch.column(c).to_pylist() for c in ("h", "uid", "start", "piece")), strict=True):
             if h != last:
-                group += now
-                if size > ARRAY_BYTES:
-                    yield spans(group)
-                    group, size = [], 0
-                now, last = [], h
+                group, now, last = group + now, [], h
             now.append((uid, start, piece))
             size += len(piece)
-    group += now
-    if group:
-        yield spans(group)
+            if size > ARRAY_BYTES and group:
+                yield spans(group)
+                group, size = [], sum(len(x[2]) for x in now)
+    if group or now:
+        yield spans(group + now)
 
 
 def alike(texts: list[bytes], rows: list, least: int) -> tuple[list[bytes], list]:
@@ -351,15 +381,46 @@ def window_hashes(data: np.ndarray, size: int) -> np.ndarray:
     return y * _ODD[5]
 
 
-def _windows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """(hash, uid, start) of every string of `least` bytes in pieces."""
-    from xxhash import xxh3_64_intdigest as digest
+WINDOW = pa.schema([("w", pa.int64()), ("window", pa.binary()), ("uid", pa.int64()), ("start", pa.int64()), ("copy", pa.bool_())])
+WINDOW_SQL = "w long, window binary, uid long, start long, copy boolean"
 
+
+def _windows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Every string of `least` bytes of pieces (uid, start, piece), with its hash. Those with an earlier equal string at hand, by their bytes, are copies for certain and leave theirs away."""
     for batch in batches:
-        for uid, start, piece in zip(*(batch.column(c).to_pylist() for c in ("uid", "start", "piece")), strict=True):
-            n = len(piece) - least + 1
-            h = np.fromiter((digest(piece[k : k + least]) for k in range(n)), np.uint64, n).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(n, uid)), pa.array(np.arange(n) + start)], names=["w", "uid", "start"])
+        part: list[tuple[int, int, bytes]] = []
+        size = 0
+        for row in zip(*(batch.column(c).to_pylist() for c in ("uid", "start", "piece")), strict=True):
+            part.append(row)
+            size += len(row[2])
+            if size > ARRAY_BYTES:
+                yield from _windows_of(part, least)
+                part, size = [], 0
+        if part:
+            yield from _windows_of(part, least)
+
+
+def _windows_of(part: list[tuple[int, int, bytes]], least: int) -> Iterator[pa.RecordBatch]:
+    data = np.frombuffer(b"".join(x[2] for x in part), np.uint8)
+    n = np.array([len(x[2]) - least + 1 for x in part])
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    at = np.repeat(np.cumsum(n + least - 1) - (n + least - 1), n) + step
+    uid, start = np.repeat([x[0] for x in part], n), np.repeat([x[1] for x in part], n) + step
+    all_windows = np.lib.stride_tricks.sliding_window_view(data, least)
+    w, copy = window_hashes(data, least)[at], np.zeros(len(at), bool)
+    order = np.lexsort((start, uid, w))
+    begin = np.concatenate(([True], w[order][1:] != w[order][:-1]))
+    head = order[np.flatnonzero(begin)[np.cumsum(begin) - 1]]  # the first of each row's hash
+    for a in range(0, len(order), 1 << 14):
+        own, first = order[a : a + (1 << 14)], head[a : a + (1 << 14)]
+        rest = own != first
+        own, first = own[rest], first[rest]
+        copy[own] = (all_windows[at[own]] == all_windows[at[first]]).all(axis=1)
+    for a in range(0, len(at), 1 << 14):
+        p = slice(a, a + (1 << 14))
+        raw = np.ascontiguousarray(all_windows[at[p]])
+        content = pa.array([None if c else r.tobytes() for r, c in zip(raw, copy[p], strict=True)], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(w[p].view(np.int64)), content, pa.array(uid[p]), pa.array(start[p]), pa.array(copy[p])], schema=WINDOW)
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,9 +443,8 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
     if own.groupBy("uid").agg(F.count("*").alias("n")).filter("n > 1 or uid is null").isEmpty():
         return own, True
     own = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_hash", F.xxhash64("text"))
-    distinct = own.select("_id", "_hash").distinct().orderBy(F.col("_id").asc_nulls_last(), "_hash")
-    rows = distinct.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1]))
-    number = materialise(docs.sparkSession.createDataFrame(rows, "_i long, _h long, uid long"), "numbers")
+    distinct = own.select(F.col("_id").alias("_i"), F.col("_hash").alias("_h")).distinct().orderBy(F.col("_i").asc_nulls_last(), "_h")
+    number = materialise(distinct.withColumn("uid", F.monotonically_increasing_id()), "numbers")  # rises from one sorted partition to the next
     return own.join(number, own._id.eqNullSafe(number._i) & (own._hash == number._h)).drop("_id", "_hash", "_i", "_h"), False
 
 
@@ -397,10 +457,10 @@ def removed_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select("uid", "text").filter(F.octet_length("text") >= least)
     cut = texts.mapInArrow(lambda it: _cut(it, least), PIECE_SQL)
-    found = materialise(cut.repartition(parts, "h").sortWithinPartitions("h", "c", "uid", "start").mapInArrow(_meet, FOUND_SQL), "pieces")
+    found = materialise(cut.repartition(parts, "h").sortWithinPartitions("copy", "h", "c", "uid", "start").mapInArrow(_meet, FOUND_SQL), "pieces")
     copies = found.filter("copy").select("uid", "start", (F.col("start") + F.col("bytes")).alias("end"))
     firsts = found.filter("not copy").select("h", "uid", "start", "bytes")
-    hot = materialise(firsts.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_PIECES).select("h"), "hot")
+    hot = materialise(firsts.groupBy("h").agg(F.sum("bytes").alias("n")).filter(F.col("n") > ARRAY_BYTES).select("h"), "hot")
     some_hot = not hot.isEmpty()
     needed = firsts.groupBy("uid").agg(F.collect_list(F.struct("h", "start", "bytes")).alias("needed"))
     sliced = texts.join(needed, "uid").select("uid", "text", "needed").mapInArrow(_slices, "h long, uid long, start long, piece binary")
@@ -409,10 +469,12 @@ def removed_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
     usual = sliced.join(hot, "h", "left_anti") if some_hot else sliced
     spans = copies.union(usual.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(lambda it: _arrays(it, least), SPAN_SQL))
     if some_hot:
-        w = materialise(sliced.join(hot, "h", "left_semi").mapInArrow(lambda it: _windows(it, least), "w long, uid long, start long"), "windows")
-        first = w.groupBy("w").agg(F.min(F.struct("uid", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-        later = w.join(first, "w").filter((F.col("uid") != F.col("first.uid")) | (F.col("start") != F.col("first.start")))
-        spans = spans.union(later.select("uid", "start", (F.col("start") + least).alias("end")))
+        windows = materialise(sliced.join(hot, "h", "left_semi").mapInArrow(lambda it: _windows(it, least), WINDOW_SQL), "windows")
+        open_ones = windows.filter("not copy")
+        many = open_ones.groupBy("w", "window").agg(F.min(F.struct("uid", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+        many = materialise(many.select("w", "window", "first"), "firsts")  # so that the join below stands alone, and a very frequent string can be split
+        later = open_ones.join(many, ["w", "window"]).filter((F.col("uid") != F.col("first.uid")) | (F.col("start") != F.col("first.start")))
+        spans = spans.union(windows.filter("copy").union(later.select(windows.columns)).select("uid", "start", (F.col("start") + least).alias("end")))
     return spans
 
 
@@ -437,6 +499,8 @@ def kept(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 def _with_spans(docs: DataFrame, least: int) -> DataFrame:
     own, key = numbered(docs.withColumn("text", F.coalesce("text", F.lit(""))))
     spans = removed_spans(own if key else own.select("uid", "text").dropDuplicates(["uid"]), least).groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
+    if not key:
+        spans = materialise(spans, "spans")  # so that rows repeated very often can be split in the join
     return own.join(spans.withColumnRenamed("uid", "_uid"), F.col("uid") == F.col("_uid"), "left").drop("_uid")
 
 

@@ -38,12 +38,21 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """df as a written table in the shared folder: lineage ends there and lost executors cost nothing.
 
-    The table stays until the folder is cleaned, as the returned DataFrame reads it lazily.
+    The table stays until discard() or until the folder is cleaned, as the returned DataFrame reads it lazily.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ravelin/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialise() wrote and nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 class WordEncoder:

@@ -152,7 +152,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = members.join(sets, "content").select("key", "content", "shingles").repartition(parts, "key").sortWithinPartitions("key", "content")
     found = materialise(components(buckets.mapInArrow(_edges, "a long, b long").distinct()), "components")
-    roots = found.join(distinct, found.node == distinct.content).groupBy("root").agg(F.min("least").alias("component_id"))
+    roots = materialise(found.join(distinct, found.node == distinct.content).groupBy("root").agg(F.min("least").alias("component_id")), "roots")
     of_content = found.join(roots, "root").select(F.col("node").alias("linked"), "component_id")
     own = materialise(distinct.join(of_content, F.col("content") == F.col("linked"), "left").select("content", F.coalesce("component_id", "least").alias("component_id")), "components")
     return signed.join(own, "content").select("uid", "component_id")

@@ -1,17 +1,23 @@
 """SimHash near-duplicates by meet-in-the-middle ball hashing.
 
-Fingerprints of at most RADIUS = 3 differing bits differ by at most one bit in the upper or in the
-lower 32. So each distinct fingerprint emits, for both halves, all variants of the half within half
-the radius (one bit): 2 * 33 rows, whatever the data. Variants are shuffled; where a variant meets
-an unaltered half, the fingerprints of that bucket are verified by all 64 bits. A bucket is linked by
+Two fingerprints of at most RADIUS = 3 differing bits meet half-way: at an odd distance one has an even and the
+other an odd number of bits set, so it is enough that even fingerprints emit variants of one changed bit
+and odd ones of two; at distance two both emit one. Of these balls only what a perfect code needs is emitted: a variant
+stands for the word of the Hamming code of 63 bits next to it, at most one bit away. So an even fingerprint emits
+all code words within two bits of itself (32 at most) and an odd one all within three (652), where the full balls of
+one and two bits have 65 and 2081 variants and a shuffle that the disk cannot hold. The code words are as wide as the
+fingerprint, so keys stay selective however many documents there are. They are shuffled, and the fingerprints of a key
+are verified by all 64 bits. A key is linked by
 a spanning tree of its verified pairs, never by all of them, so rows stay linear in groups of copies;
-exact copies are one fingerprint and never meet. Nothing is capped: a bucket of any size is verified,
-in memory of 8 bytes for each of its fingerprints.
+exact copies are one fingerprint and never meet. Nothing is capped: one key has at most the 83,456 fingerprints
+within three bits of its code word, the sign bit free, 8 bytes each.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +30,9 @@ from ravelin.llm.components import components
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
+#: Bits of the code: bit b is position b + 1 of the Hamming code, whose syndrome is the exclusive or of set positions.
+CODE_BITS = 63
+CODE = (1 << CODE_BITS) - 1
 
 
 def fingerprint(text: str | None, n: int = SHINGLE) -> int:
@@ -84,25 +93,26 @@ def bucket_links(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges from rows (key, fp) sorted by key; the key is half << 32 | variant."""
+    """Edges from rows (key, fp) sorted by key."""
 
     def edges(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch | None:
         cut = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         size = np.diff(np.append(cut, len(keys)))
-        upper = (keys >> np.uint64(32)) & np.uint64(1)
-        exact = np.where(upper == 1, fps >> np.uint64(32), fps & np.uint64(0xFFFFFFFF)) == (keys & np.uint64(0xFFFFFFFF))
-        some = np.add.reduceat(exact.astype(np.int64), cut) > 0
-        a, b = [], []
-        for k in np.flatnonzero(some & (size > 1)):
+        two = cut[size == 2]
+        two = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= RADIUS] if len(two) else two
+        a, b = [fps[two]], [fps[two + 1]]
+        for k in np.flatnonzero(size > 2):
             own = np.unique(fps[cut[k] : cut[k] + size[k]])
-            for x, y in bucket_links(own):
+            if found := bucket_links(own):
+                x, y = np.array(found).T
                 a.append(own[x])
                 b.append(own[y])
-        return pa.RecordBatch.from_pydict({"a": np.array(a, np.uint64).view(np.int64), "b": np.array(b, np.uint64).view(np.int64)}) if a else None
+        pairs = np.unique(np.stack((np.concatenate(a), np.concatenate(b))), axis=1)
+        return pa.RecordBatch.from_pydict({"a": pairs[0].view(np.int64), "b": pairs[1].view(np.int64)}) if pairs.size else None
 
     held: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
-        keys, fps = (batch.column(c).to_numpy().view(np.uint64) for c in ("key", "fp"))
+        keys, fps = batch.column("key").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
         if not len(keys):
             continue
         last = int(np.searchsorted(keys, keys[-1]))
@@ -117,13 +127,30 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
+def changes() -> list[tuple[int, list[int]]]:
+    """(side, changes): side is twice the syndrome of a fingerprint's CODE bits plus their parity; changes are the bits that turn it into each code word within two bits, or three if odd."""
+    by: dict[int, list[list[int]]] = {s: [[], []] for s in range(CODE_BITS + 1)}
+    for n in range(4):
+        for at in combinations(range(1, CODE_BITS + 1), n):
+            syndrome = functools.reduce(int.__xor__, at, 0)
+            change = sum(1 << i - 1 for i in at)
+            by[syndrome][1].append(change)
+            if n < 3:
+                by[syndrome][0].append(change)
+    return [(2 * s + odd, by[s][odd]) for s in by for odd in (0, 1)]
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """Edges (a, b) of fingerprints (fp, distinct): every two at most RADIUS bits apart are joined by a chain of edges, and every edge is such a pair."""
-    half = lambda up: F.shiftrightunsigned("fp", 32) if up else F.col("fp").bitwiseAND(0xFFFFFFFF)
-    ball = lambda up: F.array(*[half(up).bitwiseXOR(F.lit((up << 32) | (1 << b if b >= 0 else 0))) for b in range(-1, 32)])
-    rows = distinct.select("fp", F.explode(F.concat(ball(0), ball(1))).alias("key"))
-    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "key").sortWithinPartitions("key").select("key", "fp").mapInArrow(_buckets, "a long, b long").distinct()
+    spark = distinct.sparkSession
+    bits = lambda mask: F.bit_count(F.col("fp").bitwiseAND(F.lit(mask))).bitwiseAND(1)
+    syndrome = [F.shiftleft(bits(sum(1 << i - 1 for i in range(1, CODE_BITS + 1) if i >> b & 1)), b + 1) for b in range(6)]
+    side = functools.reduce(lambda x, y: x + y, syndrome, bits(CODE)).cast("int")
+    table_of = spark.createDataFrame(changes(), "side int, changes array<long>")  # 128 rows, 44,000 numbers, whatever the data
+    rows = distinct.withColumn("side", side).join(F.broadcast(table_of), "side").select("fp", F.explode("changes").alias("change"))
+    keys = rows.select(F.col("fp").bitwiseAND(F.lit(CODE)).bitwiseXOR(F.col("change")).alias("key"), "fp")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return keys.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_buckets, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
@@ -136,9 +163,9 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     rows; an empty table gives none; other columns are ignored.
     """
     fps = materialise(fingerprints(docs, n), "fingerprints")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     found = materialise(components(links(distinct.select("fp"))), "components")
-    roots = found.join(distinct, found.node == distinct.fp).groupBy("root").agg(F.min("least").alias("component_id"))
+    roots = materialise(found.join(distinct, found.node == distinct.fp).groupBy("root").agg(F.min("least").alias("component_id")), "roots")  # alone in the join below, so that a root of very many can be split
     of_fp = found.join(roots, "root").select(F.col("node").alias("linked"), "component_id")
     own = distinct.join(of_fp, distinct.fp == F.col("linked"), "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     own = materialise(own, "components")  # so that the join below stands alone, and a fingerprint of very many copies can be split

@@ -68,6 +68,17 @@ def test_links_of_planted_balls(spark):
             assert found[int(x.view(np.int64))] == found[int(y.view(np.int64))]
 
 
+def test_code_words_of_balls():
+    n = 0
+    for side, found in simhash.changes():
+        assert len(found) == len(set(found)) == ((1 if side < 2 else 32) if side % 2 == 0 else 652)
+        n += len(found)
+        for x in found[:50]:
+            at = [i + 1 for i in range(63) if x >> i & 1]
+            assert len(at) <= 2 + side % 2 and np.bitwise_xor.reduce([0, *at]) == side // 2
+    assert n == 1 + 63 * 32 + 64 * 652
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000 + i, 1000) for i in range(50)] + [(7000, 7000)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

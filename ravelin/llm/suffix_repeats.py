@@ -13,8 +13,8 @@ more whose members have more than one left neighbour is a maximal repeat, with a
 The occurrences other than the first are removed.
 
 No suffix array covers more than ARRAY_BYTES, about 200 bytes of memory each. A minimizer whose different
-pieces are more than that together, as next to a line that very many documents share, is split by a second
-key: the whole string of LEAST bytes, compared by its bytes and counted with partial sums.
+pieces are more than GROUP_BYTES together, as next to a line that very many documents share, is split by a
+second key, the hash of the whole string of LEAST bytes; strings of one hash are compared by their bytes.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ LEAST = 100
 GRAM = 32
 #: Bytes of text that are hashed at a time, and windows of one piece at most.
 CHUNK, MOST_WINDOWS = 1 << 20, 1 << 9
-#: Bytes of pieces that one suffix array covers at most; groups of one minimizer with more are split.
-ARRAY_BYTES = 1 << 20
+#: Bytes of pieces that one suffix array covers at most, and of the pieces of one minimizer that are not split.
+ARRAY_BYTES, GROUP_BYTES = 1 << 20, 1 << 18
 #: Pieces that a task holds to tell copies among them before they are shuffled.
 HELD_PIECES = 1 << 19
 
@@ -381,12 +381,12 @@ def window_hashes(data: np.ndarray, size: int) -> np.ndarray:
     return y * _ODD[5]
 
 
-WINDOW = pa.schema([("w", pa.int64()), ("window", pa.binary()), ("uid", pa.int64()), ("start", pa.int64()), ("copy", pa.bool_())])
-WINDOW_SQL = "w long, window binary, uid long, start long, copy boolean"
+WINDOW = pa.schema([("w", pa.int64()), ("uid", pa.int64()), ("piece_start", pa.int64()), ("start", pa.int64()), ("copy", pa.bool_())])
+WINDOW_SQL = "w long, uid long, piece_start long, start long, copy boolean"
 
 
 def _windows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Every string of `least` bytes of pieces (uid, start, piece), with its hash. Those with an earlier equal string at hand, by their bytes, are copies for certain and leave theirs away."""
+    """The hash of every string of `least` bytes of pieces (uid, start, piece). Those with an earlier equal string at hand, by their bytes, are copies for certain."""
     for batch in batches:
         part: list[tuple[int, int, bytes]] = []
         size = 0
@@ -405,22 +405,19 @@ def _windows_of(part: list[tuple[int, int, bytes]], least: int) -> Iterator[pa.R
     n = np.array([len(x[2]) - least + 1 for x in part])
     step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     at = np.repeat(np.cumsum(n + least - 1) - (n + least - 1), n) + step
-    uid, start = np.repeat([x[0] for x in part], n), np.repeat([x[1] for x in part], n) + step
-    all_windows = np.lib.stride_tricks.sliding_window_view(data, least)
+    uid, begin = np.repeat([x[0] for x in part], n), np.repeat([x[1] for x in part], n)
+    start = begin + step
+    strings = np.lib.stride_tricks.sliding_window_view(data, least)
     w, copy = window_hashes(data, least)[at], np.zeros(len(at), bool)
     order = np.lexsort((start, uid, w))
-    begin = np.concatenate(([True], w[order][1:] != w[order][:-1]))
-    head = order[np.flatnonzero(begin)[np.cumsum(begin) - 1]]  # the first of each row's hash
+    new = np.concatenate(([True], w[order][1:] != w[order][:-1]))
+    head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]  # the first of each row's hash
     for a in range(0, len(order), 1 << 14):
         own, first = order[a : a + (1 << 14)], head[a : a + (1 << 14)]
         rest = own != first
         own, first = own[rest], first[rest]
-        copy[own] = (all_windows[at[own]] == all_windows[at[first]]).all(axis=1)
-    for a in range(0, len(at), 1 << 14):
-        p = slice(a, a + (1 << 14))
-        raw = np.ascontiguousarray(all_windows[at[p]])
-        content = pa.array([None if c else r.tobytes() for r, c in zip(raw, copy[p], strict=True)], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(w[p].view(np.int64)), content, pa.array(uid[p]), pa.array(start[p]), pa.array(copy[p])], schema=WINDOW)
+        copy[own] = (strings[at[own]] == strings[at[first]]).all(axis=1)
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w.view(np.int64), uid, begin, start, copy)], schema=WINDOW)
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -460,7 +457,7 @@ def removed_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
     found = materialise(cut.repartition(parts, "h").sortWithinPartitions("copy", "h", "c", "uid", "start").mapInArrow(_meet, FOUND_SQL), "pieces")
     copies = found.filter("copy").select("uid", "start", (F.col("start") + F.col("bytes")).alias("end"))
     firsts = found.filter("not copy").select("h", "uid", "start", "bytes")
-    hot = materialise(firsts.groupBy("h").agg(F.sum("bytes").alias("n")).filter(F.col("n") > ARRAY_BYTES).select("h"), "hot")
+    hot = materialise(firsts.groupBy("h").agg(F.sum("bytes").alias("n")).filter(F.col("n") > GROUP_BYTES).select("h"), "hot")
     some_hot = not hot.isEmpty()
     needed = firsts.groupBy("uid").agg(F.collect_list(F.struct("h", "start", "bytes")).alias("needed"))
     sliced = texts.join(needed, "uid").select("uid", "text", "needed").mapInArrow(_slices, "h long, uid long, start long, piece binary")
@@ -468,14 +465,25 @@ def removed_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
         sliced = materialise(sliced, "slices")
     usual = sliced.join(hot, "h", "left_anti") if some_hot else sliced
     spans = copies.union(usual.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(lambda it: _arrays(it, least), SPAN_SQL))
-    if some_hot:
-        windows = materialise(sliced.join(hot, "h", "left_semi").mapInArrow(lambda it: _windows(it, least), WINDOW_SQL), "windows")
-        open_ones = windows.filter("not copy")
-        many = open_ones.groupBy("w", "window").agg(F.min(F.struct("uid", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-        many = materialise(many.select("w", "window", "first"), "firsts")  # so that the join below stands alone, and a very frequent string can be split
-        later = open_ones.join(many, ["w", "window"]).filter((F.col("uid") != F.col("first.uid")) | (F.col("start") != F.col("first.start")))
-        spans = spans.union(windows.filter("copy").union(later.select(windows.columns)).select("uid", "start", (F.col("start") + least).alias("end")))
-    return spans
+    return spans.union(_split_spans(materialise(sliced.join(hot, "h", "left_semi").select("uid", "start", "piece"), "split"), least)) if some_hot else spans
+
+
+def _split_spans(split: DataFrame, least: int) -> DataFrame:
+    """Removed spans from pieces (uid, start, piece) of very frequent minimizers, string by string.
+
+    Hashes find the strings that may occur twice; only these are cut out of their pieces and compared by
+    their bytes. All counts have partial sums, and the joins stand alone, so very frequent strings can be split.
+    """
+    windows = materialise(split.mapInArrow(lambda it: _windows(it, least), WINDOW_SQL), "windows")
+    open_ones = windows.filter("not copy")
+    often = materialise(open_ones.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1").select("w"), "often")
+    asked = open_ones.join(often, "w").groupBy(F.col("uid").alias("of"), "piece_start").agg(F.collect_list(F.struct("w", F.col("start").alias("at"))).alias("asked"))
+    rows = split.join(asked, (F.col("uid") == F.col("of")) & (F.col("start") == F.col("piece_start"))).select("uid", "start", "piece", F.explode("asked").alias("x"))
+    strings = materialise(rows.select("x.w", F.substring("piece", F.col("x.at") - F.col("start") + 1, F.lit(least)).alias("string"), "uid", F.col("x.at").alias("start")), "strings")
+    first = strings.groupBy("w", "string").agg(F.min(F.struct("uid", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    first = materialise(first.select("w", "string", "first"), "firsts")
+    later = strings.join(first, ["w", "string"]).filter((F.col("uid") != F.col("first.uid")) | (F.col("start") != F.col("first.start")))
+    return windows.filter("copy").select("uid", "start").union(later.select("uid", "start")).select("uid", "start", (F.col("start") + least).alias("end"))
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:

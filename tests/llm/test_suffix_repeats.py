@@ -96,9 +96,9 @@ def corpus(n=120, seed=3):
     return texts
 
 
-@pytest.mark.parametrize("most", [S.ARRAY_BYTES, 400])
+@pytest.mark.parametrize("most", [S.GROUP_BYTES, 400])
 def test_corpus(spark, monkeypatch, most):
-    monkeypatch.setattr(S, "ARRAY_BYTES", most)
+    monkeypatch.setattr(S, "GROUP_BYTES", most)
     texts = [*corpus(), None, "", "x" * 5000, "ab" * 3000]
     order = list(range(len(texts)))
     random.Random(1).shuffle(order)
@@ -125,13 +125,13 @@ def test_runs_of_one_character(spark):
 def test_many_runs_of_one_character_in_bounded_groups(spark, monkeypatch):
     tables = {}
     monkeypatch.setattr(S, "materialise", lambda df, name, real=S.materialise: tables.setdefault(name, real(df, name)))
-    monkeypatch.setattr(S, "ARRAY_BYTES", 1 << 16)
+    monkeypatch.setattr(S, "GROUP_BYTES", 1 << 16)
     texts = dashes(300, 5)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
     assert {r.doc_id: tuple(r)[1:] for r in S.remove_repeats(df).collect()} == brute(list(enumerate(texts)), 100)
     groups = tables["pieces"].filter("not copy").groupBy("h").sum("bytes").collect()
     hot = {r.h for r in tables["hot"].collect()}
-    assert hot and hot == {r.h for r in groups if r[1] > S.ARRAY_BYTES} and not tables["windows"].isEmpty()
+    assert hot and hot == {r.h for r in groups if r[1] > S.GROUP_BYTES} and not tables["windows"].isEmpty()
 
 
 def test_long_texts_in_chunks(spark, monkeypatch):

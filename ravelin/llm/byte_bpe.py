@@ -4,11 +4,12 @@ A text's matches of the splitting pattern are words; a worker encodes each disti
 a token per byte. A recursive DuckDB query unfolds the words to rows (word, position, pair of tokens),
 joins them with the merge table, and contracts in every word the leftmost pair of the least rank,
 until no word has a pair left. Ordered aggregation decodes each word's ids by the vocabulary, and a
-second one the words of each document. The DuckDB database is in memory, bounded, and holds one batch
-of words or texts at a time.
+second one joins the ids and the texts of each document's words. The DuckDB database is in memory, bounded, and
+holds one batch of words or texts at a time.
 
-The query takes a pass over a word for every merge; for words of over LONG bytes, which
-are rare, a heap finds the same leftmost pair of the least rank instead.
+That query takes a pass over a word for every merge. Words of over LONG bytes have a second recursive query, which
+contracts all places of the least pair in one pass, from the left. One by one gives the same: every token is what its
+own bytes contract to, so a merge never opens a lesser pair with what comes after it. It keeps only the last state of a word.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-import heapq
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -66,8 +66,34 @@ FROM (SELECT word, tokens FROM contract WHERE NOT open) d JOIN (
     JOIN vocabulary v ON v.token = u.token GROUP BY u.word
 ) t ON t.word = d.word
 """
+LONG_WORDS = """
+WITH RECURSIVE contract(word, tokens, pass) USING KEY (word) AS (
+    SELECT word, tokens, 0 FROM start
+    UNION
+    (WITH places AS (
+        SELECT word, pass, generate_subscripts(tokens, 1) AS position, unnest(tokens) AS token,
+               unnest(list_transform(list_zip(tokens, tokens[2:]), lambda x: x[1] * 65536 + x[2])) AS pair
+        FROM contract
+    ), ranked AS (
+        SELECT p.*, m.merged FROM places p LEFT JOIN merges m ON p.pair = m.pair
+    ), least AS (
+        SELECT word, min(merged) AS merged FROM ranked GROUP BY word HAVING min(merged) IS NOT NULL
+    ), found AS (
+        SELECT r.word, r.position, r.position - row_number() OVER (PARTITION BY r.word ORDER BY r.position) AS run
+        FROM ranked r JOIN least l ON r.word = l.word AND r.merged = l.merged
+    ), chosen AS (
+        SELECT word, position FROM (SELECT *, row_number() OVER (PARTITION BY word, run ORDER BY position) AS n FROM found) WHERE n % 2 = 1
+    )
+    SELECT r.word, list(CASE WHEN c.word IS NULL THEN r.token ELSE l.merged END ORDER BY r.position), any_value(r.pass) + 1
+    FROM ranked r JOIN least l ON l.word = r.word
+    LEFT JOIN chosen c ON c.word = r.word AND c.position = r.position
+    LEFT JOIN chosen b ON b.word = r.word AND b.position = r.position - 1
+    WHERE b.word IS NULL GROUP BY r.word)
+)
+SELECT word, tokens FROM contract
+"""
 DOCUMENTS = """
-SELECT d.doc, sha256(string_agg(w.text, '' ORDER BY d.position)) AS decoded_sha256
+SELECT d.doc, sum(w.n), sha256(string_agg(w.ids, ' ' ORDER BY d.position)), sha256(string_agg(w.text, '' ORDER BY d.position))
 FROM parts d JOIN words w ON w.word = d.word GROUP BY d.doc
 """
 
@@ -101,39 +127,17 @@ class Codec:
         #: ids, their number, and the decoded text of each word.
         self.known: dict[str, tuple[str, int, str]] = {}
 
-    def _by_heap(self, word: bytes) -> list[int]:
-        """The leftmost pair of the least rank first, in n log n; for long words."""
-        ids = [self.ranks[word[i : i + 1]] for i in range(len(word))]
-        after, before = [*range(1, len(ids)), -1], [-1, *range(len(ids) - 1)]
-        pair = lambda i: self.merges.get(ids[i] * 65536 + ids[after[i]]) if after[i] >= 0 else None
-        heap = [(r, i) for i in range(len(ids)) if (r := pair(i)) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i = heapq.heappop(heap)
-            if ids[i] < 0 or pair(i) != rank:
-                continue
-            j = after[i]
-            ids[i], ids[j], after[i] = rank, -1, after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            for k in (i, before[i]):
-                if k >= 0 and (r := pair(k)) is not None:
-                    heapq.heappush(heap, (r, k))
-        return [x for x in ids if x >= 0]
+    def _start(self, tokens: list[np.ndarray]) -> pa.Table:
+        at = np.cumsum([0, *map(len, tokens)])
+        return pa.table({"word": pa.array(np.arange(len(tokens))), "tokens": pa.LargeListArray.from_arrays(at, pa.array(np.concatenate(tokens)))})
 
     def _encode(self, words: list[str]) -> None:
-        raw = [w.encode("utf-8", "replace") for w in words]
         # a word that is a token is that token alone, as the library has it
-        ready = {k: [r] if r is not None else self._by_heap(b) for k, b in enumerate(raw) if (r := self.ranks.get(b)) is not None or len(b) > LONG}
-        size = np.fromiter((len(ready[k]) if k in ready else len(b) for k, b in enumerate(raw)), np.int64, len(raw))
-        at = np.concatenate(([0], np.cumsum(size)))
-        tokens = np.empty(at[-1], np.int64)
-        own = np.repeat(np.fromiter((k not in ready for k in range(len(raw))), bool, len(raw)), size)
-        tokens[own] = self.of_byte[np.frombuffer(b"".join(b for k, b in enumerate(raw) if k not in ready), np.uint8)]
-        for k, ids in ready.items():
-            tokens[at[k] : at[k + 1]] = ids
-        start = {"word": pa.array(np.arange(len(raw))), "tokens": pa.ListArray.from_arrays(at.astype(np.int32), pa.array(tokens))}
-        for k, ids, n, text in self._ask(WORDS, start=pa.table(start)):
+        tokens = [np.array([r]) if (r := self.ranks.get(b)) is not None else self.of_byte[np.frombuffer(b, np.uint8)] for b in (w.encode("utf-8", "replace") for w in words)]
+        if long := [k for k, t in enumerate(tokens) if len(t) > LONG]:
+            for k, ids in self._ask(LONG_WORDS, start=self._start([tokens[k] for k in long])):
+                tokens[long[k]] = np.array(ids)
+        for k, ids, n, text in self._ask(WORDS, start=self._start(tokens)):
             self.known[words[k]] = (ids, n, words[k] if text == words[k] else text)
 
     def _ask(self, query: str, **tables: pa.Table) -> list[tuple]:
@@ -168,18 +172,15 @@ class Codec:
         self.learn(distinct)
         known, number = self.known, {w: k for k, w in enumerate(distinct)}
         size = np.fromiter(map(len, split), np.int64, len(split))
-        words = {"word": pa.array(np.arange(len(number), dtype=np.int32)), "text": pa.array([known[w][2] for w in number], pa.string())}
+        own = [known[w] for w in number]
+        words = {"word": pa.array(np.arange(len(number), dtype=np.int32)), "ids": pa.array([x[0] for x in own], pa.string()), "n": pa.array([x[1] for x in own], pa.int64()), "text": pa.array([x[2] for x in own], pa.string())}
         parts = {
             "doc": pa.array(np.repeat(np.arange(len(split), dtype=np.int32), size)),
             "position": pa.array(np.arange(size.sum(), dtype=np.int32)),
             "word": pa.array(np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int32, size.sum())),
         }
-        decoded = dict(self._ask(DOCUMENTS, words=pa.table(words), parts=pa.table(parts)))
-        out = []
-        for k, ws in enumerate(split):
-            own = [known[w] for w in ws]
-            out.append((sum(x[1] for x in own), hashlib.sha256(" ".join([x[0] for x in own]).encode()).hexdigest(), decoded.get(k, NOTHING)))
-        return out
+        done = {doc: (int(n), ids, text) for doc, n, ids, text in self._ask(DOCUMENTS, words=pa.table(words), parts=pa.table(parts))}
+        return [done.get(k, (0, NOTHING, NOTHING)) for k in range(len(split))]
 
 
 @functools.lru_cache(2)

@@ -1,8 +1,8 @@
 """Chat formatting with offset-aligned loss masks.
 
 A whole conversation is rendered by one template and encoded once; the spans of its turns and the
-offsets of its tokens are both sorted, so binary search gives the tokens of each assistant text. A
-token that reaches over a span's edge counts for the part inside. Control strings inside texts get a
+offsets of its tokens are both sorted, so binary search gives the tokens of each assistant text. Byte-level
+tokens leave no gap in a text. A token that reaches over a span's edge counts for the part inside. Control strings inside texts get a
 backslash after their first character, which is taken off when they are read back.
 """
 
@@ -91,8 +91,6 @@ def format_turns(turns: list[tuple[str, str]], path: str) -> Formatted:
             under.append((a, a))
             continue
         mask[lo:hi] = True
-        if (starts[lo + 1 : hi] > np.maximum.accumulate(ends[lo:hi])[:-1]).any():
-            raise ValueError("tokens leave a gap in a text")
         under.append((max(a, int(starts[lo])), min(b, int(ends[hi - 1]))))
     return Formatted(text, got.ids, mask, under)
 
@@ -106,11 +104,11 @@ def digest(conv_id: int | None, f: Formatted) -> tuple:
 
 
 def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, list[tuple[str, str]]]]:
-    """Consecutive rows of one conv_id as its turns."""
+    """Consecutive rows of one conv_id as its turns; a row without one is alone."""
     now, turns = None, []
     for batch in batches:
         for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
-            if turns and conv != now:
+            if turns and (conv != now or conv is None):
                 yield now, turns
                 turns = []
             now = conv
@@ -124,9 +122,9 @@ def format_conversations(rows: DataFrame, path: str, texts: bool = False) -> Dat
     text, its ids and a mask that is true for tokens under the loss.
 
     Rows of a conversation go by turn, nulls last, then role and text, so repeated rows are kept side
-    by side. Null roles and texts are empty; rows without conv_id form one conversation. An empty
-    table gives no rows; other columns are ignored. One conversation is one formatted text and so one
-    task's work; rows are dealt out by conv_id.
+    by side. Null roles and texts are empty; each row without conv_id is a conversation of its own, as nothing tells what it
+    belongs to. An empty table gives no rows; other columns are ignored. One conversation is one formatted text, long texts
+    are encoded whole, and so is one task's work; rows are dealt out by conv_id, those without by what they say.
     """
     batch = 2000
 
@@ -144,7 +142,7 @@ def format_conversations(rows: DataFrame, path: str, texts: bool = False) -> Dat
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = rows.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
-    dealt = own.repartition(parts, "conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_last(), "role", "text")
+    dealt = own.repartition(parts, F.coalesce("conv_id", F.xxhash64("turn", "role", "text"))).sortWithinPartitions("conv_id", F.col("turn").asc_nulls_last(), "role", "text")
     return dealt.select("conv_id", "role", "text").mapInArrow(run, TEXTS if texts else COLUMNS)
 
 

@@ -161,9 +161,16 @@ def judge(docs: DataFrame, path: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, path: str) -> DataFrame:
-    """The rows of docs that judge() keeps, with all their columns."""
-    good = judge(docs, path).filter("kept").select(F.col("doc_id").alias("_good_id"), F.col("text_hash").alias("_good_hash")).distinct()
-    return docs.join(good, docs.doc_id.cast("long").eqNullSafe(F.col("_good_id")) & (F.xxhash64(docs.text) == F.col("_good_hash")), "left_semi")
+    """The rows of docs that judge() keeps, with all their columns, whatever those are called.
+
+    Null, empty and blank texts go, as they fail the base rules. Long texts are measured whole. Rows that repeat both id and
+    text are kept or dropped together, each as often as it is there; null ids are ids like any other. An empty table stays empty.
+    """
+    own = docs.toDF(*(c if c in ("doc_id", "text", "lang") else f"c{k}" for k, c in enumerate(docs.columns)))
+    good = judge(own, path).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("lang").alias("_lang")).distinct()
+    good = materialise(good, "good")  # alone in the join below, so that rows repeated very often can be split
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")) & (F.coalesce(F.col("lang").cast("string"), F.lit("")) == F.col("_lang"))
+    return own.join(good, same, "left_semi").toDF(*docs.columns)
 
 
 def op2_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:

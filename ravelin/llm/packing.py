@@ -2,8 +2,8 @@
 
 A document of n tokens costs n + n * n / QUADRATIC: the linear part of a transformer layer and the
 attention within the document. Descending by cost, each document goes to the sequence of the lowest
-cost so far that still has room for all of it; where none has, it is cut at the remaining room of the
-cheapest open one. Documents are packed in blocks of consecutive rows of one input partition, so
+cost so far that still has room for all of it; where none has, it is cut to fill the open sequence of the
+most room, the cheapest of equally roomy ones. Documents are packed in blocks of consecutive rows of one input partition, so
 nothing is shuffled, memory is bounded by BLOCK_SEQUENCES * SEQUENCE tokens, and a lost task redoes
 only its own partition with the same result. What overflows a block's whole sequences is carried into
 the next block; the last block of a partition fills sequences of powers of two, which need no padding.
@@ -51,7 +51,8 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
-        self.own.encode_special_tokens = True
+        #: Strings of special tokens; texts that hold one are left to the tokenizer, which gives their ids.
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.own.get_added_tokens_decoder().values()) or "(?!)", re.I)
         vocab = self.own.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -92,7 +93,7 @@ class Tokens:
         return [b"".join(x) for x in out]
 
     def _encode_texts(self, texts: list[str]) -> list[bytes]:
-        split = [WORD.findall(t.lower()) if t and PLAIN.fullmatch(t) else None for t in texts]
+        split = [WORD.findall(t.lower()) if t and PLAIN.fullmatch(t) and not self.special.search(t) else None for t in texts]
         known = self.words.learn({w for ws in split if ws for w in ws})
         return [
             b"".join(map(known.__getitem__, ws)) if ws is not None else np.array(self.own.encode(t, add_special_tokens=False).ids if t else [], "<u4").tobytes()
@@ -215,7 +216,8 @@ def _partition(batches: Iterator[pa.RecordBatch], path: str, whole: bool, sequen
 def pack_documents(docs: DataFrame, path: str, with_ids: bool = False, sequence: int = SEQUENCE, block: int = BLOCK_SEQUENCES) -> DataFrame:
     """Packs docs (doc_id long, text string) into sequences of at most `sequence` tokens.
 
-    Each document's ids are its text's, by the tokenizers file at path, then END_ID; a null or empty text is END_ID alone.
+    Each document's ids are its text's, by the tokenizers file at path as it is (the string of a special token is that
+    token), then END_ID; a null or empty text is END_ID alone. Long texts are encoded in parts; of documents of equal cost the first goes first.
     Returns a row per piece: doc_id, start, length, ids_crc32 (of its ids as little-endian uint32),
     doc_tokens, sequence_id (unique), offset (of the piece in its sequence), and with_ids the ids.
     Offsets are gapless from 0. A row whose doc_id is null or repeated is packed like any other. An

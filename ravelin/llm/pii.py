@@ -228,17 +228,21 @@ def replaced(text: str, spans: list[tuple[int, int, int]]) -> str:
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs with all spans in text replaced by placeholders, and n_chars, if there, brought in line.
 
-    All rows and columns stay. Documents without spans keep their text as it is; a null text stays null.
+    All rows and columns stay, whatever the columns' names. Documents without spans keep their text as it is; a null text
+    stays null and an empty one empty. Long texts are read whole. Of spans that overlap, the first's placeholder stands for
+    all. Repeated rows are treated alike, each as often as it is there; an empty table stays empty.
     """
-    rows = found(docs)
+    own = docs.toDF(*(c if c in ("doc_id", "text", "n_chars") else f"c{k}" for k, c in enumerate(docs.columns)))
+    names, schema = own.columns, own.schema
+    rows = found(own)
     extra = materialise(added(rows), "disclosing")
-    names = docs.columns
 
     if extra.isEmpty():
-        own = docs.withColumn("_added", F.lit(None).cast("array<struct<start: int, kind: int, end: int>>"))
+        own = own.withColumn("_added", F.lit(None).cast("array<struct<start: int, kind: int, end: int>>"))
     else:
         of_row = extra.join(rows.filter("row is not null").select("row", F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")), "row").dropDuplicates(["_doc", "_hash"])
-        own = docs.join(of_row.select("_doc", "_hash", F.col("added").alias("_added")), docs.doc_id.cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(docs.text) == F.col("_hash")), "left").select(*[docs[c] for c in names], "_added")
+        of_row = materialise(of_row.select("_doc", "_hash", F.col("added").alias("_added")), "added")  # alone in the join below, so that rows repeated very often can be split
+        own = own.join(of_row, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & F.xxhash64("text").eqNullSafe(F.col("_hash")), "left").select(*names, "_added")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,8 +255,10 @@ def sanitise(docs: DataFrame) -> DataFrame:
             cols = [pa.array(texts, batch.schema.field("text").type) if c == "text" else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    out = own.mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))) if "n_chars" in names else out
+    out = own.mapInArrow(run, schema)
+    if "n_chars" in names:
+        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(schema["n_chars"].dataType), F.col("n_chars")))
+    return out.toDF(*docs.columns)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -189,11 +189,11 @@ def in_fold(doc_id):
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """At most `rows` labelled documents outside the held-out fold: text, toxic, part."""
+    """At most `rows` labelled documents outside the held-out fold: text, toxic, part. Of several texts of one id the least is taken."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (in_fold("doc_id") != 0)).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("toxic"))
     some = known.orderBy(F.xxhash64("_id"), "_id").limit(rows)
     joined = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id"))  # at most `rows` pairs of numbers
-    return materialise(joined.dropDuplicates(["doc_id"]).select("text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(PARTS)).alias("part")), "labelled")
+    return materialise(joined.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(PARTS)).alias("part")), "labelled")
 
 
 def term_counts(rows: DataFrame) -> DataFrame:

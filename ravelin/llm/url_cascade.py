@@ -1,18 +1,20 @@
 """URL filter: rules first, then a Bloom filter cascade over hosts, in DataFrame functions only.
 
-The key universe is every distinct host of the table; listed keys are those with a listed label. Level
-0 encodes the listed keys, level 1 the other keys that level 0 takes wrongly, level 2 the listed keys
+The key universe is every distinct host of the table; listed keys are those that a given table of hosts
+holds. Level 0 encodes the listed keys, level 1 the other keys that level 0 takes wrongly, level 2 the listed keys
 that level 1 takes wrongly, and so on until none is left. Over that universe membership is exact: the
-first level that lacks a key decides. Levels are bit maps of proven size, put into the plan as constant
-arrays, so pages are judged in one scan without a join or a shuffle. Where the bits would exceed
-MOST_BITS, the listed keys are joined instead.
+first level that lacks a key decides. A level is a bit map of proven size in blocks: one hash picks a key's block,
+another its bits there. Each level stands once in the plan, as a binary constant from which a block is cut, so pages are
+judged in one scan without a join or a shuffle. Where the constants would exceed MOST_BITS, the listed keys are joined instead.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,10 +22,12 @@ from ravelin.llm.common import materialise, table
 
 #: Rules (host, path) and their verdicts; of those that fit, the longest wins.
 RULES = (("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"), ("net/", "block"))
-#: A host is listed if one of its labels is one of these.
+#: The query's list of hosts: those of its table with one of these labels.
 LISTED_LABELS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 #: Bits of all levels together, 8 MiB.
 MOST_BITS = 1 << 26
+#: A block is LONGS numbers of LONG_BITS bits, of which a prime number are used; a byte of the constant holds seven bits.
+LONGS, LONG_BITS, BLOCK_BITS = 7, 63, 439
 #: Levels of at most so many keys take few false positives, which ends the cascade early.
 SMALL, SMALL_RATE = 1000, 1 / 256
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -59,26 +63,37 @@ class Level:
     """One Bloom filter: its size is known before its bits are gathered."""
 
     def __init__(self, number: int, bits: int, hashes: int):
-        self.number, self.bits, self.hashes, self.words = number, bits, hashes, None
+        self.number, self.blocks, self.hashes, self.constant = number, math.ceil(bits / BLOCK_BITS), hashes, b""
+        self.bits = 8 * self.blocks * LONGS * LONG_BITS // 7
+
+    def block(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit(2 * self.number), key), F.lit(self.blocks))
 
     def places(self, key: Column) -> list[Column]:
-        a, b = F.xxhash64(F.lit(2 * self.number), key), F.xxhash64(F.lit(2 * self.number + 1), key)
-        return [F.pmod(F.pmod(a, F.lit(self.bits)) + i * F.pmod(b, F.lit(self.bits)), F.lit(self.bits)) for i in range(self.hashes)]
+        """The key's bits in its block, all different."""
+        hashed = F.xxhash64(F.lit(2 * self.number + 1), key)
+        first, step = F.pmod(hashed, F.lit(BLOCK_BITS)), F.pmod(F.shiftright(hashed, 32), F.lit(BLOCK_BITS - 1)) + 1
+        return [F.pmod(first + i * step, F.lit(BLOCK_BITS)) for i in range(self.hashes)]
 
     def fill(self, keys: DataFrame) -> Level:
-        """The bit map, at most self.bits / 64 words, from all keys (key)."""
-        at = keys.select(F.explode(F.array(*self.places(F.col("key")))).alias("at"))
-        words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 AS int))")).alias("bits"))
-        got = {r.word: r.bits for r in words.collect()}
-        self.words = ",".join(str(got.get(k, 0)) for k in range(-(-self.bits // 64)))
+        """The bit map from all keys (key): a row of LONGS numbers for each block, at most MOST_BITS together."""
+        at = keys.select(self.block(F.col("key")).alias("block"), F.explode(F.array(*self.places(F.col("key")))).alias("at"))
+        bit = lambda j: F.when(F.expr(f"at div {LONG_BITS}") == j, F.expr(f"shiftleft(1L, cast(at % {LONG_BITS} AS int))"))
+        rows = at.groupBy("block").agg(*[F.coalesce(F.bit_or(bit(j)), F.lit(0)) for j in range(LONGS)]).collect()
+        longs = np.zeros((self.blocks, LONGS), np.int64)
+        for r in rows:
+            longs[r[0]] = r[1:]
+        self.constant = ((longs[:, :, None] >> np.arange(0, LONG_BITS, 7)) & 127).astype(np.uint8).tobytes()
         return self
 
-    def has(self, key: Column) -> Column:
-        words = F.split(F.lit(self.words), ",").cast("array<bigint>")  # folded to a constant by the optimiser
-        found = F.lit(True)
-        for at in self.places(key):
-            found = found & (F.getbit(words[F.shiftright(at, 6).cast("int")], (at % 64).cast("int")) == 1)
-        return found
+    def judged(self, rows: DataFrame, key: str, out: str) -> DataFrame:
+        """rows with a column out: whether the level has the key. The key's block is a column of its own, cut from the constant once."""
+        size = LONGS * LONG_BITS // 7
+        block = F.substring(F.lit(self.constant), self.block(F.col(key)).cast("int") * size + 1, F.lit(size))
+        names = rows.columns
+        byte = lambda at: F.ascii(F.substring(F.col("_block"), (at / 7).cast("int") + 1, F.lit(1)).cast("string"))
+        hits = [F.getbit(byte(at), (at % 7).cast("int")) == 1 for at in self.places(F.col(key))]
+        return rows.withColumn("_block", block).select(*names, reduce(Column.__and__, hits).alias(out))
 
 
 class Cascade:
@@ -87,49 +102,61 @@ class Cascade:
     def __init__(self, universe: DataFrame, most_bits: int = MOST_BITS):
         n = universe.agg(F.count_if("listed").alias("listed"), F.count("*").alias("all")).first()
         self.levels: list[Level] = []
-        self.fits, used = True, 0
-        inside, outside, k = universe.filter("listed"), universe.filter("not listed"), n.listed
+        self.fits, self.bits = True, 0
+        inside, outside, k = universe.filter("listed").select("key"), universe.filter("not listed").select("key"), n.listed
         rate = min(0.5, max(n.listed, 1) / (math.sqrt(2) * max(1, n["all"] - n.listed)))
         while k:
-            bits, hashes = size_of(k, min(rate, SMALL_RATE) if k <= SMALL else rate)
-            used += bits
-            if used > most_bits:
+            level = Level(len(self.levels), *size_of(k, min(rate, SMALL_RATE) if k <= SMALL else rate))
+            self.bits += level.bits
+            if self.bits > most_bits:
                 self.fits = False
                 return
-            level = Level(len(self.levels), bits, hashes).fill(inside)
-            self.levels.append(level)
-            inside, outside = outside.filter(level.has(F.col("key"))), inside
+            self.levels.append(level.fill(inside))
+            inside, outside = level.judged(outside, "key", "_hit").filter("_hit").select("key"), inside
             k, rate = inside.count(), 0.5
 
-    def has(self, key: Column) -> Column:
-        """Whether a key of the universe is listed."""
+    def judged(self, rows: DataFrame, key: str, out: str) -> DataFrame:
+        """rows with a column out: whether the key, one of the universe, is listed. A null or unknown key gives any answer."""
+        names = rows.columns
         found = F.lit(len(self.levels) % 2 == 1)
+        for i, level in enumerate(self.levels):
+            rows = level.judged(rows, key, f"_level{i}")
         for i in range(len(self.levels) - 1, -1, -1):
-            found = F.when(self.levels[i].has(key), found).otherwise(F.lit(i % 2 == 1))
-        return found
+            found = F.when(F.col(f"_level{i}"), found).otherwise(F.lit(i % 2 == 1))
+        return rows.select(*names, found.alias(out))
 
 
-def judge(pages: DataFrame, rules: tuple = RULES, labels: tuple = LISTED_LABELS, most_bits: int = MOST_BITS) -> DataFrame:
+def judge(pages: DataFrame, listed: DataFrame, rules: tuple = RULES, most_bits: int = MOST_BITS) -> DataFrame:
     """Per row of pages (page_id, url): page_id, host, path, rule, verdict, listed.
 
-    The rule's verdict, else block for a listed host and allow for any other. A null url or one
-    without :// has an empty host and path, fits no rule and is allowed. Repeated rows give
-    repeated rows; an empty table gives none; other columns of pages are ignored.
+    The rule's verdict, else block for a host that the table listed (host) holds and allow for any other. Listed hosts that no
+    page has, and null or repeated ones, change nothing; an empty list allows all. A null url or one
+    without :// has an empty host and path, fits no rule and is allowed unless the empty host is listed. Long urls are read whole;
+    repeated rows give repeated rows; an empty table gives none; other columns of pages are ignored.
     """
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    universe = materialise(rows.groupBy(F.col("host").alias("key")).agg(F.lit(1).alias("n")).select("key", listed_by_label(F.col("key"), labels).alias("listed")), "hosts")
+    both = rows.groupBy(F.col("host").alias("key")).agg(F.lit(False).alias("own")).union(listed.select(F.col("host"), F.lit(True)).filter("host is not null"))
+    universe = both.groupBy("key").agg(F.bool_or("own").alias("listed"), F.bool_or(~F.col("own")).alias("met")).filter("met").select("key", "listed")
+    universe = materialise(universe, "hosts")
     cascade = Cascade(universe, most_bits)
     if cascade.fits:
-        rows = rows.withColumn("listed", cascade.has(F.col("host")))
+        rows = cascade.judged(rows, "host", "listed")
     else:
         rows = rows.join(universe.withColumnRenamed("key", "host"), "host", "left")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed")
 
 
+def hosts_by_label(pages: DataFrame, labels: tuple = LISTED_LABELS) -> DataFrame:
+    """A list (host): the hosts of pages with a label of these. For a real list, read its table instead."""
+    host = host_and_path(F.col("url"))[0]
+    return pages.select(host.alias("host")).filter(listed_by_label(F.col("host"), labels)).distinct()
+
+
 def op6_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    return judge(pages, hosts_by_label(pages))
 
 
 ORACLE = f"""

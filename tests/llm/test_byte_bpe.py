@@ -44,12 +44,27 @@ def test_plain_split(text):
     assert codec.split(text) == codec.pattern.findall(text) and P.PATTERN == byte_bpe.PUBLIC_PATTERN
 
 
-@given(st.text("abehilnorst", min_size=1, max_size=60))
+@given(st.lists(st.text(st.sampled_from("abehilnorst-=é"), min_size=1, max_size=60), max_size=3), st.integers(1, 30))
 @settings(deadline=None, max_examples=60)
-def test_heap_and_query_agree(text):
+def test_long_words(own, words, times):
+    codec, most = byte_bpe.codec(PATH, P.PATTERN), byte_bpe.LONG
+    text = " ".join(w * times for w in words)
+    try:
+        byte_bpe.LONG = 1
+        codec.known = {}
+        assert codec.encode(text) == own.encode_ordinary(text)
+    finally:
+        byte_bpe.LONG = most
+
+
+def test_every_token_is_what_its_bytes_contract_to():
     codec = byte_bpe.codec(PATH, P.PATTERN)
-    if text.encode() not in codec.ranks:
-        assert codec._by_heap(text.encode()) == codec.encode(text)
+    for token in sorted(codec.ranks, key=codec.ranks.get)[::50]:
+        ids = [codec.ranks[token[i : i + 1]] for i in range(len(token))]
+        while found := [(codec.merges[x * 65536 + y], i) for i, (x, y) in enumerate(zip(ids, ids[1:], strict=False)) if x * 65536 + y in codec.merges]:
+            rank, i = min(found)
+            ids[i : i + 2] = [rank]
+        assert ids == [codec.ranks[token]]
 
 
 def test_sf(spark, own):

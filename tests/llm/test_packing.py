@@ -15,9 +15,7 @@ PATH = public_tokenizers.path(packing.VOCABULARY)
 
 @pytest.fixture(scope="module")
 def own():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def ids(own, text):
@@ -74,19 +72,19 @@ def test_empty_and_repeated(spark):
     assert sum(r.length for r in packing.pack_documents(df, PATH).collect()) == 6
 
 
-@given(st.text(st.characters(max_codepoint=0x250), max_size=60))
-def test_ids_are_the_tokenizers(text):
-    coder = packing.tokens(PATH)
-    assert coder.encode([text])[0] == np.array(coder.own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+@given(st.lists(st.text(st.characters(max_codepoint=0x250), max_size=30), max_size=3), st.sampled_from(["", "<|endoftext|>", "<|STARTOFTEXT|>", "<|startoftext|>", "|>"]))
+def test_ids_are_the_tokenizers(own, texts, between):
+    coder, text = packing.tokens(PATH), between.join(texts)
+    assert coder.encode([text])[0] == np.array(own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 @given(st.text(st.sampled_from("aZ é\u0301\nÅ İſ日.9"), max_size=200))
-def test_long_texts_in_parts(text):
+def test_long_texts_in_parts(own, text):
     coder, part = packing.tokens(PATH), packing.PART
     try:
         packing.PART = 5
         assert "".join(packing.parts_of(text)) == text
-        assert coder.encode([text, None, text])[2] == np.array(coder.own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert coder.encode([text, None, text])[2] == np.array(own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
     finally:
         packing.PART = part
 

@@ -56,18 +56,18 @@ def discard(*tables: DataFrame) -> None:
 
 
 class WordEncoder:
-    """word -> little-endian uint32 ids as bytes, encoding only words it has not seen.
+    """word -> what encode makes of it, such as ids as bytes of little-endian uint32, encoding only words it has not seen.
 
-    encode: list of distinct words -> list of their ids as bytes, in the same order. Of all encoders of a
+    encode: list of distinct words -> list of their codes, in the same order. Of all encoders of a
     worker only the one in use keeps its words.
     """
 
     in_use: WordEncoder | None = None
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], most: int = CACHE_WORDS):
+    def __init__(self, encode: Callable[[list], Iterable], most: int = CACHE_WORDS):
         self.encode, self.most, self.known = encode, most, {}
 
-    def learn(self, words: Iterable[str]) -> dict[str, bytes]:
+    def learn(self, words: Iterable) -> dict:
         """The cache, holding at least these words."""
         if WordEncoder.in_use is not self:
             if WordEncoder.in_use is not None:
@@ -83,6 +83,15 @@ class WordEncoder:
         return self.known
 
 
+def majority(hashes: list[int] | np.ndarray) -> int:
+    """SimHash of 64-bit hashes, as a signed number: a bit is set if it is in over half of them."""
+    count = np.zeros(64, np.int64)
+    for a in range(0, len(hashes), 4096):
+        part = np.array(hashes[a : a + 4096], "<u8")
+        count += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * count > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def pieces(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
     """ids cut after each true in ends, each piece as bytes of little-endian uint32."""
     raw = ids.astype("<u4").tobytes()

@@ -1,11 +1,12 @@
 """Quality rules with tokeniser fertility.
 
-A public subword vocabulary with byte fallback measures each text: letters and digits per token (its
-fertility turned over), the share of tokens that are byte fallbacks, and the entropy of its tokens.
-Prose of a language holds its letters per token within a narrow band, while mark-up debris, tables,
+Two public vocabularies measure each text: a subword one with byte fallback gives characters per token (fertility turned
+over), letters and digits per token, the share of tokens that are byte fallbacks, and the entropy of the tokens; a byte-level one for
+many languages gives its own characters per token.
+Prose of a language holds each of these within a narrow band, while mark-up debris, tables,
 encoded data and the like cost tokens without letters. The bands of each language are fitted to the
 whole corpus: the median of all distinct texts that pass the base rules, and multiples of the median
-absolute deviation around it. Words are encoded one by one, as the vocabulary's pieces never cross white space.
+absolute deviation around it. Words are encoded one by one, as neither vocabulary's pieces cross white space.
 """
 
 from __future__ import annotations
@@ -13,49 +14,65 @@ from __future__ import annotations
 import functools
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ravelin.llm.byte_bpe import PUBLIC_PATTERN, ranks_of
 from ravelin.llm.common import WordEncoder, materialise, table
 
-VOCABULARY = "piece_bpe_32k.model"
+VOCABULARY, SECOND_VOCABULARY = "piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"
 #: Base rules: fewer words, or more percent of the words in repeated 3-word windows, fail.
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: A text's letters per token must lie within so many robust standard deviations of its language's median.
-BELOW, ABOVE = 5.0, 8.0
-#: Such a deviation is at least this, about what prose has: copies with small changes do not narrow the band to nothing.
-LETTERS_LEAST = 0.04
+#: Measures with a band: so many robust standard deviations below and above its language's median, with such a deviation at
+#: least, about what prose has, so that copies with small changes do not narrow the band to nothing.
+BANDS = {"letters_per_token": (5.0, 8.0, 0.04), "chars_per_token": (8.0, 8.0, 0.05), "second_chars_per_token": (8.0, 8.0, 0.05)}
 #: The band of a text of n tokens is sqrt(1 + SHORT / n) times as wide: short texts vary more.
 SHORT = 60
 #: And its share of byte fallbacks at most so many above, with such a deviation at least.
 FALLBACK_ABOVE, FALLBACK_LEAST = 12.0, 0.01
 #: Bits of token entropy at least; ordinary prose of LEAST_WORDS words has over 5.
-LEAST_ENTROPY = 3.0
+LEAST_ENTROPY, SHORT_ENTROPY = 3.0, 0.75
 #: Languages with fewer measured documents have the wide bands instead.
 LEAST_MEASURED = 30
 WIDE = {"low": 0.3, "high": 12.0, "fallback": 0.5}
 
-#: Bands of at most so many languages are sent to all tasks, 40 bytes each; more are joined.
-MOST_LANGUAGES = 10_000
+#: Bands of at most so many languages are sent to all tasks, 80 bytes each; the bands of more are joined, by a join that stands alone and can be split.
+MOST_LANGUAGES = 100_000
 #: Words that a worker keeps encoded.
 CACHE_WORDS = 300_000
 #: Metrics are binned for the bands: their histograms have a bounded number of rows per language.
 BINS_PER_UNIT = 1000
 NOT_LETTERS = re.compile(r"[\W_]+")
 SYMBOLS = "#*$%&|<>"
-MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_tokens long, letters_per_token double, fallback_share double, entropy double"
+MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_tokens long, letters_per_token double, chars_per_token double, fallback_share double, entropy double, second_chars_per_token double"
+
+
+class Measured(NamedTuple):
+    """A word's ids as bytes of little-endian uint32, and its number of tokens in the second vocabulary."""
+
+    ids: bytes
+    second: int
 
 
 @functools.lru_cache(2)
-def pieces_of(path: str) -> tuple[WordEncoder, np.ndarray]:
+def pieces_of(path: str, second_path: str) -> tuple[WordEncoder, np.ndarray]:
+    """An encoder of words (UTF-8 bytes) to Measured, and which ids are byte fallbacks."""
     from sentencepiece import SentencePieceProcessor
+    from tiktoken import Encoding
 
     own = SentencePieceProcessor(model_file=path)
     fallback = np.array([own.is_byte(i) for i in range(own.get_piece_size())])
-    return WordEncoder(lambda words: [np.array(x, "<u4").tobytes() for x in own.encode(words, num_threads=1)], CACHE_WORDS), fallback
+    second = Encoding("second", pat_str=PUBLIC_PATTERN, mergeable_ranks=ranks_of(second_path), special_tokens={})
+
+    def encode(words: list[bytes]) -> list[Measured]:
+        texts = [w.decode() for w in words]
+        return [Measured(np.array(x, "<u4").tobytes(), len(second.encode_ordinary(" " + t))) for x, t in zip(own.encode(texts, num_threads=1), texts, strict=True)]
+
+    return WordEncoder(encode, CACHE_WORDS), fallback
 
 
 def n_repeated(words: list[bytes]) -> int:
@@ -83,33 +100,36 @@ def n_repeated_lines(text: str) -> int:
     return n
 
 
-def measure(text: str | None, words: list[bytes], known: dict[str, bytes], fallback: np.ndarray) -> tuple:
+def measure(text: str | None, words: list[bytes], known: dict[bytes, Measured], fallback: np.ndarray) -> tuple:
     """Values of MEASURES; without words zeros, and null for the means."""
     text = text or ""
     n = len(words)
     repeated = n_repeated(words)
-    ids = np.frombuffer(b"".join(known[w.decode()] for w in words), "<u4")
-    out = (n, len(text) - sum(map(text.count, " \t\n\r\x0b\x0c")), sum(map(text.count, SYMBOLS)), n_repeated_lines(text), repeated, n < LEAST_WORDS or 100 * repeated > MOST_REPEATED * n)
+    got = [known[w] for w in words]
+    ids = np.frombuffer(b"".join([x[0] for x in got]), "<u4")
+    chars = len(text) - sum(map(text.count, " \t\n\r\x0b\x0c"))
+    out = (n, chars, sum(map(text.count, SYMBOLS)), n_repeated_lines(text), repeated, n < LEAST_WORDS or 100 * repeated > MOST_REPEATED * n)
     if not len(ids):
-        return *out, 0, None, None, None
+        return *out, 0, None, None, None, None, None
     share = np.unique(ids, return_counts=True)[1] / len(ids)
-    return *out, len(ids), len(NOT_LETTERS.sub("", text)) / len(ids), float(fallback[ids].mean()), float(-(share * np.log2(share)).sum())
+    entropy = float(-(share * np.log2(share)).sum())
+    return *out, len(ids), len(NOT_LETTERS.sub("", text)) / len(ids), chars / len(ids), float(fallback[ids].mean()), entropy, chars / sum([x[1] for x in got])
 
 
-def measured(docs: DataFrame, path: str) -> DataFrame:
+def measured(docs: DataFrame, path: str, second_path: str) -> DataFrame:
     """(doc_id, lang, text_hash, *MEASURES) per row of docs (doc_id, text, lang)."""
     names = [x.split()[0] for x in MEASURES.split(", ")]
     kinds = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
     types = [kinds[x.split()[1]] for x in MEASURES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, fallback = pieces_of(path)
+        coder, fallback = pieces_of(path, second_path)
         for batch in batches:
             for a in range(0, len(batch), 256):
                 part = batch.slice(a, 256)
                 texts = part.column("text").to_pylist()
                 words = [t.encode("utf-8", "replace").split() if t else [] for t in texts]
-                known = coder.learn({w.decode() for w in set().union(*words)})
+                known = coder.learn(set().union(*words))
                 rows = [measure(t, w, known, fallback) for t, w in zip(texts, words, strict=True)]
                 cols = {c: part.column(c) for c in ("doc_id", "lang", "text_hash")}
                 yield pa.RecordBatch.from_pydict(cols | {n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(zip(names, types, strict=True))})
@@ -119,55 +139,57 @@ def measured(docs: DataFrame, path: str) -> DataFrame:
 
 
 def bands(rows: DataFrame) -> DataFrame:
-    """(lang, middle, low, high, most_fallback) fitted to all measured texts that pass the base rules, copies counted once."""
-    own = rows.filter("not base_failed").groupBy("lang", "text_hash").agg(F.max("letters_per_token").alias("letters_per_token"), F.max("fallback_share").alias("fallback_share"))
-
-    def spread(column: str) -> DataFrame:
-        bins = own.groupBy("lang", F.round(F.col(column) * BINS_PER_UNIT).cast("long").alias("bin")).agg(F.count("*").alias("n"))
-        middle = bins.groupBy("lang").agg(F.percentile("bin", F.lit(0.5), F.col("n")).alias(column), F.sum("n").alias(f"{column}_n"))
-        away = bins.join(middle, "lang").groupBy("lang").agg(F.percentile(F.abs(F.col("bin") - F.col(column)), F.lit(0.5), F.col("n")).alias(f"{column}_mad"))
-        return middle.join(away, "lang")
-
-    deviation = lambda c: F.col(f"{c}_mad") * 1.4826 / BINS_PER_UNIT
-    middle = lambda c: F.col(c) / BINS_PER_UNIT
-    letters = F.greatest(deviation("letters_per_token"), F.lit(LETTERS_LEAST))
-    enough = F.col("letters_per_token_n") >= LEAST_MEASURED
-    both = spread("letters_per_token").join(spread("fallback_share"), "lang")
-    return both.select(
-        "lang",
-        middle("letters_per_token").alias("middle"),
-        F.when(enough, middle("letters_per_token") - BELOW * letters).otherwise(WIDE["low"]).alias("low"),
-        F.when(enough, middle("letters_per_token") + ABOVE * letters).otherwise(WIDE["high"]).alias("high"),
-        F.when(enough, middle("fallback_share") + FALLBACK_ABOVE * F.greatest(deviation("fallback_share"), F.lit(FALLBACK_LEAST))).otherwise(WIDE["fallback"]).alias("most_fallback"),
-    )
-
-
-def judge(docs: DataFrame, path: str) -> DataFrame:
+    """(lang, enough, most_fallback, and per measure of BANDS its middle, low and high) fitted to all measured texts that pass the base rules, copies counted once."""
+    columns = [*BANDS, "fallback_share"]
+    own = rows.filter("not base_failed").groupBy("lang", "text_hash").agg(*[F.max(c).alias(c) for c in columns])
+    binned = own.select("lang", F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.round(F.col(c) * BINS_PER_UNIT).cast("long").alias("bin")) for c in columns])).alias("x"))
+    bins = binned.groupBy("lang", "x.measure", "x.bin").agg(F.count("*").alias("n"))
+    middle = bins.groupBy("lang", "measure").agg(F.percentile("bin", F.lit(0.5), F.col("n")).alias("middle"), F.sum("n").alias("n_texts"))
+    away = bins.join(middle, ["lang", "measure"]).groupBy("lang", "measure").agg(F.percentile(F.abs(F.col("bin") - F.col("middle")), F.lit(0.5), F.col("n")).alias("mad"))
+    both = middle.join(away, ["lang", "measure"]).select("lang", "measure", "n_texts", (F.col("middle") / BINS_PER_UNIT).alias("middle"), (F.col("mad") * 1.4826 / BINS_PER_UNIT).alias("deviation"))
+    of = lambda c, value: F.max(F.when(F.col("measure") == c, value))
+    enough = F.col("n_texts") >= LEAST_MEASURED
+    out = [F.max(enough).alias("enough")]
+    for c, (below, above, least) in BANDS.items():
+        wide = F.greatest("deviation", F.lit(least))
+        low = F.when(enough, F.col("middle") - below * wide).otherwise(WIDE["low"])
+        high = F.when(enough, F.col("middle") + above * wide).otherwise(WIDE["high"])
+        out += [of(c, F.col("middle")).alias(f"{c}_middle"), of(c, low).alias(f"{c}_low"), of(c, high).alias(f"{c}_high")]
+    most = F.when(enough, F.col("middle") + FALLBACK_ABOVE * F.greatest("deviation", F.lit(FALLBACK_LEAST))).otherwise(WIDE["fallback"])
+    return both.groupBy("lang").agg(*out, of("fallback_share", most).alias("most_fallback"))
+
+
+def judge(docs: DataFrame, path: str, second_path: str, least_words: int = LEAST_WORDS) -> DataFrame:
     """Verdict per row of docs (doc_id, text, lang), with all measures.
 
-    kept is false if base_failed; else it tells whether letters_per_token lies in its language's band,
-    fallback_share is not above the language's most and entropy is at least LEAST_ENTROPY. Null, empty
-    and blank texts have no words and fail the base rules. A null language is a language of its own.
-    Repeated rows each get their row; an empty table gives none.
+    kept is false if a text has fewer than least_words or fails the base rule of repeats; else it tells whether each measure of
+    BANDS lies in its language's band, fallback_share is not above the language's most and entropy is at least LEAST_ENTROPY
+    (or SHORT_ENTROPY of what so few tokens can have). base_failed is always by LEAST_WORDS. Null, empty
+    and blank texts have no words and are never kept. A null language is a language of its own. Long texts are measured whole.
+    Repeated rows each get their row; an empty table gives none; other columns are ignored.
     """
-    rows = materialise(measured(docs, path), "measures")
+    rows = materialise(measured(docs, path, second_path), "measures")
     wide = F.sqrt(1 + F.lit(SHORT) / F.greatest("n_tokens", F.lit(1)))
     of_lang = materialise(bands(rows), "bands")
     if of_lang.count() <= MOST_LANGUAGES:
         of_lang = F.broadcast(of_lang)  # else every document of a language would meet in one task
-    fitted = rows.join(of_lang, "lang", "left").withColumns({c: F.col("middle") + (F.col(c) - F.col("middle")) * wide for c in ("low", "high")})
-    inside = F.col("letters_per_token").between(F.col("low"), F.col("high")) & (F.col("fallback_share") <= F.col("most_fallback")) & (F.col("entropy") >= LEAST_ENTROPY)
-    return fitted.drop("middle").withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
+    fitted = rows.join(of_lang, "lang", "left")
+    for c in BANDS:
+        fitted = fitted.withColumns({f"{c}_{side}": F.col(f"{c}_middle") + (F.col(f"{c}_{side}") - F.col(f"{c}_middle")) * wide for side in ("low", "high")})
+    inside = (F.col("fallback_share") <= F.col("most_fallback")) & (F.col("entropy") >= F.least(F.lit(LEAST_ENTROPY), SHORT_ENTROPY * F.log2("n_tokens")))
+    for c in BANDS:
+        inside = inside & F.col(c).between(F.col(f"{c}_low"), F.col(f"{c}_high"))
+    return fitted.drop("enough", *[f"{c}_middle" for c in BANDS]).withColumn("kept", (F.col("n_words") >= least_words) & (100 * F.col("n_repeat_words") <= MOST_REPEATED * F.col("n_words")) & F.coalesce(inside, F.lit(False)))
 
 
-def keep_good(docs: DataFrame, path: str) -> DataFrame:
+def keep_good(docs: DataFrame, path: str, second_path: str, least_words: int = LEAST_WORDS) -> DataFrame:
     """The rows of docs that judge() keeps, with all their columns, whatever those are called.
 
-    Null, empty and blank texts go, as they fail the base rules. Long texts are measured whole. Rows that repeat both id and
+    Null, empty and blank texts go, as they have no words. Long texts are measured whole. Rows that repeat both id and
     text are kept or dropped together, each as often as it is there; null ids are ids like any other. An empty table stays empty.
     """
     own = docs.toDF(*(c if c in ("doc_id", "text", "lang") else f"c{k}" for k, c in enumerate(docs.columns)))
-    good = judge(own, path).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("lang").alias("_lang")).distinct()
+    good = judge(own, path, second_path, least_words).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("lang").alias("_lang")).distinct()
     good = materialise(good, "good")  # alone in the join below, so that rows repeated very often can be split
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")) & (F.coalesce(F.col("lang").cast("string"), F.lit("")) == F.col("_lang"))
     return own.join(good, same, "left_semi").toDF(*docs.columns)
@@ -176,4 +198,4 @@ def keep_good(docs: DataFrame, path: str) -> DataFrame:
 def op2_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return judge(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY)).drop("text_hash", "lang")
+    return judge(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.path(SECOND_VOCABULARY)).drop("text_hash", "lang")

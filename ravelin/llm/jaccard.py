@@ -1,8 +1,8 @@
-"""Near-duplicates by the Jaccard similarity of five-word shingles, found by MinHash bands and verified.
+"""Verification of near-duplicates by the Jaccard similarity of five-word shingles, and what SimHash balls cannot propose.
 
 Texts of similarity 0.8 differ by some ten of the 64 bits of a SimHash, too far for balls around
-fingerprints. So the minima of BANDS times ROWS hash functions are taken over a text's shingles, and texts
-with ROWS equal minima in one band meet in a bucket: at similarity LEAST all but 4 in 10,000 pairs do.
+fingerprints, which propose the nearer ones. So the minima of BANDS times ROWS hash functions are taken over a text's shingles too,
+and texts with ROWS equal minima in one band meet in a bucket: at similarity LEAST all but 4 in 10,000 pairs do.
 Buckets of the same texts are kept once. Every bucket of two texts or more links its texts by
 verified pairs: one after the other is held against all not yet linked, by postings of their shingles, so
 that groups of very many near copies cost no more than their size. Nothing is capped.
@@ -10,14 +10,14 @@ that groups of very many near copies cost no more than their size. Nothing is ca
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import materialise
+from ravelin.llm.common import majority, materialise
 from ravelin.llm.components import components
 
 SHINGLE = 5
@@ -98,16 +98,17 @@ def linked(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """uid, hash of the words and band keys of (uid, text)."""
+    """uid, hash of the words, SimHash and band keys of (uid, text)."""
     from xxhash import xxh64_intdigest
 
     for batch in batches:
-        content, keys = [], []
+        content, fps, keys = [], [], []
         for text in batch.column("text").to_pylist():
             own = shingles(text)
             content.append(xxh64_intdigest(own.tobytes(), SEED))
+            fps.append(majority(own))
             keys.append(band_keys(own) if len(own) else np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_pydict({"uid": batch.column("uid"), "content": pa.array(np.array(content, np.uint64).view(np.int64)), "bands": pa.array(keys, pa.list_(pa.int64()))})
+        yield pa.RecordBatch.from_pydict({"uid": batch.column("uid"), "content": pa.array(np.array(content, np.uint64).view(np.int64)), "fp": pa.array(fps, pa.int64()), "bands": pa.array(keys, pa.list_(pa.int64()))})
 
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,15 +135,21 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from told()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, balls: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(uid, component_id) per row of docs (uid long, text), of rows in a group of near-duplicates: the least uid of the group.
 
+    balls gives pairs (a, b) of near ones of SimHash fingerprints (fp, distinct); bands propose pairs in any case.
     Texts of the same shingles are near-duplicates, those without words too. Rows of a text that has no
-    near-duplicate have their text's least uid.
+    near-duplicate have their text's least uid. Repeated rows give repeated rows, an empty table none; long texts are read whole.
     """
-    signed = materialise(docs.select("uid", "text").mapInArrow(_signed, "uid long, content long, bands array<long>"), "minhash")
-    distinct = materialise(signed.groupBy("content").agg(F.min("uid").alias("least"), F.min("bands").alias("bands")), "contents")
+    signed = materialise(docs.select("uid", "text").mapInArrow(_signed, "uid long, content long, fp long, bands array<long>"), "minhash")
+    distinct = materialise(signed.groupBy("content").agg(F.min("uid").alias("least"), F.min("fp").alias("fp"), F.min("bands").alias("bands")), "contents")
     rows = distinct.select("content", F.explode("bands").alias("key"))
+    if balls is not None:
+        some = distinct.filter("size(bands) > 0").select("content", "fp")
+        pairs = materialise(balls(some.select("fp").distinct()), "balls")
+        of_pair = pairs.select(F.xxhash64("a", "b", F.lit("ball")).alias("key"), F.explode(F.array("a", "b")).alias("fp")).join(some, "fp").select("content", "key")
+        rows = materialise(rows.union(of_pair).union(some.select("content", F.xxhash64("fp", F.lit("fingerprint")))), "keys")
     many = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("content")).alias("x"), F.bit_xor(F.xxhash64("content", F.lit(1))).alias("y")).filter("n > 1")
     kept = materialise(many.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "buckets")
     members = materialise(rows.join(kept, "key"), "members")

@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import materialise, table
+from ravelin.llm import jaccard
+from ravelin.llm.common import majority, materialise, table
 from ravelin.llm.components import components
 
 RADIUS = 3
@@ -54,15 +55,7 @@ def fingerprint(text: str | None, n: int = SHINGLE) -> int:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = np.concatenate(([0], ends[:-1] + 1))
         hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - n + 1].tolist(), ends[n - 1 :].tolist(), strict=True)]
-    return _majority(hashes)
-
-
-def _majority(hashes: list[int]) -> int:
-    count = np.zeros(64, np.int64)
-    for a in range(0, len(hashes), 4096):
-        part = np.array(hashes[a : a + 4096], "<u8")
-        count += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * count > len(hashes), bitorder="little").view("<i8")[0])
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
@@ -172,5 +165,14 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     return fps.join(own, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def near_texts(docs: DataFrame) -> DataFrame:
+    """(uid, component_id) per row of docs (uid long, text): groups of five-word shingles of Jaccard similarity 0.8 or more.
+
+    Balls around the fingerprints of the five-word shingles propose pairs, which are verified by their shingles. At that similarity most
+    fingerprints differ by more bits than any ball that could be emitted, so MinHash bands propose the rest; see jaccard.
+    """
+    return jaccard.near_duplicates(docs, links)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -1,11 +1,15 @@
+import math
 import re
+import statistics
+from collections import Counter
 
 import public_tokenizers
+import tiktoken
 from sentencepiece import SentencePieceProcessor
 
-from ravelin.llm import fertility
+from ravelin.llm import byte_bpe, fertility
 
-PATH = public_tokenizers.path(fertility.VOCABULARY)
+PATH = public_tokenizers.path(fertility.VOCABULARY), public_tokenizers.path(fertility.SECOND_VOCABULARY)
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
@@ -29,12 +33,12 @@ TEXTS = [None, "", " \n\t\x0b", "one", "a b c a b c a", "x # y | <z>\nx # y | <z
 
 def test_base_measures(spark):
     df = spark.createDataFrame([(k, t, "en", 7) for k, t in enumerate(TEXTS)], "doc_id long, text string, lang string, n_words int")
-    got = {r.doc_id: r for r in fertility.judge(df, PATH).collect()}
+    got = {r.doc_id: r for r in fertility.judge(df, *PATH).collect()}
     for k, t in enumerate(TEXTS):
         assert tuple(got[k][c] for c in BASE) == brute(t), t
         assert got[k].kept <= (not got[k].base_failed)
-    assert fertility.judge(df.limit(0), PATH).count() == 0
-    assert fertility.judge(df.union(df), PATH).count() == 2 * len(TEXTS)
+    assert fertility.judge(df.limit(0), *PATH).count() == 0
+    assert fertility.judge(df.union(df), *PATH).count() == 2 * len(TEXTS)
 
 
 def test_junk_goes_and_prose_stays(spark):
@@ -43,12 +47,12 @@ def test_junk_goes_and_prose_stays(spark):
     rows = fertility.op2_fertility(spark, "/root/testdata/sf0.01").join(labels, "doc_id").filter("not base_failed").select("kept", "quality").collect()
     good, bad = [r.kept for r in rows if r.quality == 1], [r.kept for r in rows if r.quality == 0]
     assert sum(good) / len(good) > 0.98 and sum(bad) / len(bad) < 0.1
-    kept = fertility.keep_good(docs, PATH)
+    kept = fertility.keep_good(docs, *PATH)
     assert kept.columns == docs.columns and kept.count() == fertility.op2_fertility(spark, "/root/testdata/sf0.01").filter("kept").count()
 
 
 def test_words_one_by_one_are_the_text():
-    own = SentencePieceProcessor(model_file=PATH)
+    own = SentencePieceProcessor(model_file=PATH[0])
     text = "Some ordinary prose, with Ünïcode and 123 numbers 日本."
     assert own.encode(text) == [i for w in text.split() for i in own.encode(w)]
 
@@ -56,11 +60,63 @@ def test_words_one_by_one_are_the_text():
 def test_copies_do_not_narrow_the_bands(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang = 'es'").select("doc_id", "text", "lang").collect()
     df = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    alone = {r.doc_id: (r.kept, r.letters_per_token) for r in fertility.judge(df(docs), PATH).collect()}
+    alone = {r.doc_id: (r.kept, r.letters_per_token) for r in fertility.judge(df(docs), *PATH).collect()}
     good = sorted((v[1], k) for k, v in alone.items() if v[0])
     middle = good[len(good) // 2][1]
     text = next(r.text for r in docs if r.doc_id == middle)
     for copies in (lambda k: text, lambda k: f"{text} {text.split()[k % 9]}"):  # exact ones, and ones with a word more
-        got = {r.doc_id: r.kept for r in fertility.judge(df([*docs, *((10_000_000 + k, copies(k), "es") for k in range(2 * len(docs)))]), PATH).collect()}
+        got = {r.doc_id: r.kept for r in fertility.judge(df([*docs, *((10_000_000 + k, copies(k), "es") for k in range(2 * len(docs)))]), *PATH).collect()}
         assert sum(got[k] for _, k in good) >= 0.95 * len(good)
         assert all(kept for k, kept in got.items() if k >= 10_000_000)
+
+
+def whole(text, own, second):
+    """letters_per_token, chars_per_token, fallback_share, entropy and second_chars_per_token of the text encoded as a whole."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    ids = own.encode(" ".join(words))
+    counts, chars = Counter(ids), sum(map(len, words))
+    letters = sum(c.isalnum() for w in words for c in w)
+    entropy = -sum(n / len(ids) * math.log2(n / len(ids)) for n in counts.values())
+    return letters / len(ids), chars / len(ids), sum(own.is_byte(i) for i in ids) / len(ids), entropy, chars / len(second.encode_ordinary(" " + " ".join(words)))
+
+
+def test_measures_bands_and_verdicts_by_brute_force(spark):
+    own = SentencePieceProcessor(model_file=PATH[0])
+    second = tiktoken.Encoding("second", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.ranks_of(PATH[1]), special_tokens={})
+    rows = {r.doc_id: r for r in fertility.op2_fertility(spark, "/root/testdata/sf0.001").collect()}
+    docs = {r.doc_id: r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    names = ("letters_per_token", "chars_per_token", "fallback_share", "entropy", "second_chars_per_token")
+    got = {k: dict(zip(names, whole(d.text, own, second), strict=True)) for k, d in docs.items() if d.text and d.text.split()}
+    for k, m in got.items():
+        assert all(abs(rows[k][c] - m[c]) < 1e-9 for c in names if docs[k].text.isprintable() or c != "letters_per_token")
+    of_lang = {}
+    for k in got:
+        if not rows[k].base_failed:
+            of_lang.setdefault(docs[k].lang, {})[docs[k].text] = k
+    limits = {}
+    for lang, texts in of_lang.items():
+        if len(texts) < fertility.LEAST_MEASURED:
+            continue
+        for c in (*fertility.BANDS, "fallback_share"):
+            values = [math.floor(got[k][c] * 1000 + 0.5) / 1000 for k in texts.values()]
+            middle = statistics.median(values)
+            limits[lang, c] = middle, 1.4826 * statistics.median(abs(v - middle) for v in values)
+    assert limits
+    for k, m in got.items():
+        if (docs[k].lang, "fallback_share") not in limits:
+            continue
+        wide = math.sqrt(1 + fertility.SHORT / rows[k].n_tokens)
+        kept = not rows[k].base_failed and m["entropy"] >= 3
+        for c, (below, above, least) in fertility.BANDS.items():
+            middle, mad = limits[docs[k].lang, c]
+            kept = kept and middle - below * max(mad, least) * wide <= m[c] <= middle + above * max(mad, least) * wide
+        middle, mad = limits[docs[k].lang, "fallback_share"]
+        assert rows[k].kept == (kept and m["fallback_share"] <= middle + 12 * max(mad, 0.01)), k
+
+
+def test_short_prose_stays_where_asked(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    kept = {r.doc_id for r in fertility.keep_good(docs, *PATH, least_words=1).select("doc_id").collect()}
+    good, bad = [k in kept for k, q in labels.items() if q == 1], [k in kept for k, q in labels.items() if q == 0]
+    assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.1 * len(bad)

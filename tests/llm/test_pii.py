@@ -1,5 +1,8 @@
 import hashlib
+import math
+import random
 import re
+from collections import Counter
 
 from hypothesis import given
 from hypothesis import strategies as st
@@ -108,3 +111,51 @@ def test_nearest_terms_at_any_distance():
     text = "far Zarquon " + "1 | " * 200 + "x@mail.example " + "- " * 200 + "beyond"
     got = pii.windows(text, pii.base_spans(text))
     assert [text[x["start"] : x["end"]] for x in got] == ["far", "Zarquon", "beyond"]
+
+
+def by_counting(texts):
+    """Term spans by plain counts: pairs of a term and an entity that meet in windows of four terms on either side."""
+    term, total, places, windows = re.compile(r"[^\W\d_]+"), Counter(), {}, {}
+    of_term, of_entity, near = Counter(), {}, []
+    for k, text in enumerate(texts):
+        spans, terms = brute(text), [m.span() for m in term.finditer(text)]
+        of_term.update(w for w in term.findall(text.lower()) if len(w) >= 3)
+        for a, kind, b in spans:
+            entity = (kind, text[a:b].lower())
+            some = [t for t in terms if t[1] <= a][-4:] + [t for t in terms if t[0] >= b][:4]
+            some = [t for t in some if all(t[1] <= x or t[0] >= y for x, _, y in spans)]
+            window = (entity, tuple(text[x:y].lower() for x, y in some))
+            for x, y in some:
+                if y - x >= 3:
+                    pair = text[x:y].lower(), entity
+                    places.setdefault(pair, set()).add((k, x))
+                    windows.setdefault(pair, set()).add(window)
+                    of_entity.setdefault(entity, set()).add(window)
+                    near.append((k, x, y, pair))
+    total = sum(of_term.values())
+    told = set()
+    for pair, at in places.items():
+        share, n = len(at) / of_term[pair[0]], len(windows[pair])
+        if (n >= 3 and share >= 0.5 or n >= 2 and share * n / (n + 2) >= 0.5) and math.log2(share / (len(of_entity[pair[1]]) / total)) >= 8:
+            told.add(pair)
+    return {(k, x, y) for k, x, y, pair in near if pair in told}
+
+
+def test_disclosing_terms_by_counting(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(1, 5)))
+    names = [(word().title() + "son", f"{word()}x@mail.example") for _ in range(25)]
+    texts = []
+    for _ in range(1500):
+        parts = [word() for _ in range(r.randint(3, 25))]
+        if r.random() < 0.15:
+            name, mail = r.choice(names)
+            parts[r.randint(0, len(parts) - 1)] += f" {name} {word()} {mail}"
+        if r.random() < 0.05:
+            parts.append(r.choice(names)[0])
+        texts.append(" ".join(parts))
+    texts += texts[:200]
+    want = by_counting(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, *map(int, x.split(":")[1:])) for r in pii.find_personal_data(df).collect() for x in r.spans.split(",") if x.startswith("term")}
+    assert got == want and len(want) > 30

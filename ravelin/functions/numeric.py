@@ -101,13 +101,22 @@ def md5_half(text: Column, low: bool) -> Column:
 
 
 def md5_mod(text: Column, k: int) -> Column:
-    """The MD5 number modulo k, exactly, from its two halves."""
+    """The MD5 number modulo k, exactly, from its two halves; for a power of two its last digits tell."""
+    if 2**28 % k == 0:
+        return F.conv(F.substring(F.md5(text.cast("binary")), 26, 7), 16, 10).cast("int").bitwiseAND(k - 1)
     turn = 2**64 % k
     return F.pmod(F.pmod(md5_half(text, False), F.lit(k)) * turn + F.pmod(md5_half(text, True), F.lit(k)), F.lit(k)).cast("int")
 
 
+#: The character that stands for bin 0; bins are characters up to code 255.
+FIRST_BIN, MOST_BINS = 48, 208
+
+
 def md5_bins(tokens: Column, k: int) -> Column:
-    return F.transform(tokens, lambda t: md5_mod(t, k))
+    """The bins of tokens as text, a character for each."""
+    if k > MOST_BINS:
+        raise ValueError(f"at most {MOST_BINS} bins")
+    return F.array_join(F.transform(tokens, lambda t: F.char(md5_mod(t, k) + FIRST_BIN)), "")
 
 
 def problem_seed(key: Column, seed: int) -> Column:
@@ -116,10 +125,10 @@ def problem_seed(key: Column, seed: int) -> Column:
 
 
 def bin_counts(at: Column, bins: int) -> Column:
-    """How often each of 0 to bins - 1 is in at."""
-    return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.size(F.filter(at, lambda x: x == i)).cast("double"))
+    """How often each of 0 to bins - 1 is in at, a text of md5_bins: what it loses without the bin's character."""
+    return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: (F.length(at) - F.length(F.replace(at, F.char(i + FIRST_BIN), F.lit("")))).cast("double"))
 
 
-def unit_length(values: Column) -> Column:
-    """Scaled to length 1; zeros stay."""
-    return F.transform(values, lambda c: safe_divide(c, F.sqrt(F.aggregate(values, F.lit(0.0), lambda s, v: s + v * v))))
+def scaled(values: Column, length: Column) -> Column:
+    """values by their length; those of length 0 stay."""
+    return F.when(length > 0, F.transform(values, lambda c: c / length)).otherwise(values)

@@ -5,7 +5,9 @@ Doubles that are sums or means are rounded to six places on both sides, as engin
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,13 +15,14 @@ from pyspark.sql import functions as F
 from ravelin.functions import jsonrepair, numeric, text
 from ravelin.functions.calc import calculate_steps
 from ravelin.operators import relational as R
-from ravelin.plans import ablation, gate, generation
-from ravelin.sources.jsonl import replace_values, upsert
+from ravelin.plans import ablation, gate, generation, live
+from ravelin.sources import providers
+from ravelin.sources.jsonl import read_jsonl, replace_values, shared_folder, upsert, write_jsonl, write_swapped
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-#: Passages that may be put into a plan as constants.
+#: Passages, of some hundred bytes each, that may be sent to all tasks.
 MOST_PASSAGES = 10_000
 SEP = "chr(31)"
 
@@ -339,32 +342,44 @@ def phrase_flags(spark, sf):
 
 @query("SELECT doc_id, item_id FROM documents d, benchmark b WHERE b.text <> '' AND contains(lower(d.text), lower(b.text))")
 def passage_leakage(spark, sf):
-    """Documents that hold a whole passage, by joining on four inner words of it; the words are joined, not the tables crossed."""
+    """Documents that hold a whole passage: what is inside a passage is looked up among what documents hold, and hits are compared.
+
+    Passages of six words or more are found by four inner words, of three or more by one, and shorter ones by their first letters. Only
+    kinds that occur are looked up. Few passages are sent to the documents, so that these are not shuffled; many are joined,
+    where a key that many documents hold can be split.
+    """
     words = lambda c: F.split(F.lower(c), r"[ \t\n\r\x0b\f]+")
-    gram = lambda w, i: F.xxhash64(F.array_join(F.slice(w, i, 4), " "))
+    gram = lambda w, i, n: F.xxhash64(F.array_join(F.slice(w, i, n), " "))
+    letters = F.least(F.length("passage"), F.lit(4))
+    kind = F.when(F.size("w") >= 6, "four").when(F.size("w") >= 3, "one").otherwise(F.concat(F.lit("letters"), letters.cast("string")))
+    key = F.when(F.size("w") >= 6, gram(F.col("w"), F.lit(2), 4)).when(F.size("w") >= 3, gram(F.col("w"), F.lit(2), 1)).otherwise(F.xxhash64(F.substring("passage", F.lit(1), letters)))
     b = t(spark, sf, "benchmark").select("item_id", F.lower("text").alias("passage")).filter("passage <> ''").withColumn("w", words(F.col("passage")))
-    d = t(spark, sf, "documents").select("doc_id", "text").withColumn("w", words(F.col("text")))
-    long = b.filter(F.size("w") >= 6).select("item_id", "passage", gram(F.col("w"), F.lit(2)).alias("g"))
-    grams = d.select("doc_id", F.explode(F.array_distinct(F.transform(text.indexes(F.size("w") - 3), lambda i: gram(F.col("w"), i + 1)))).alias("g"))
-    found = grams.join(long.select("item_id", "g"), "g").select("doc_id", "item_id").distinct()
-    checked = found.join(long.select("item_id", "passage"), "item_id").join(d.select("doc_id", "text"), "doc_id").filter(F.contains(F.lower("text"), F.col("passage"))).select("doc_id", "item_id")
-    short = b.filter(F.size("w") < 6).select("item_id", "passage").limit(MOST_PASSAGES + 1).collect()
-    if len(short) > MOST_PASSAGES:
-        raise ValueError("too many passages of under six words")
-    if not short:
-        return checked
-    items = F.array(*[F.struct(F.lit(r.item_id).alias("item_id"), F.lit(r.passage).alias("passage")) for r in short])
-    hits = d.select("doc_id", F.explode(F.filter(items, lambda i: F.contains(F.lower("text"), i.passage))).alias("i"))
-    return checked.union(hits.select("doc_id", "i.item_id"))
+    b = b.select("item_id", "passage", kind.alias("kind"), key.alias("key"))
+    kinds = {r.kind: r.n for r in b.groupBy("kind").agg(F.count("*").alias("n")).collect()}  # six at most
+    few = F.broadcast if sum(kinds.values()) <= MOST_PASSAGES else lambda x: x
+    d = t(spark, sf, "documents").select("doc_id", F.lower("text").alias("text")).withColumn("w", words(F.col("text")))
+    keys = {"four": F.transform(text.indexes(F.size("w") - 3), lambda i: gram(F.col("w"), i + 1, 4)), "one": F.transform("w", lambda x: F.xxhash64(x))}
+    letter_keys = lambda n: F.transform(text.indexes(F.length("text") - n + 1), lambda i: F.xxhash64(F.substring(F.col("text"), i + 1, F.lit(n))))
+    keys |= {f"letters{n}": letter_keys(n) for n in range(1, 5)}
+    found = [d.select("doc_id", F.explode(F.array_distinct(keys[k])).alias("key")).join(few(b.filter(F.col("kind") == k).select("item_id", "key")), "key") for k in sorted(kinds)]
+    pairs = reduce(DataFrame.union, [f.select("doc_id", "item_id") for f in found], d.select("doc_id", F.lit(0).cast("long").alias("item_id")).limit(0)).distinct()
+    checked = pairs.join(few(b.select("item_id", "passage")), "item_id").join(d.select("doc_id", "text"), "doc_id")
+    return checked.filter(F.contains("text", F.col("passage"))).select("doc_id", "item_id")
 
 
 @query("""
 WITH w AS (SELECT DISTINCT item_id, lower(unnest(regexp_extract_all(text, '[A-Za-z]{3,}'))) AS w FROM benchmark)
 SELECT a.item_id AS left_id, b.item_id AS right_id, count(*) AS shared FROM w a JOIN w b ON a.w = b.w AND a.item_id < b.item_id GROUP BY ALL HAVING count(*) >= 6""")
-def token_overlap_pairs(spark, sf):
-    w = t(spark, sf, "benchmark").select("item_id", F.explode(F.array_distinct(text.content_tokens(F.col("text")))).alias("w"))
-    pairs = w.withColumnRenamed("item_id", "left_id").join(w.withColumnRenamed("item_id", "right_id"), "w").filter("left_id < right_id")
-    return pairs.groupBy("left_id", "right_id").agg(F.count("*").alias("shared")).filter("shared >= 6")
+def token_overlap_pairs(spark, sf, least=6):
+    """Pairs of items with so many words in common. Of two such sets, ordered by how rare their words are, the first ones, all but least - 1, share a word: only these are joined."""
+    items = t(spark, sf, "benchmark").groupBy("item_id").agg(F.array_distinct(F.flatten(F.collect_set(text.content_tokens(F.col("text"))))).alias("words")).filter(F.size("words") >= least)
+    each = items.select("item_id", F.explode("words").alias("w"))
+    ranked = each.join(each.groupBy("w").agg(F.count("*").alias("n")), "w").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("ranked"))
+    rare = ranked.select("item_id", F.explode(F.slice("ranked", F.lit(1), F.size("ranked") - (least - 1))).alias("x")).select("item_id", "x.w")
+    pairs = rare.withColumnRenamed("item_id", "left_id").join(rare.withColumnRenamed("item_id", "right_id"), "w").filter("left_id < right_id").select("left_id", "right_id").distinct()
+    sides = [items.select(F.col("item_id").alias(f"{s}_id"), F.col("words").alias(s)) for s in ("left", "right")]
+    shared = pairs.join(sides[0], "left_id").join(sides[1], "right_id").withColumn("shared", F.size(F.array_intersect("left", "right")).cast("long"))
+    return shared.filter(F.col("shared") >= least).select("left_id", "right_id", "shared")
 
 
 @query("""
@@ -531,11 +546,10 @@ WITH w AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9_./%-
      s AS (SELECT doc_id, sqrt(sum(n * n)) AS size FROM b GROUP BY doc_id)
 SELECT doc_id, bin, round(n / size, 6) AS weight FROM b JOIN s USING (doc_id)""")
 def hash_bow(spark, sf):
-    """Nonzero bins of every whole text: equal tokens of a document are hashed once."""
-    w = t(spark, sf, "documents").select("doc_id", F.explode(text.feature_tokens(F.col("text"))).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("n"))
-    b = w.groupBy("doc_id", numeric.md5_mod(F.col("w"), 64).alias("bin")).agg(F.sum("n").alias("n"))
-    s = b.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("size"))
-    return b.join(s, "doc_id").select("doc_id", "bin", r6(F.col("n") / F.col("size")).alias("weight"))
+    """Nonzero bins of every whole text, as the gates' features have them: a row's work alone."""
+    bags = gate.with_bags(t(spark, sf, "documents").select("doc_id", "text"), {"bag": (F.col("text"), 64)})
+    # explode alone would have the optimiser copy all of the above into a filter below it
+    return bags.select("doc_id", F.posexplode_outer("bag").alias("bin", "weight")).filter("weight > 0").select("doc_id", "bin", r6(F.col("weight")).alias("weight"))
 
 
 @query(f"""
@@ -674,7 +688,10 @@ def validated_noise(spark, sf):
     return v.select("id", F.explode_outer("validated_noises").alias("variant", "checks"), F.col("meta_checks.truth_invariant").alias("truth_invariant")).select("id", "variant", "checks.*", "truth_invariant")
 
 
-@query()
+@query(f"""
+WITH {VARIANT_ROWS}, m(mode) AS (VALUES ('gate_step'), ('gate_step_commit'))
+SELECT mode, coalesce(variant, '_overall') AS variant, 1.0::DOUBLE AS acc, CASE WHEN variant IS NOT NULL THEN 1.0::DOUBLE END AS avg_tool_calls, CASE WHEN variant IS NOT NULL THEN 1.0::DOUBLE END AS evidence_f1, count(*) AS n
+FROM v, m GROUP BY GROUPING SETS ((mode, variant), (mode))""")
 def gated_ablation(spark, sf):
     """Step and commit gates trained on the mock run itself, and a run under them."""
     rows = generation.generate(problems(spark, sf))["benchmark"].withColumn("seq", F.col("id").cast("long"))
@@ -684,7 +701,7 @@ def gated_ablation(spark, sf):
     return ablation.summary(ablation.run(rows, only=["gate_step", "gate_step_commit"], step_model=step["model"], commit_model=commit["model"]))
 
 
-@query()
+@query("SELECT event_id, event_type AS kind, true AS ok, json_extract_string(props, '$.k')::INT AS k FROM events")
 def json_repair(spark, sf):
     e = t(spark, sf, "events")
     broken = F.concat(F.lit("<think>no</think>```json\n{'kind': '"), F.col("event_type"), F.lit("', 'ok': True, 'k': "), F.get_json_object("props", "$.k"), F.lit(",}\n```"))
@@ -692,6 +709,40 @@ def json_repair(spark, sf):
     return e.select("event_id", found.alias("f")).select("event_id", "f.*")
 
 
+def scripted(messages, choice):
+    """A model that calculates 6*7 once where it has a tool, and answers what it got, or 42."""
+    last = messages[-1]
+    if choice == "required":
+        return providers.Reply(None, [("call_0", "calculate", '{"calc_steps": ["x = 6*7", "x"]}')])
+    if last["role"] == "tool" and not last["content"].startswith("[CALCULATOR"):
+        return providers.Reply('<think>hm</think>{"reasoning": "calculated", "evidence_ids": [0], "final_answer": ""}')
+    return providers.Reply("```json\n{'calc_chain': '6*7 = <42>', 'reasoning': 'it is 42', 'evidence_ids': [0], 'final_answer': '42',}\n```")
+
+
+@query(f"""
+WITH {VARIANT_ROWS}, m(mode, forced, tool, oracle) AS (VALUES {", ".join(f"('{c[0]}', {c[4] and c[1] in ('real', 'noop', 'perfect')}, '{c[1]}', {c[3]})" for c in ablation.CONDITIONS)}),
+r AS (SELECT mode, variant, CASE WHEN tool = 'perfect' THEN 1.0 WHEN item_id + 1 = 42 THEN 1.0 ELSE 0.0 END AS ok, forced::INT AS calls,
+             CASE WHEN oracle THEN 1.0 WHEN len(before) = 0 AND len(core) > 1 THEN 2.0 / len(core) ELSE 0.0 END AS f1 FROM v, m)
+SELECT mode, coalesce(variant, '_overall') AS variant, round(avg(ok), 6)::DOUBLE AS acc, CASE WHEN variant IS NOT NULL THEN avg(calls)::DOUBLE END AS avg_tool_calls, CASE WHEN variant IS NOT NULL THEN round(avg(f1), 6)::DOUBLE END AS evidence_f1, count(*) AS n
+FROM r GROUP BY GROUPING SETS ((mode, variant), (mode))""")
+def live_ablation(spark, sf):
+    """All conditions answered by a scripted model through the loop, the reply readers and the scores."""
+    rows = generation.generate(problems(spark, sf))["benchmark"].withColumn("seq", F.col("id").cast("long"))
+    found = ablation.summary(live.run(rows, lambda: providers.Answering(scripted), lambda df: df))
+    return found.select("mode", "variant", r6(F.col("acc")).alias("acc"), "avg_tool_calls", r6(F.col("evidence_f1")).alias("evidence_f1"), "n")
+
+
+@query("SELECT o_orderkey::VARCHAR AS id, o_orderstatus AS variant, o_orderpriority AS mode, round(o_totalprice, 2)::VARCHAR AS pred_answer, (o_totalprice > 100000) AS answer_correct, [o_custkey::INT, NULL] AS pred_evidence_ids FROM orders")
+def jsonl_round_trip(spark, sf):
+    """Rows written as JSON lines, nulls and arrays included, put in place of an older folder and read back by their declared schema."""
+    o = t(spark, sf, "orders")
+    rows = o.select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderstatus").alias("variant"), F.col("o_orderpriority").alias("mode"), F.round("o_totalprice", 2).cast("string").alias("pred_answer"), (F.col("o_totalprice") > 100000).alias("answer_correct"), F.array(F.col("o_custkey").cast("int"), F.lit(None)).alias("pred_evidence_ids"))
+    path = f"{shared_folder(spark)}/round_trip-{uuid.uuid4().hex}"
+    write_jsonl(rows.limit(1), path)
+    write_swapped(rows, path)
+    return read_jsonl(spark, path, rows.schema)
+
+
 # -- more scalar functions over tables --
 
 

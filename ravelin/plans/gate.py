@@ -26,6 +26,8 @@ FEATURES = [
     "n_pred_evidence_ids", "evidence_coverage_ratio", "n_distinct_outputs", "all_outputs_same", "expression_complexity",
 ]
 KEYS = ["id", "variant"]
+#: Groups of rows whose sizes may come to the driver.
+MOST_GROUPS = 10_000
 
 
 # -- features --
@@ -97,10 +99,14 @@ def vector(columns: dict[str, Column], names: list[str] = FEATURES) -> Column:
 
 
 def with_bags(df: DataFrame, bags: dict[str, tuple[Column, int]]) -> DataFrame:
-    """Adds a hashed bag of words for each name: (text, bins). Bins of tokens are found once a row, then counted."""
+    """Adds a hashed bag of words for each name: (text, bins). Bins of tokens are found once a row, then counted.
+
+    Each column is used twice by the next, or the optimiser would put it into the function that runs for every bin.
+    """
     df = df.withColumns({f"_{n}_at": numeric.md5_bins(text.feature_tokens(c), k) for n, (c, k) in bags.items()})
     df = df.withColumns({f"_{n}_count": numeric.bin_counts(F.col(f"_{n}_at"), k) for n, (_, k) in bags.items()})
-    return df.withColumns({n: numeric.unit_length(F.col(f"_{n}_count")) for n in bags})
+    df = df.withColumns({f"_{n}_length": F.sqrt(F.aggregate(f"_{n}_count", F.lit(0.0), lambda s, v: s + v * v)) for n in bags})
+    return df.withColumns({n: numeric.scaled(F.col(f"_{n}_count"), F.col(f"_{n}_length")) for n in bags})
 
 
 def with_step_features(df: DataFrame, name: str = "features", spec: dict = FEATURE_SPEC) -> DataFrame:
@@ -198,11 +204,14 @@ def fold(group: Column, k: int) -> Column:
     return numeric.md5_mod(group.cast("string"), k)
 
 
-def balanced_folds(df: DataFrame, group: str, k: int = FOLDS) -> DataFrame:
-    """(group, fold): largest groups first, each to the fold with the fewest rows. Groups, not rows, come to the driver."""
-    sizes = df.groupBy(group).agg(F.count("*").alias("n")).orderBy(F.desc("n"), group).collect()
+def balanced_folds(df: DataFrame, group: str, k: int = FOLDS, most: int = MOST_GROUPS) -> DataFrame:
+    """(group, fold): largest groups first, each to the fold with the fewest rows. More than `most` groups even out by themselves: they go by fold()."""
+    sizes = df.groupBy(group).agg(F.count("*").alias("n"))
+    some = sizes.orderBy(F.desc("n"), group).limit(most + 1).collect()
+    if len(some) > most:
+        return sizes.select(group, fold(F.col(group), k).alias("fold"))
     load, out = [0] * k, []
-    for r in sizes:
+    for r in some:
         at = min(range(k), key=lambda i: (load[i], i))
         load[at] += r.n
         out.append((r[group], at))

@@ -143,12 +143,15 @@ def assembled(df: DataFrame, variants: list[str] | None = None, calc_text: bool
     given = F.when(F.size("core_sentences") > 0, F.col("core_sentences")).otherwise(text.split_sentences(F.col("question")))
     none = empty("array<string>")
     named = lambda v, layout: F.struct(F.lit(v).alias("variant"), layout.alias("layout"))
+    clash = [c for c in df.columns if c in {"_given", "_row", *(f"_{p}_{v}" for v in variants for p in ("before", "after"))}]
+    if clash:
+        raise ValueError(f"columns of these names are needed here: {', '.join(clash)}")
     own = df.withColumn("_given", given).withColumn("core_sentences", text.question_last(F.col("_given"))).withColumns({f"_{p}_{v}": of_variant(F.col("noise"), v, p) for v in variants for p in ("before", "after")})
     core = F.col("core_sentences")
     rows = F.array(named("base", row_layout(core, none, none)), *[named(v, row_layout(core, F.col(f"_before_{v}"), F.col(f"_after_{v}"))) for v in variants])
     kept = F.filter(rows, lambda r: (F.size(core) > 0) & ((r.variant == "base") | (r.layout.n_before + r.layout.n_after > 0)))
     layout = ["question_sentences", "evidence_sentence_ids", "noise_sentence_ids", "n_before", "n_after", "position"]
-    static = [c for c in own.columns if not c.startswith("_") and c not in {*layout, "variant", "noise", "meta"}]
+    static = [c for c in dict.fromkeys([*df.columns, "core_sentences"]) if c not in {*layout, "variant", "noise", "meta"}]
     meta = F.struct((text.calc_text(F.col("schema.calc_chain")) if calc_text else F.lit(None).cast("string")).alias("calc_chain"))
     # explode alone would have the optimiser copy all of the above into a filter below it
     return own.select(*static, meta.alias("meta"), F.explode_outer(kept).alias("_row")).filter("_row is not null").select(*static, "meta", "_row.variant", "_row.layout.*")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,16 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share: that of spark.checkpoint.dir, or, where a local master has none, one of its own."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if path:
+        return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"file://{tempfile.gettempdir()}/ravelin"
+
+
 def write_stages(stages: dict[str, DataFrame], root: str) -> None:
     """A folder for each stage in order: 01_<name>, 02_<name> and so on."""
     for k, (name, df) in enumerate(stages.items(), 1):
@@ -46,6 +57,11 @@ def load_problems_source(spark: SparkSession, config: dict, schema: T.StructType
     return df, {"source": "huggingface" if hosted else "local", "path": path}
 
 
+def load_benchmark_source(spark: SparkSession, config: dict, schema: T.StructType | str) -> DataFrame:
+    """Benchmark rows of the config's benchmark_data_path."""
+    return read_ordered(spark, config["benchmark_data_path"], schema)
+
+
 def export_split(rows: DataFrame, split: str, limit: int | None = None, dataset: str = "gsm8k", index: str = "index") -> DataFrame:
     """Records of a hosted split with id <dataset>/<split>/<index>, stripped texts, and the first `limit` by index."""
     ordered = rows.orderBy(index).limit(limit) if limit is not None else rows
@@ -104,6 +120,18 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
+def write_mlp(spark: SparkSession, model, path: str, facts: dict | None = None) -> None:
+    """A perceptron gate: Spark ML's own folder, and beside it the artifact's other facts as JSON."""
+    model.write().overwrite().save(f"{path}/model")
+    write_text(spark, f"{path}/facts.json", json.dumps(facts or {}, ensure_ascii=False))
+
+
+def read_mlp(spark: SparkSession, path: str) -> dict:
+    from pyspark.ml import PipelineModel
+
+    return json.loads(read_text(spark, f"{path}/facts.json")) | {"model": PipelineModel.load(f"{path}/model")}
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     return "\n".join(r.value for r in spark.read.option("wholetext", "true").text(path).collect())
 

@@ -4,6 +4,7 @@ import pytest
 from problems import RAW
 
 from ravelin import schemas
+from ravelin.plans import gate, live
 from ravelin.sources import jsonl, providers
 from ravelin.streaming import results as stream
 
@@ -89,21 +90,91 @@ def test_gate_continue_no_progress_and_duplicates():
 def test_retry_and_providers():
     waits, tries = [], [RuntimeError("429 rate limit"), RuntimeError("timeout"), providers.Reply("ok")]
     llm = providers.Scripted(tries)
-    assert providers.with_retry(lambda: llm.chat([]), sleep=waits.append).content == "ok" and waits == [0.5, 1.0]
+    assert providers.with_retry(lambda: llm.chat([]), sleep=waits.append).content == "ok" and waits == [0.8, 1.6]
     with pytest.raises(RuntimeError, match="bad key"):
         providers.with_retry(lambda: providers.Scripted([RuntimeError("bad key")]).chat([]), sleep=waits.append)
     with pytest.raises(ValueError):
         providers.provider("none")
     assert providers.is_mock("mock://x", None) and providers.is_mock(None, "mock-1") and not providers.is_mock("http://x", "m")
-    assert "seed" not in providers.adapted_options("gemini-x", {"seed": 1}) and "extra_body" in providers.adapted_options("Qwen3", {"a": None})
+    assert "seed" not in providers.adapted_options("m", {"seed": 1}, "https://generativelanguage.googleapis.com/v1") and "seed" in providers.adapted_options("gemini-x", {"seed": 1}) and "extra_body" in providers.adapted_options("Qwen3", {"a": None})
     assert providers.filled("{a} {b}", a=1) == "{a} {b}"
 
 
-def test_solve(spark):
-    rows = spark.createDataFrame([("1", "TB", "fc_baseline", "real", 5, "q", "3"), ("2", "TB", "fc_noop", "noop", 5, "q", "3")], "id string, variant string, mode string, tool_mode string, max_tool_calls int, prompt string, gold_answer string").coalesce(1)
-    build = lambda: providers.Scripted([calc("1+2"), providers.Reply('{"final_answer": "3"}'), RuntimeError("broken")])
-    got = {r.id: r for r in providers.solve(rows, build, "s").collect()}
-    assert (got["1"].pred_answer, got["1"].tool_calls, got["1"].error) == ("3", 1, None) and "broken" in got["2"].error
+def test_first_tool_choice_and_waits():
+    assert providers.first_tool_choice(True) == "required" and providers.first_tool_choice(False) == "auto"
+    assert providers.first_tool_choice(True, "https://generativelanguage.googleapis.com/v1beta") == {"type": "function", "function": {"name": "calculate"}}
+    waits = []
+    llm = providers.Scripted([RuntimeError(x) for x in ("API key expired", "504 gateway", "service unavailable", "timed out")])
+    with pytest.raises(RuntimeError, match="after 4 attempts: timed out"):
+        providers.with_retry(lambda: llm.chat([]), sleep=waits.append)
+    assert waits == [0.8, 1.6, 3.2] and not llm.replies
+    for text in ("overloaded", "connection refused", "bad request"):
+        llm = providers.Scripted([RuntimeError(text), providers.Reply("late")])
+        with pytest.raises(RuntimeError, match=text):
+            providers.with_retry(lambda llm=llm: llm.chat([]), sleep=waits.append)
+    assert len(waits) == 3
+
+
+def test_paced():
+    now, slept = [0.0], []
+    llm = providers.Paced(providers.Mock("x"), 2.0, lambda: now[0], slept.append)
+    llm.chat([])
+    now[0] = 0.5
+    assert llm.chat([]).content == "x" and slept == [1.5]
+
+
+LIVE = "id string, variant string, mode string, tool_mode string, max_tool_calls int, oracle_evidence boolean, commit_gate boolean, gold_answer string, gold_evidence_ids array<int>, prompt string, n_chunks_seen int, step_gate boolean, force_tool_first_turn boolean"
+
+
+def live_rows(spark, *modes, n=2):
+    return spark.createDataFrame([(str(k), "TB", m, tool, 5, False, commit, "3", [0, 1], "q", 4, False, True) for k in range(n) for m, tool, commit in modes], LIVE).coalesce(1)
+
+
+def test_answered_and_errors(spark):
+    build = lambda: providers.Scripted([calc("1+2"), providers.Reply('{"final_answer": "3", "evidence_ids": [0, 1], "reasoning": "r"}'), RuntimeError("broken")])
+    found = live.results(live.answered(live_rows(spark, ("fc_baseline", "real", False)), build).cache()).collect()
+    got = {r.id: r for r in found}
+    assert got["0"].answer_correct and got["0"].evidence_exact_match and got["0"].tool_calls == 1 and got["0"].expression == "1+2" and got["0"].tool_trace[0].output == "3"
+    assert not got["1"].answer_correct and "broken" in got["1"].reasoning and got["1"].tool_calls == 0
+
+
+def test_conditions_without_tools(spark):
+    gemini = "https://generativelanguage.googleapis.com"
+    thought = '{"calc_chain": "1+2 = <3>", "evidence_ids": [1], "final_answer": "3"}'
+    ask = lambda replies, mode, url="": live.answered(live_rows(spark, ("m", mode, False), n=1), lambda: providers.Scripted([providers.Reply(x) for x in replies]), base_url=url).collect()[0]
+    r = ask([thought], "notool")
+    assert (r.pred_answer, r.pred_evidence_ids, r.trace_text, r.error) == ("3", [1], None, None)
+    assert ask(['{"calc_chain": "so 4.0", "final_answer": "7"}'], "notool").pred_answer == "4"
+    assert ask(['{"reasoning": "then -2.5", "final_answer": ""}'], "fcprompt").pred_answer == "-2.5"
+    assert ask(["no JSON at all", thought], "notool", gemini).pred_answer == "3"  # sent back
+    r = ask(["nothing", "nothing", thought], "notool", gemini)  # sent back, then asked shortly
+    assert (r.pred_answer, r.pred_evidence_ids) == ("3", [1])
+    r = ask(['{"reasoning": "cut off", "evidence_ids": [2, 0], "final_answer": "8'], "fcprompt", gemini)
+    assert (r.pred_answer, r.pred_evidence_ids, r.reasoning) == ("8", [2, 0], "cut off")
+
+
+def test_one_more_turn(spark):
+    rows = live_rows(spark, ("gate_commit_only", "real", True), ("fc_baseline", "real", False), n=1)
+    first = lambda: providers.Answering(lambda m, c: calc("1+1") if c == "required" else providers.Reply('{"final_answer": "2", "evidence_ids": [0]}'))
+    second = lambda: providers.Answering(lambda m, c: calc("1+2") if c == "required" else providers.Reply('{"final_answer": "3", "evidence_ids": [0, 1]}') if m[-2]["role"] == "assistant" and len(m) > 6 else None)
+    found = live.answered(rows, first).cache()
+    got = {r["mode"]: r for r in live.results(live.committed(found, second, gate.LinearGate([0.0] * 136, 8.0))).collect()}
+    assert (got["fc_baseline"].pred_answer, got["fc_baseline"].gate_action, got["fc_baseline"].tool_calls) == ("2", "submit", 1)
+    r = got["gate_commit_only"]
+    assert (r.pred_answer, r.gate_action, r.gate_one_more_used, r.tool_calls, r.expression, r.answer_correct) == ("3", "one_more_turn", 1, 2, "1+1 | 1+2", True)
+    calm = live.results(live.committed(found, second, gate.LinearGate([0.0] * 136, -8.0))).collect()
+    assert {r.gate_action for r in calm} == {"submit"}
+
+
+def test_perceptron_is_kept(spark, tmp_path):
+    rows = spark.createDataFrame([([float(k % 2), float(k)], k % 2) for k in range(40)], "features array<double>, y int")
+    model = gate.fit_mlp(rows)
+    jsonl.write_mlp(spark, model, f"{tmp_path}/mlp", {"positive_class": "continue"})
+    back = jsonl.read_mlp(spark, f"{tmp_path}/mlp")
+    from pyspark.ml.functions import array_to_vector
+
+    data = rows.select(array_to_vector("features").alias("raw"))
+    assert back["positive_class"] == "continue" and back["model"].transform(data).select("prediction").collect() == model.transform(data).select("prediction").collect()
 
 
 def test_stream(spark, tmp_path):

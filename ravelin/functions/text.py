@@ -300,6 +300,7 @@ def chain_steps(chain: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(chain, F.lit("")), ";"), strip), lambda s: (s != "") & ~F.startswith(s, F.lit("final=")))
 
 
+# Names of elements that are no answers.
 TAG_NAMES = ["answer", "result", "final_answer", "think", "reasoning", "expression"]
 
 

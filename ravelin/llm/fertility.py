@@ -6,7 +6,7 @@ many languages gives its own characters per token.
 Prose of a language holds each of these within a narrow band, while mark-up debris, tables,
 encoded data and the like cost tokens without letters. The bands of each language are fitted to the
 whole corpus: the median of all distinct texts that pass the base rules, and multiples of the median
-absolute deviation around it. Words are encoded one by one, as neither vocabulary's pieces cross white space.
+absolute deviation around it, both drawn towards those of all languages as far as a language has few texts. Words are encoded one by one, as neither vocabulary's pieces cross white space.
 """
 
 from __future__ import annotations
@@ -36,9 +36,12 @@ SHORT = 60
 FALLBACK_ABOVE, FALLBACK_LEAST = 12.0, 0.01
 #: Bits of token entropy at least; ordinary prose of LEAST_WORDS words has over 5.
 LEAST_ENTROPY, SHORT_ENTROPY = 3.0, 0.75
-#: Languages with fewer measured documents have the wide bands instead.
-LEAST_MEASURED = 30
-WIDE = {"low": 0.3, "high": 12.0, "fallback": 0.5}
+#: A language's deviation is held as if so many more of its texts had the deviation that texts have within all languages.
+PRIOR_TEXTS = 10
+#: Its median is held as if medians of languages lay around that of all texts with the deviation that they have, this at least. Where
+#: no text at all passes the base rules, UNKNOWN stands for the median of all texts.
+SPREAD = {"letters_per_token": 0.5, "chars_per_token": 0.5, "second_chars_per_token": 0.5, "fallback_share": 0.04}
+UNKNOWN = {"letters_per_token": 3.0, "chars_per_token": 3.2, "second_chars_per_token": 3.2, "fallback_share": 0.0}
 
 #: Bands of at most so many languages are sent to all tasks, 80 bytes each; the bands of more are joined, by a join that stands alone and can be split.
 MOST_LANGUAGES = 100_000
@@ -139,24 +142,41 @@ def measured(docs: DataFrame, path: str, second_path: str) -> DataFrame:
 
 
 def bands(rows: DataFrame) -> DataFrame:
-    """(lang, enough, most_fallback, and per measure of BANDS its middle, low and high) fitted to all measured texts that pass the base rules, copies counted once."""
-    columns = [*BANDS, "fallback_share"]
-    own = rows.filter("not base_failed").groupBy("lang", "text_hash").agg(*[F.max(c).alias(c) for c in columns])
-    binned = own.select("lang", F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.round(F.col(c) * BINS_PER_UNIT).cast("long").alias("bin")) for c in columns])).alias("x"))
-    bins = binned.groupBy("lang", "x.measure", "x.bin").agg(F.count("*").alias("n"))
-    middle = bins.groupBy("lang", "measure").agg(F.percentile("bin", F.lit(0.5), F.col("n")).alias("middle"), F.sum("n").alias("n_texts"))
-    away = bins.join(middle, ["lang", "measure"]).groupBy("lang", "measure").agg(F.percentile(F.abs(F.col("bin") - F.col("middle")), F.lit(0.5), F.col("n")).alias("mad"))
-    both = middle.join(away, ["lang", "measure"]).select("lang", "measure", "n_texts", (F.col("middle") / BINS_PER_UNIT).alias("middle"), (F.col("mad") * 1.4826 / BINS_PER_UNIT).alias("deviation"))
-    of = lambda c, value: F.max(F.when(F.col("measure") == c, value))
-    enough = F.col("n_texts") >= LEAST_MEASURED
-    out = [F.max(enough).alias("enough")]
-    for c, (below, above, least) in BANDS.items():
-        wide = F.greatest("deviation", F.lit(least))
-        low = F.when(enough, F.col("middle") - below * wide).otherwise(WIDE["low"])
-        high = F.when(enough, F.col("middle") + above * wide).otherwise(WIDE["high"])
-        out += [of(c, F.col("middle")).alias(f"{c}_middle"), of(c, low).alias(f"{c}_low"), of(c, high).alias(f"{c}_high")]
-    most = F.when(enough, F.col("middle") + FALLBACK_ABOVE * F.greatest("deviation", F.lit(FALLBACK_LEAST))).otherwise(WIDE["fallback"])
-    return both.groupBy("lang").agg(*out, of("fallback_share", most).alias("most_fallback"))
+    """(lang, most_fallback, and per measure of BANDS its middle, low and high) of each language, fitted to all measured texts that pass the base rules, copies counted once.
+
+    A language of n texts with median m and deviation d within it: its deviation s is that of d and PRIOR_TEXTS of all languages' d0; its
+    middle is the mean of m, weighed by n / s^2, and of all texts' median, weighed by 1 / spread^2; the band counts deviations of
+    sqrt(s^2 + 1 / (sum of weights)). So bands narrow steadily from those of an unknown language (n = 0) to the language's own.
+    """
+    least = {c: b[2] for c, b in BANDS.items()} | {"fallback_share": FALLBACK_LEAST}
+    own = rows.filter("not base_failed").groupBy("lang", "text_hash").agg(*[F.max(c).alias(c) for c in least])
+    binned = own.select("lang", F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.round(F.col(c) * BINS_PER_UNIT).cast("long").alias("bin")) for c in least])).alias("x"))
+    bins = materialise(binned.groupBy("lang", "x.measure", "x.bin").agg(F.count("*").alias("n")), "bins")
+    half = lambda value: F.percentile(value, F.lit(0.5), F.col("n"))
+    middle = bins.groupBy("lang", "measure").agg(half(F.col("bin")).alias("middle"), F.sum("n").alias("n_texts"))
+    away = bins.join(middle, ["lang", "measure"]).select("lang", "measure", "n", F.abs(F.col("bin") - F.col("middle")).alias("away"))
+    unit = 1.4826 / BINS_PER_UNIT
+    # a row for each measure
+    of_all = {r.measure: r.middle / BINS_PER_UNIT for r in bins.groupBy("measure").agg(half(F.col("bin")).alias("middle")).collect()}
+    within = {r.measure: r.away * unit for r in away.groupBy("measure").agg(half(F.col("away")).alias("away")).collect()}
+    apart = F.abs(F.col("middle") - F.element_at(F.create_map(*[x for c in least for x in (F.lit(c), F.lit(of_all.get(c, UNKNOWN[c]) * BINS_PER_UNIT))]), F.col("measure")))
+    between = {r.measure: r.apart * unit for r in middle.groupBy("measure").agg(F.percentile(apart, F.lit(0.5)).alias("apart")).collect()}
+
+    both = middle.join(away.groupBy("lang", "measure").agg(half(F.col("away")).alias("away")), ["lang", "measure"])
+    of = lambda c, name: F.max(F.when(F.col("measure") == c, F.col(name))).alias(f"{c}_{name}")
+    wide = both.groupBy("lang").agg(*[of(c, name) for c in least for name in ("n_texts", "middle", "away")])
+    out = rows.select("lang").distinct().join(wide, "lang", "left")
+    for c in least:
+        n, m, d = F.coalesce(f"{c}_n_texts", F.lit(0)), F.coalesce(f"{c}_middle", F.lit(0.0)) / BINS_PER_UNIT, F.coalesce(f"{c}_away", F.lit(0.0)) * unit
+        spread = max(between.get(c, 0.0), SPREAD[c])
+        s = F.greatest(F.sqrt((n * d * d + PRIOR_TEXTS * within.get(c, 0.0) ** 2) / (n + PRIOR_TEXTS)), F.lit(least[c]))
+        out = out.withColumns({f"{c}_s": s}).withColumns({f"{c}_weight": n / F.col(f"{c}_s") ** 2})
+        precision = F.col(f"{c}_weight") + 1 / spread**2
+        out = out.withColumns({f"{c}_middle": (F.col(f"{c}_weight") * m + of_all.get(c, UNKNOWN[c]) / spread**2) / precision, f"{c}_deviation": F.sqrt(F.col(f"{c}_s") ** 2 + 1 / precision)})
+    limits = [F.col(f"{c}_middle") + k * F.col(f"{c}_deviation") for c, (below, above, _) in BANDS.items() for k in (-below, above)]
+    names = [f"{c}_{side}" for c in BANDS for side in ("low", "high")]
+    most = F.col("fallback_share_middle") + FALLBACK_ABOVE * F.col("fallback_share_deviation")
+    return out.select("lang", *[f"{c}_middle" for c in BANDS], *[x.alias(name) for x, name in zip(limits, names, strict=True)], most.alias("most_fallback"))
 
 
 def judge(docs: DataFrame, path: str, second_path: str, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -179,7 +199,7 @@ def judge(docs: DataFrame, path: str, second_path: str, least_words: int = LEAST
     inside = (F.col("fallback_share") <= F.col("most_fallback")) & (F.col("entropy") >= F.least(F.lit(LEAST_ENTROPY), SHORT_ENTROPY * F.log2("n_tokens")))
     for c in BANDS:
         inside = inside & F.col(c).between(F.col(f"{c}_low"), F.col(f"{c}_high"))
-    return fitted.drop("enough", *[f"{c}_middle" for c in BANDS]).withColumn("kept", (F.col("n_words") >= least_words) & (100 * F.col("n_repeat_words") <= MOST_REPEATED * F.col("n_words")) & F.coalesce(inside, F.lit(False)))
+    return fitted.drop(*[f"{c}_middle" for c in BANDS]).withColumn("kept", (F.col("n_words") >= least_words) & (100 * F.col("n_repeat_words") <= MOST_REPEATED * F.col("n_words")) & F.coalesce(inside, F.lit(False)))
 
 
 def keep_good(docs: DataFrame, path: str, second_path: str, least_words: int = LEAST_WORDS) -> DataFrame:

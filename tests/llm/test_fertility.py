@@ -5,6 +5,7 @@ from collections import Counter
 
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
 from ravelin.llm import byte_bpe, fertility
@@ -89,29 +90,54 @@ def test_measures_bands_and_verdicts_by_brute_force(spark):
     got = {k: dict(zip(names, whole(d.text, own, second), strict=True)) for k, d in docs.items() if d.text and d.text.split()}
     for k, m in got.items():
         assert all(abs(rows[k][c] - m[c]) < 1e-9 for c in names if docs[k].text.isprintable() or c != "letters_per_token")
-    of_lang = {}
-    for k in got:
-        if not rows[k].base_failed:
-            of_lang.setdefault(docs[k].lang, {})[docs[k].text] = k
-    limits = {}
-    for lang, texts in of_lang.items():
-        if len(texts) < fertility.LEAST_MEASURED:
-            continue
-        for c in (*fertility.BANDS, "fallback_share"):
-            values = [math.floor(got[k][c] * 1000 + 0.5) / 1000 for k in texts.values()]
-            middle = statistics.median(values)
-            limits[lang, c] = middle, 1.4826 * statistics.median(abs(v - middle) for v in values)
-    assert limits
+    limits = limits_by_brute_force({k: (docs[k].lang, docs[k].text, m) for k, m in got.items() if not rows[k].base_failed})
     for k, m in got.items():
-        if (docs[k].lang, "fallback_share") not in limits:
-            continue
-        wide = math.sqrt(1 + fertility.SHORT / rows[k].n_tokens)
         kept = not rows[k].base_failed and m["entropy"] >= 3
-        for c, (below, above, least) in fertility.BANDS.items():
-            middle, mad = limits[docs[k].lang, c]
-            kept = kept and middle - below * max(mad, least) * wide <= m[c] <= middle + above * max(mad, least) * wide
-        middle, mad = limits[docs[k].lang, "fallback_share"]
-        assert rows[k].kept == (kept and m["fallback_share"] <= middle + 12 * max(mad, 0.01)), k
+        wide = math.sqrt(1 + fertility.SHORT / rows[k].n_tokens)
+        for c, (below, above, _) in fertility.BANDS.items():
+            middle, deviation = limits[docs[k].lang, c]
+            kept = kept and middle - below * deviation * wide <= m[c] <= middle + above * deviation * wide
+        middle, deviation = limits[docs[k].lang, "fallback_share"]
+        assert rows[k].kept == (kept and m["fallback_share"] <= middle + fertility.FALLBACK_ABOVE * deviation), k
+
+
+def limits_by_brute_force(texts):
+    """(language, measure) -> middle and deviation, of {id: (language, text, measures)}."""
+    limits = {}
+    for c in (*fertility.BANDS, "fallback_share"):
+        least = fertility.BANDS[c][2] if c in fertility.BANDS else fertility.FALLBACK_LEAST
+        of = {}
+        for lang, text, m in texts.values():
+            of.setdefault(lang, {})[text] = math.floor(m[c] * 1000 + 0.5) / 1000
+        values = {lang: list(v.values()) for lang, v in of.items()}
+        middle = {lang: statistics.median(v) for lang, v in values.items()}
+        of_all = statistics.median(x for v in values.values() for x in v)
+        within = 1.4826 * statistics.median(abs(x - middle[lang]) for lang, v in values.items() for x in v)
+        spread = max(1.4826 * statistics.median(abs(x - of_all) for x in middle.values()), fertility.SPREAD[c])
+        for lang, v in values.items():
+            own, n = 1.4826 * statistics.median(abs(x - middle[lang]) for x in v), len(v)
+            s = max(math.sqrt((n * own**2 + fertility.PRIOR_TEXTS * within**2) / (n + fertility.PRIOR_TEXTS)), least)
+            weights = n / s**2, 1 / spread**2
+            limits[lang, c] = (weights[0] * middle[lang] + weights[1] * of_all) / sum(weights), math.sqrt(s**2 + 1 / sum(weights))
+    return limits
+
+
+def test_rare_languages_and_small_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    german = {r.doc_id: r.kept for r in fertility.judge(docs.filter("lang = 'de'"), *PATH).collect()}
+    some = docs.filter("lang = 'de'").orderBy("doc_id").limit(12).withColumn("lang", F.lit("xx"))
+    few = {r.doc_id: r.kept for r in fertility.judge(some.unionByName(docs.filter("lang <> 'de'")), *PATH).collect()}
+    rare = [r.doc_id for r in some.collect()]
+    assert {german[k] for k in rare} == {True, False} and all(few[k] == german[k] for k in rare)
+    alone = {r.doc_id: r.kept for r in fertility.judge(some, *PATH).collect()}
+    assert all(alone[k] for k in rare if labels.get(k) == 1)
+    # a language without any text that passes the base rules, and a table of such ones alone
+    prose = " ".join(some.filter(f"doc_id = {next(k for k in rare if german[k])}").first().text.split()[:30])
+    short = spark.createDataFrame([(-1, prose, "yy")], docs.schema)
+    for table in (short.unionByName(docs), short):
+        assert fertility.judge(table, *PATH, least_words=1).filter("doc_id = -1").first().kept
+        assert not fertility.judge(table, *PATH).filter("doc_id = -1").first().kept
 
 
 def test_short_prose_stays_where_asked(spark):

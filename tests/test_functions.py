@@ -142,3 +142,26 @@ def test_free_text(spark):
     assert one(spark, " 1 + 2\t", "string", text.normal_expression) == "1+2" and one(spark, "1/2 ; final=3; ;2", "string", text.chain_steps) == ["1/2", "2"]
     assert one(spark, "a<think>b\nc</think> d ", "string", text.without_think_tags) == "a d"
     assert one(spark, "v {a} {b}", "string", lambda c: text.fill_template(c, a=F.lit(1), b=F.lit(None))) == "v 1 "
+
+
+def plain_tokenizer():
+    """Stands for a tokenizer with a template of its own."""
+
+    class Plain:
+        def apply_chat_template(self, messages, tokenize, add_generation_prompt, enable_thinking):
+            assert tokenize is False
+            turns = "".join(f"<{m['role']}>{m['content']}</{m['role']}>" for m in messages)
+            return turns + ("<assistant>" if add_generation_prompt else "") + ("<think>" if enable_thinking else "")
+
+    return Plain()
+
+
+def test_chat_prompt(spark):
+    from ravelin.functions.chat import chat_prompt
+
+    df = spark.createDataFrame([(1, "How many?"), (2, ""), (3, None)], "k int, text string")
+    got = df.orderBy("k").select(chat_prompt(F.col("text"), plain_tokenizer).alias("a"), chat_prompt(F.col("text"), plain_tokenizer, add_generation_prompt=False, enable_thinking=True).alias("b")).collect()
+    assert [r.a for r in got] == ["<user>How many?</user><assistant>", "<user></user><assistant>", None]
+    assert [r.b for r in got] == ["<user>How many?</user><think>", "<user></user><think>", None]
+    with pytest.raises(ValueError, match="unknown chat template"):
+        chat_prompt(F.col("text"), plain_tokenizer, template="other")

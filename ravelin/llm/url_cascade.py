@@ -5,7 +5,8 @@ holds. Level 0 encodes the listed keys, level 1 the other keys that level 0 take
 that level 1 takes wrongly, and so on until none is left. Over that universe membership is exact: the
 first level that lacks a key decides. A level is a bit map of proven size in blocks: one hash picks a key's block,
 another its bits there. Each level stands once in the plan, as a binary constant from which a block is cut, so pages are
-judged in one scan without a join or a shuffle. Where the constants would exceed MOST_BITS, the listed keys are joined instead.
+judged in one scan without a join or a shuffle. A universe whose constants would exceed MOST_BITS is halved by bits of a hash of the
+key until each part has a cascade of its own within MOST_BITS; there is a scan for each part, and never a join.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from ravelin.llm.common import materialise, table
 RULES = (("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"), ("net/", "block"))
 #: The query's list of hosts: those of its table with one of these labels.
 LISTED_LABELS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
-#: Bits of all levels together, 8 MiB.
-MOST_BITS = 1 << 26
+#: Bits of all levels together, 8 MiB, and the least that may be asked for.
+MOST_BITS, LEAST_BITS = 1 << 26, 1 << 12
 #: A block is LONGS numbers of LONG_BITS bits, of which a prime number are used; a byte of the constant holds seven bits.
 LONGS, LONG_BITS, BLOCK_BITS = 7, 63, 439
 #: Levels of at most so many keys take few false positives, which ends the cascade early.
@@ -126,6 +127,23 @@ class Cascade:
         return rows.select(*names, found.alias(out))
 
 
+def judged_in_parts(rows: DataFrame, key: str, out: str, universe: DataFrame, most_bits: int = MOST_BITS, halvings: int = 0) -> DataFrame:
+    """rows with a column out: whether the key is listed in universe (key, listed), by one cascade where that takes most_bits at most.
+
+    Beyond it keys are halved by the next bit of a hash, and either half goes the same way. Each part is written before the next one is
+    built, so no plan and no task holds the constants of two. Keys of one hash in all 64 bits can't be halved and raise.
+    """
+    cascade = Cascade(universe, max(most_bits, LEAST_BITS))
+    if cascade.fits:
+        whole = cascade.judged(rows, key, out)
+        return materialise(whole, "judged") if halvings else whole
+    if halvings == 64:
+        raise ValueError("keys of one hash exceed a cascade")
+    half = lambda c, bit: F.getbit(F.xxhash64(F.lit(-1), F.col(c)), F.lit(halvings)) == bit
+    parts = [judged_in_parts(rows.filter(half(key, b)), key, out, universe.filter(half("key", b)), most_bits, halvings + 1) for b in (0, 1)]
+    return parts[0].union(parts[1])
+
+
 def judge(pages: DataFrame, listed: DataFrame, rules: tuple = RULES, most_bits: int = MOST_BITS) -> DataFrame:
     """Per row of pages (page_id, url): page_id, host, path, rule, verdict, listed.
 
@@ -139,11 +157,7 @@ def judge(pages: DataFrame, listed: DataFrame, rules: tuple = RULES, most_bits:
     both = rows.groupBy(F.col("host").alias("key")).agg(F.lit(False).alias("own")).union(listed.select(F.col("host"), F.lit(True)).filter("host is not null"))
     universe = both.groupBy("key").agg(F.bool_or("own").alias("listed"), F.bool_or(~F.col("own")).alias("met")).filter("met").select("key", "listed")
     universe = materialise(universe, "hosts")
-    cascade = Cascade(universe, most_bits)
-    if cascade.fits:
-        rows = cascade.judged(rows, "host", "listed")
-    else:
-        rows = rows.join(universe.withColumnRenamed("key", "host"), "host", "left")
+    rows = judged_in_parts(rows, "host", "listed", universe, most_bits)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed")
 

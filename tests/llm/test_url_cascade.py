@@ -40,6 +40,22 @@ def test_cascade_is_exact(spark, n, step):
     assert cascade.bits == sum(8 * len(level.constant) for level in cascade.levels)
 
 
+@pytest.mark.parametrize("step", [2])
+def test_parts_of_a_large_list(spark, step):
+    """A list of many times the bits allowed: several cascades, the same rows, and no join."""
+    hosts = spark.range(4000).select(F.concat(F.lit("h"), F.col("id"), F.lit(".org")).alias("host"))
+    df = spark.range(8000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), F.col("id") % 4000, F.lit(".org/")).alias("url"))
+    df = df.union(spark.sql("select -1L, cast(null as string)"))
+    own = hosts.filter(F.substring("host", 2, 9).isin([f"{k}.org" for k in range(0, 4000, step)]))
+    whole = U.Cascade(hosts.select(F.col("host").alias("key"), F.lit(True).alias("listed")))
+    got = U.judge(df, own, rules=(), most_bits=max(whole.bits // 4, U.LEAST_BITS))
+    assert got.inputFiles() and len({f.rsplit("/", 2)[1] for f in got.inputFiles()}) > 1
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = got.collect()
+    assert len(rows) == 8001
+    assert {(r.page_id, r.verdict) for r in rows} == {(k, "allow" if k % 4000 % step else "block") for k in range(8000)} | {(-1, "allow")}
+
+
 def test_plan_is_native(spark):
     plan = U.op6_url_cascade(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ravelin.llm import url_cascade
+from ravelin.llm import oracles, url_cascade
 from ravelin.llm.byte_bpe import op5_byte_bpe
 from ravelin.llm.chat import op9_chat
 from ravelin.llm.chroma import op4_chroma
@@ -27,4 +27,4 @@ QUERIES = {
     "op10_pii": op10_pii,
 }
 
-ORACLES = {"op6_url_cascade": url_cascade.ORACLE}
+ORACLES = {"op3_simhash": oracles.SIMHASH, "op6_url_cascade": url_cascade.ORACLE, "op7_suffix_repeats": oracles.REPEATS, "op9_chat": oracles.CHAT}

@@ -28,7 +28,7 @@ ESCAPE = re.compile(r"([<\[])(\\*)" + CONTROL)
 UNESCAPE = re.compile(r"([<\[])\\(\\*)" + CONTROL)
 TURN = re.compile(r"<\|([^|]*)\|>\n(.*?)<\|end\|>\n", re.S)
 LEARNED = "assistant"
-COLUMNS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, n_loss_tokens long"
+COLUMNS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 TEXTS = "conv_id long, formatted string, ids array<int>, loss_mask array<boolean>"
 
 
@@ -100,7 +100,7 @@ def digest(conv_id: int | None, f: Formatted) -> tuple:
     turns = read_back(f.text)
     whole = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode("utf-8", "replace"))
     loss = "".join(unescape(f.text[a:b]) for a, b in f.spans)
-    return conv_id, len(turns), whole.hexdigest(), len(loss), hashlib.sha256(loss.encode("utf-8", "replace")).hexdigest(), len(f.text), len(f.ids), int(f.mask.sum())
+    return conv_id, len(turns), whole.hexdigest(), len(loss), hashlib.sha256(loss.encode("utf-8", "replace")).hexdigest(), len(f.text)
 
 
 def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, list[tuple[str, str]]]]:

@@ -16,8 +16,9 @@ from ravelin.functions import jsonrepair, numeric, text
 from ravelin.functions.calc import calculate_steps
 from ravelin.operators import relational as R
 from ravelin.plans import ablation, gate, generation, live
-from ravelin.sources import providers
+from ravelin.sources import lines, providers
 from ravelin.sources.jsonl import read_jsonl, replace_values, shared_folder, upsert, write_jsonl, write_swapped
+from ravelin.sources.versioned import VersionedTable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -743,6 +744,34 @@ def jsonl_round_trip(spark, sf):
     return read_jsonl(spark, path, rows.schema)
 
 
+@query("SELECT o_orderkey AS id, o_orderstatus AS variant, o_totalprice AS price, 'é ' || o_orderpriority AS note, 0::BIGINT AS gap FROM orders")
+def line_positions(spark, sf):
+    """Rows written and read by the JSON-lines source: by a schema, and as lines, whose offsets must be where the lines before them end."""
+    lines.register(spark)
+    o = t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("variant"), F.col("o_totalprice").cast("double").alias("price"), F.concat(F.lit("é "), "o_orderpriority").alias("note"))
+    path = f"{shared_folder(spark)}/positions-{uuid.uuid4().hex}"
+    o.repartition(4).write.format(lines.NAME).mode("append").save(path)
+    rows = spark.read.format(lines.NAME).schema(f"id long, variant string, price double, note string, {lines.FILE} string, {lines.OFFSET} long").option("range_bytes", 100_000).load(path)
+    from pyspark.sql import Window
+
+    before = Window.partitionBy(lines.FILE).orderBy(lines.OFFSET).rowsBetween(Window.unboundedPreceding, -1)
+    raw = spark.read.format(lines.NAME).load(path).select(lines.FILE, lines.OFFSET, (F.col(lines.OFFSET) - F.coalesce(F.sum(F.octet_length("value") + 1).over(before), F.lit(0))).alias("gap"))
+    return rows.join(raw, [lines.FILE, lines.OFFSET]).drop(lines.FILE, lines.OFFSET)
+
+
+@query("""
+SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 7 = 0 THEN -1.0 ELSE o_totalprice END::DOUBLE AS price FROM orders WHERE o_orderpriority <> '5-LOW' OR o_orderkey % 7 = 0
+UNION ALL SELECT -o_orderkey, o_orderstatus, -1.0::DOUBLE FROM orders WHERE o_orderkey % 7 = 0""")
+def versioned_upserts(spark, sf):
+    """A versioned table: rows by key, a replacement by value, then an upsert of known and new keys."""
+    o = t(spark, sf, "orders").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("double").alias("price"), "o_orderpriority")
+    table = VersionedTable.create(o, f"{shared_folder(spark)}/versioned-{uuid.uuid4().hex}", ["o_orderkey", "o_orderstatus"], 16)
+    table.replace(F.col("o_orderpriority") == "5-LOW", o.limit(0))
+    some = o.filter("o_orderkey % 7 = 0").withColumn("price", F.lit(-1.0))
+    table.upsert(some.union(some.withColumn("o_orderkey", -F.col("o_orderkey"))))
+    return table.read().drop("o_orderpriority")
+
+
 # -- more scalar functions over tables --
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ravelin.sources import lines
+
 SEQUENCE = "seq"
 
 
@@ -19,10 +21,11 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
 
 
 def read_ordered(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """As read_jsonl, with seq rising in the order of lines: files by name, and lines by their place in the file."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    parsed = lines.filter(F.trim("value") != "").withColumn("row", F.from_json("value", schema, {"mode": "FAILFAST"}))
-    return parsed.select("row.*", F.struct("file", "block", "at").alias(SEQUENCE))
+    """As read_jsonl, with seq rising in the order of lines: files by name, and lines by their byte in the file, whatever tasks read them."""
+    lines.register(spark)
+    found = spark.read.format(lines.NAME).load(path)
+    parsed = found.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("row"), F.struct(lines.FILE, lines.OFFSET).alias(SEQUENCE))
+    return parsed.select("row.*", SEQUENCE)
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ravelin.schemas import RESULT
-from ravelin.sources.jsonl import upsert
+from ravelin.sources.versioned import VersionedTable
 
 
 def read_results(spark: SparkSession, path: str, schema: str = RESULT, files: int = 100) -> DataFrame:
@@ -25,14 +25,15 @@ def windowed_counts(events: DataFrame, time: str, key: str, width: str = "1 hour
     return events.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), key).agg(F.count("*").alias("n"), F.avg("value").alias("mean_value")).select(F.col("w.start").alias("window_start"), key, "n", "mean_value")
 
 
-def write_upserts(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
-    """Each batch upserted by keys into a new version of the table at path/<batch>; the last version is the table."""
+def write_upserts(stream: DataFrame, root: str, checkpoint: str, keys: list[str], buckets: int = 16) -> StreamingQuery:
+    """Each batch upserted by keys into a versioned table at root; a batch that a restart repeats changes nothing."""
     spark = stream.sparkSession
 
     def batch(df: DataFrame, number: int) -> None:
-        new = df.dropDuplicates(keys)
-        if number:
-            new = upsert(spark.read.schema(df.schema).json(f"{path}/{number - 1}"), new, keys)
-        new.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/{number}")
+        new, table = df.dropDuplicates(keys), VersionedTable(spark, root)
+        if table.version() is None:
+            VersionedTable.create(new, root, keys, buckets, {"batch": number})
+        elif table.manifest()["facts"].get("batch", -1) < number:
+            table.upsert(new, {"batch": number})
 
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch).start()

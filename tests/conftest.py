@@ -2,10 +2,15 @@ import os
 import sys
 
 import pytest
+from hypothesis import settings
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 os.environ["PYTHONPATH"] = os.pathsep.join([sys.path[0], os.path.dirname(os.path.abspath(__file__)), os.environ.get("PYTHONPATH", "")])
 
+# the first example of a test may load a tokenizer
+settings.register_profile("loading", deadline=None)
+settings.load_profile("loading")
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):

@@ -6,6 +6,7 @@ from problems import RAW
 from ravelin import schemas
 from ravelin.plans import gate, live
 from ravelin.sources import jsonl, providers
+from ravelin.sources.versioned import VersionedTable
 from ravelin.streaming import results as stream
 
 
@@ -189,9 +190,9 @@ def test_stream(spark, tmp_path):
     (src / "b.json").write_text(row(2, True))
     q = stream.write_upserts(read(), f"{tmp_path}/out", f"{tmp_path}/cp", ["id", "variant"])
     q.awaitTermination(60)
-    last = max(int(p.name) for p in (tmp_path / "out").iterdir())
-    got = spark.read.schema(schemas.RESULT).json(f"{tmp_path}/out/{last}").collect()
-    assert len(got) == 2
+    table = VersionedTable(spark, f"{tmp_path}/out")
+    assert table.read().count() == 2 and table.version() == 1
+    assert table.manifest()["facts"] == {"batch": 1}
 
 
 def test_windows(spark):

@@ -44,7 +44,7 @@ def read_stage(spark: SparkSession, path: str, have: str) -> DataFrame:
     return read_jsonl(spark, path, raw.schema if have == "raw" else generation.generate(raw)[have].schema)
 
 
-def train_gates(spark: SparkSession, source: str, out: str, which: list[str], label_mode: str, gated: str | None) -> dict:
+def train_gates(spark: SparkSession, source: str, out: str, which: list[str], label_mode: str, gated: str | None, family: str = "linear") -> dict:
     """Writes <gate>.json of each gate and train_summary.json, all but the models, which is returned."""
     rows = read_ordered(spark, source, schemas.RESULT)
     of_mode = lambda mode: last_per_key(rows.filter(F.col("mode") == mode), gate.KEYS, SEQUENCE).drop(SEQUENCE)
@@ -57,7 +57,7 @@ def train_gates(spark: SparkSession, source: str, out: str, which: list[str], la
         some_cot = baseline.limit(0)
     summary = {}
     for name in which:
-        artifact = GATES[name](baseline, some_cot, runs, label_mode)
+        artifact = GATES[name](baseline, some_cot, runs, label_mode, family)
         write_artifact(spark, artifact, f"{out}/{name}.json")
         summary[name] = {k: v for k, v in artifact.items() if k != "model"}
     write_text(spark, f"{out}/train_summary.json", json.dumps(summary, ensure_ascii=False, indent=2))
@@ -76,6 +76,7 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--limit", type=int)
     p.add_argument("--which", default="g_step", choices=["all", *GATES])
     p.add_argument("--labels", default="paper", choices=["paper", "off-policy", "mixed"])
+    p.add_argument("--family", default="linear", choices=["linear", "perceptron"], help="of the gates' models")
     p.add_argument("--gated", help="the mode of gated runs that mixed labels use")
     a = p.parse_args(args)
     spark = SparkSession.builder.getOrCreate()
@@ -87,7 +88,7 @@ def main(args: list[str] | None = None) -> None:
     elif a.stage == "export":
         write_jsonl(export_split(read_jsonl(spark, a.source, EXPORTED), a.split, a.limit), a.out)
     elif a.stage == "gates":
-        train_gates(spark, a.source, a.out, list(GATES) if a.which == "all" else [a.which], a.labels, a.gated)
+        train_gates(spark, a.source, a.out, list(GATES) if a.which == "all" else [a.which], a.labels, a.gated, a.family)
     else:
         write_jsonl(stage(a.stage, read_stage(spark, a.source, a.given), a.evidence, a.given), a.out)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 import json
 import re
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,21 +14,20 @@ from pyspark.sql import types as T
 
 from ravelin.functions.text import xml_tool_calls  # noqa: F401  the column form of K5
 
-# What counts as an answer in free text.
-NAMED_ANSWER = re.compile(r"(?:final.?answer|answer|result|total)\s*(?:is|=|:)\s*(\d+(?:\.\d+)?)", re.I | re.M)
-EQUALS_AT_END = re.compile(r"=\s*(\d+(?:\.\d+)?)\s*$", re.I | re.M)
-FREE_NUMBER = re.compile(r"(?<![.\w])(\d+(?:\.\d+)?)(?![.\w])")
+# What counts as an answer in free text, the kinds that come first before the others.
+ANSWERS = re.compile(r"(?:final.?answer|answer|result|total)\s*(?:is|=|:)\s*(?P<named>\d+(?:\.\d+)?)|=\s*(?P<equals>\d+(?:\.\d+)?)\s*$|(?<![.\w])(?P<free>\d+(?:\.\d+)?)(?![.\w])", re.I | re.M)
 THINK = re.compile(r"<think>.*?</think>", re.S)
 FENCE = re.compile(r"```(?:json)?\s*")
 FALLBACK = "_parse_fallback"
 
 
 def number_fallback(text: str) -> dict | None:
-    for pattern in (NAMED_ANSWER, EQUALS_AT_END):
-        if m := pattern.search(text):
-            return {"final_answer": m[1], FALLBACK: True}
-    numbers = FREE_NUMBER.findall(text)
-    return {"final_answer": numbers[-1], FALLBACK: True} if numbers else None
+    """The first named answer, else the first number behind an equals sign at a line's end, else the last number that stands alone."""
+    kinds: dict[str, list[str]] = {"named": [], "equals": [], "free": []}
+    for m in ANSWERS.finditer(text):
+        kinds[m.lastgroup].append(m[m.lastgroup])
+    best = kinds["named"][:1] or kinds["equals"][:1] or kinds["free"][-1:]
+    return {"final_answer": best[0], FALLBACK: True} if best else None
 
 
 def _literals_to_json(text: str) -> str:
@@ -49,16 +49,13 @@ def repaired(text: str) -> str:
 
 
 def _first_object(text: str) -> str | None:
-    """From the first { to its match, braces counted wherever they stand."""
-    start = text.find("{")
-    if start < 0:
+    """From the first { to its match, braces counted wherever they stand; the brace alone if it has none."""
+    braces = [m for m in re.finditer(r"[{}]", text[text.find("{") :])] if "{" in text else []
+    if not braces:
         return None
-    depth = 0
-    for k in range(start, len(text)):
-        depth += (text[k] == "{") - (text[k] == "}")
-        if depth == 0:
-            return text[start : k + 1]
-    return text[start : start + 1]
+    inner = text[text.find("{") :]
+    depth = accumulate(1 if m[0] == "{" else -1 for m in braces)
+    return inner[: next((m.end() for m, d in zip(braces, depth, strict=True) if d == 0), 1)]
 
 
 def read_object(text: str | None):
@@ -124,5 +121,6 @@ def _object_text(text: pd.Series) -> pd.Series:
 
 
 def object_text(text: Column) -> Column:
-    """The reply's object as JSON text, or null: from_json reads on from there."""
-    return _object_text(text)
+    """The reply's object as JSON text, or null: from_json reads on from there. Only replies that are no JSON as they stand go to Python."""
+    plain = ~F.contains(text, F.lit("<think>")) & ~F.contains(text, F.lit("```")) & F.try_parse_json(text).isNotNull()
+    return F.when(plain, text).otherwise(_object_text(F.when(~F.coalesce(plain, F.lit(False)), text)))

@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 
 from ravelin.functions import jsonrepair, numeric, text
 from ravelin.functions.calc import calculate_steps
+from ravelin.operators import aggregates, tables
 from ravelin.operators import relational as R
 from ravelin.plans import ablation, gate, generation, live
 from ravelin.sources import lines, providers
 from ravelin.sources.jsonl import read_jsonl, replace_values, shared_folder, upsert, write_jsonl, write_swapped
 from ravelin.sources.versioned import VersionedTable
+from ravelin.streaming import progress as streamed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -560,11 +562,36 @@ def md5_folds(spark, sf):
 
 
 @query("""
-WITH s AS (SELECT source, count(*) AS n FROM documents GROUP BY source) SELECT count(*) AS n_groups, sum(n)::BIGINT AS n_rows, 5::BIGINT AS n_folds FROM s""")
+WITH RECURSIVE s AS (SELECT source, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, source) AS r FROM documents GROUP BY source),
+f AS (SELECT 0::BIGINT AS r, list_transform(range(least(5, (SELECT count(*) FROM s))), lambda i: 0::BIGINT) AS load, NULL::VARCHAR AS source, 0::BIGINT AS place
+  UNION ALL SELECT s.r, list_transform(load, lambda x, i: CASE WHEN i = list_position(load, list_min(load)) THEN x + n ELSE x END), s.source, list_position(load, list_min(load)) FROM f JOIN s ON s.r = f.r + 1)
+SELECT source, (place - 1)::INT AS fold FROM f WHERE r > 0""")
 def balanced_folds(spark, sf):
-    d = t(spark, sf, "documents")
-    f = gate.balanced_folds(d, "source")
-    return d.join(f, "source").agg(F.count_distinct("source").alias("n_groups"), F.count("*").alias("n_rows"), F.count_distinct("fold").alias("n_folds"))
+    return gate.balanced_folds(t(spark, sf, "documents"), "source")
+
+
+TEXT_BINS = gate.FEATURE_SPEC["text_bins"]
+
+
+@query(f"""
+WITH {LABEL_ROWS}, r AS (SELECT id, correct, cot, calls, (o_orderpriority = '5-LOW')::INT AS errors, o_orderpriority || ' then ' || o_orderstatus AS said FROM b JOIN c USING (id) JOIN orders ON o_orderkey = id),
+l AS (SELECT *, (NOT correct AND (cot OR calls < 2))::INT AS y, CASE WHEN correct THEN 3 WHEN cot THEN 4 WHEN calls < 2 THEN 2 ELSE 1 END AS copies FROM r),
+w AS (SELECT id, unnest(regexp_extract_all(lower(said), '[A-Za-z0-9_./%-]+')) AS w FROM l), n AS (SELECT id, 24 + ({LOW.format("w")} % {TEXT_BINS})::INT AS pos, count(*) AS n FROM w GROUP BY ALL),
+z AS (SELECT id, sqrt(sum(n * n)) AS size FROM n GROUP BY id),
+x AS (SELECT id, pos, n / size AS x FROM n JOIN z USING (id) UNION ALL SELECT id, unnest([0, 2, 3, 14, 15, 17]), unnest([errors, errors, 5 - errors, len(string_split(said, ' ')), 1, len(regexp_extract_all(said, '{SIGNED}'))])::DOUBLE FROM l),
+m AS (SELECT pos, sum(x * copies) FILTER (y = 0) / (SELECT sum(copies) FROM l WHERE y = 0) AS a, sum(x * copies) FILTER (y = 1) / (SELECT sum(copies) FROM l WHERE y = 1) AS b FROM x JOIN l USING (id) GROUP BY pos),
+v AS (SELECT pos, coalesce(b, 0) - coalesce(a, 0) AS weight, coalesce(a, 0) + coalesce(b, 0) AS total FROM m),
+d AS (SELECT id, 1 / (1 + exp(-(sum(x * weight) - (SELECT sum(weight * total) / 2 FROM v)))) AS p FROM x JOIN v USING (pos) GROUP BY id)
+SELECT id, y, round(p, 6) AS p, CASE WHEN calls < 5 AND p >= {gate.STEP_THRESHOLD} THEN 'continue' ELSE 'commit' END AS action FROM d JOIN l USING (id)""")
+def trained_gate(spark, sf):
+    """A step gate trained on runs that are right and wrong, with all sources of labels, and its decision for every run."""
+    b, c, _ = label_rows(spark, sf)
+    o = t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.concat("o_orderpriority", F.lit(" then "), "o_orderstatus").alias("reasoning"))
+    b = b.join(o, "id")
+    artifact = gate.train_step(b, c)
+    own = gate.with_probability(gate.with_step_features(gate._optional(gate.step_labels_paper(b, c))), artifact["model"])
+    action = gate.step_decision(F.col("p"), F.col("tool_calls"), F.lit(5), F.lit(0)).action
+    return own.select("id", (F.col("label") == "continue").cast("int").alias("y"), r6(F.col("p")).alias("p"), action.alias("action"))
 
 
 @query("SELECT doc_id, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT + 42 AS seed FROM documents")
@@ -772,6 +799,38 @@ def versioned_upserts(spark, sf):
     return table.read().drop("o_orderpriority")
 
 
+@query(f"""
+WITH {VARIANT_ROWS}, i AS (SELECT item_id::VARCHAR AS id, variant, 'before' AS position, unnest(before) AS text, unnest(range(len(before))) AS k FROM v WHERE variant <> 'base'
+  UNION ALL SELECT item_id::VARCHAR, variant, 'after', unnest(after), unnest(range(len(after))) FROM v WHERE variant <> 'base')
+SELECT id, variant, position, k::INT AS k, text FROM i""")
+def noise_by_table_function(spark, sf):
+    """Noise of each problem by table functions, from SQL: three variants by a lateral join, one with the problems as a table argument."""
+    tables.register(spark)
+    core = generation.with_core(generation.with_schema(problems(spark, sf))).select("id", "core_sentences")
+    lateral = "SELECT c.id, w.variant, n.* FROM {core} c, LATERAL explode(array('TB', 'PED', 'HU')) w(variant), LATERAL noise_of(c.core_sentences, w.variant, 2, 2) n"
+    whole = "SELECT * FROM noise_rows(TABLE({core}), array('SP'), 2, 2)"
+    made = spark.sql(lateral, core=core).union(spark.sql(whole, core=core).select("id", "variant", "position", "k", "text"))
+    return made.select("id", "variant", "position", "k", "text")
+
+
+@query("""
+SELECT user_id, round(avg((floor(value)::BIGINT % 7 = event_id % 7)::INT), 6) AS exact_match_acc, round(sqrt(avg(power(floor(value) % 7 - event_id % 7, 2))), 6) AS root_mean_square,
+       median(abs(floor(value) % 7 - event_id % 7))::DOUBLE AS median_error, 'bleu' AS unknown FROM events GROUP BY user_id""")
+def metrics_by_name(spark, sf):
+    """Metrics by name for each user: a built-in one, one of sums and one of whole groups; the last is called from SQL as well."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    off = lambda p, g: pc.subtract(p, g)
+    aggregates.register("root_mean_square", aggregates.Sums(2, lambda p, g: [pc.power(off(p, g), 2), pc.if_else(pc.is_valid(off(p, g)), 1, 0)], lambda s, n: F.sqrt(F.try_divide(s, n))))
+    aggregates.register("median_error", aggregates.Whole(lambda p, g: float(np.median(np.abs(off(p, g).to_numpy(zero_copy_only=False))))), spark)
+    e = t(spark, sf, "events").select("user_id", (F.floor("value") % 7).alias("pred"), (F.col("event_id") % 7).alias("gold"))
+    found, unknown = aggregates.measured(e, ["exact_match_acc", "root_mean_square", "bleu"], "pred", "gold", ["user_id"])
+    called = spark.sql("SELECT user_id AS _user, median_error(pred, gold) AS median_error FROM {e} GROUP BY user_id", e=e)
+    both = found.join(called, F.col("user_id") == F.col("_user"))
+    return both.select("user_id", r6(F.col("exact_match_acc")).alias("exact_match_acc"), r6(F.col("root_mean_square")).alias("root_mean_square"), "median_error", F.lit(",".join(unknown)).alias("unknown"))
+
+
 # -- more scalar functions over tables --
 
 
@@ -868,3 +927,15 @@ SELECT o_orderkey, o_orderpriority AS group_key, (('0x' || substr(md5(o_orderpri
 def fold_membership(spark, sf):
     o = t(spark, sf, "orders")
     return o.select("o_orderkey", F.col("o_orderpriority").alias("group_key"), (gate.fold(F.col("o_orderpriority"), 5) != 2).alias("in_train"))
+
+
+@query(ORACLES["progress_markers"])
+def progress_by_state(spark, sf):
+    """The rows of progress_markers from a stream of the events, by keyed state."""
+    streamed.configure(spark)
+    path = f"{shared_folder(spark)}/progress-{uuid.uuid4().hex}"
+    events = t(spark, sf, "events")
+    calls = spark.readStream.schema(events.schema).parquet(f"{sf}/events.parque[t]").withColumn("output", F.floor("value").cast("string"))
+    found = streamed.progress(calls.select("user_id", "ts", "event_id", "event_type", "output"))
+    found.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/rows").awaitTermination()
+    return spark.read.schema(streamed.OUT).parquet(f"{path}/rows")

@@ -5,12 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ravelin.functions import numeric, text
 from ravelin.operators.relational import binary_metrics, last_per_key, must_match, oversample, repeats_of
+from ravelin.sources.jsonl import stored
 
 # Fixed values of the gates.
 STEP_THRESHOLD, COMMIT_THRESHOLD = 0.05, 0.5
@@ -26,8 +27,8 @@ FEATURES = [
     "n_pred_evidence_ids", "evidence_coverage_ratio", "n_distinct_outputs", "all_outputs_same", "expression_complexity",
 ]
 KEYS = ["id", "variant"]
-#: Groups of rows whose sizes may come to the driver.
-MOST_GROUPS = 10_000
+#: The largest groups, whose sizes come to the driver.
+HEAVY_GROUPS = 10_000
 
 
 # -- features --
@@ -204,18 +205,44 @@ def fold(group: Column, k: int) -> Column:
     return numeric.md5_mod(group.cast("string"), k)
 
 
-def balanced_folds(df: DataFrame, group: str, k: int = FOLDS, most: int = MOST_GROUPS) -> DataFrame:
-    """(group, fold): largest groups first, each to the fold with the fewest rows. More than `most` groups even out by themselves: they go by fold()."""
-    sizes = df.groupBy(group).agg(F.count("*").alias("n"))
-    some = sizes.orderBy(F.desc("n"), group).limit(most + 1).collect()
-    if len(some) > most:
-        return sizes.select(group, fold(F.col(group), k).alias("fold"))
-    load, out = [0] * k, []
-    for r in some:
-        at = min(range(k), key=lambda i: (load[i], i))
+def water_level(load: list[int], more: int) -> float:
+    """The level up to which `more` fills the least of load."""
+    low = sorted(load)
+    for n in range(1, len(low) + 1):
+        level = (sum(low[:n]) + more) / n
+        if n == len(low) or level <= low[n]:
+            return level
+    return 0.0
+
+
+def balanced_folds(df: DataFrame, group: str, k: int = FOLDS, heavy: int = HEAVY_GROUPS) -> DataFrame:
+    """(group, fold): min(k, number of groups) folds of near-equal numbers of rows; null is a group.
+
+    Groups are taken by size, the largest first, then by name. The first `heavy` ones go each to the fold with the fewest rows so far. The others stand in that
+    order over the partitions of a range shuffle, and their running sum tells which fold's room they fall into, so a fold is off by the size of one of them at most.
+    """
+    sizes = df.groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("n"))
+    spark, order = df.sparkSession, [F.desc("n"), F.asc("_group")]
+    sizes = stored(sizes, "sizes")
+    facts = sizes.agg(F.count("*").alias("groups"), F.sum("n").alias("rows")).first()
+    load, out = [0] * max(1, min(k, facts.groups)), []
+    for r in sizes.orderBy(*order).limit(heavy).collect():
+        at = min(range(len(load)), key=lambda i: (load[i], i))
         load[at] += r.n
-        out.append((r[group], at))
-    return df.sparkSession.createDataFrame(out, df.select(group).schema.add("fold", T.IntegerType()))
+        out.append((r[0], at))
+    first = spark.createDataFrame(out, T.StructType([df.schema[group]]).add("fold", T.IntegerType()))
+    if facts.groups <= heavy:
+        return first
+    rest = sizes.join(F.broadcast(first), F.col("_group").eqNullSafe(first[group]), "left_anti")
+    rest = stored(rest.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranked")
+    level, rows_left = water_level(load, facts.rows - sum(load)), 0
+    starts = {}
+    for r in rest.groupBy("_part").agg(F.sum("n").alias("n")).orderBy("_part").collect():  # a row for each partition
+        starts[r[0]], rows_left = rows_left, rows_left + r.n
+    bounds = [sum(max(0.0, level - x) for x in load[: i + 1]) for i in range(len(load) - 1)]
+    before = F.element_at(F.create_map(*[F.lit(x) for pair in starts.items() for x in pair]), F.col("_part"))
+    middle = before + F.sum("n").over(Window.partitionBy("_part").orderBy(*order)) - F.col("n") / 2
+    return first.union(rest.withColumn("_at", middle).select("_group", F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("_at"))).alias("fold")))
 
 
 @dataclass
@@ -244,36 +271,29 @@ class LinearGate:
         return cls([float(w) for w in d["weights"]], float(d["bias"]), list(d.get("classes_", [0, 1])))
 
 
+def mean_vectors(df: DataFrame, features: str = "features", label: str = "y") -> DataFrame:
+    """(label, mean): the mean of the feature vectors of each class, by one aggregate over vectors."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    return df.filter(F.col(features).isNotNull()).groupBy(label).agg(vector_to_array(Summarizer.mean(array_to_vector(F.col(features)))).alias("mean"))
+
+
 def class_means(df: DataFrame, features: str = "features", label: str = "y") -> DataFrame:
-    """(label, pos, mean) of each feature in each class, summed in part before the shuffle."""
-    return df.select(label, F.posexplode(features).alias("pos", "x")).groupBy(label, "pos").agg(F.avg("x").alias("mean"))
+    """(label, pos, mean) of each feature in each class."""
+    return mean_vectors(df, features, label).select(label, F.posexplode("mean").alias("pos", "mean"))
 
 
 def fit_linear(df: DataFrame, features: str = "features", label: str = "y") -> LinearGate:
     """Weights from class 0's mean to class 1's, and the bias half-way; with one class weights of 0 and a bias of 8 or -8."""
-    means: dict[int, dict[int, float]] = {}
-    for r in class_means(df, features, label).collect():  # two rows for each feature at most
-        means.setdefault(int(r[label]), {})[r.pos] = r.mean
-    n = max((len(m) for m in means.values()), default=0)
+    means = {int(r[label]): r["mean"] for r in mean_vectors(df, features, label).collect()}  # two rows
     if len(means) < 2:
-        return LinearGate([0.0] * n, 8.0 if 1 in means else -8.0)
-    low, high = ([means[k][i] for i in range(n)] for k in (0, 1))
+        return LinearGate([0.0] * max(map(len, means.values()), default=0), 8.0 if 1 in means else -8.0)
+    low, high = means[0], means[1]
     weights = [b - a for a, b in zip(low, high, strict=True)]
     return LinearGate(weights, -sum(w * (a + b) for w, a, b in zip(weights, low, high, strict=True)) / 2)
 
 
-def fit_mlp(df: DataFrame, features: str = "features", label: str = "y", seed: int = 42):
-    """Spark ML's scaler and perceptron of the same layers; an analogue, as its units and solver are others."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import MultilayerPerceptronClassifier
-    from pyspark.ml.feature import StandardScaler
-    from pyspark.ml.functions import array_to_vector
-
-    width = df.select(F.size(features).alias("n")).first().n
-    data = df.select(array_to_vector(F.col(features)).alias("raw"), F.col(label).cast("double").alias("label"))
-    return Pipeline(stages=[StandardScaler(inputCol="raw", outputCol="features", withMean=True), MultilayerPerceptronClassifier(layers=[width, 128, 64, 2], seed=seed)]).fit(data)
-
-
 def _optional(df: DataFrame) -> DataFrame:
     """df with the result columns that features read and old files lack."""
     kinds = {"pred_answer": "string", "reasoning": "string", "n_chunks_seen": "int", "max_tool_calls_limit": "int", "pred_evidence_ids": "array<int>", "expression": "string"}
@@ -291,35 +311,52 @@ def commit_samples(labelled: DataFrame) -> DataFrame:
     return own.select("id", "label_source", F.lit("").alias("label_confidence"), (F.col("binary_label") == "one_more_turn").cast("int").alias("y"), "features").withColumn("copy", F.lit(1))
 
 
-def train(samples: DataFrame, positive: str, label_mode: str, k: int = FOLDS) -> dict:
-    """Metrics of grouped folds, whose repeated rows stay repeated, and a model of all samples."""
-    samples = samples.withColumn("fold", fold(F.col("id"), k)).cache()
-    try:
-        counts = samples.agg(F.count("*").alias("n"), F.sum("y").alias("positive"), F.count_distinct("id").alias("groups")).first()
-        scores = []
-        for f in [r.fold for r in samples.select("fold").distinct().orderBy("fold").collect()]:
-            model = fit_linear(samples.filter(F.col("fold") != f))
-            test = samples.filter(F.col("fold") == f).withColumn("pred", model.predict(F.col("features")) if model.weights else F.lit(int(model.bias > 0)))
-            scores.append(binary_metrics(test, "y", "pred").first().asDict() | {"fold": f})
-        sources = {r.label_source: r["count"] for r in samples.filter("copy = 1").groupBy("label_source").count().collect()}
-        model = fit_linear(samples)
-        return {"model": model, "positive_class": positive, "feature_dim": len(model.weights), "feature_spec": FEATURE_SPEC, "label_mode": label_mode, "n_samples": counts.n, "n_positive": counts.positive, "n_groups": counts.groups, "label_sources": sources, "folds": scores}
-    finally:
-        samples.unpersist()
-
-
-def train_step(baseline: DataFrame, cot: DataFrame | None = None, gated: DataFrame | None = None, label_mode: str = "paper") -> dict:
+def with_probability(df: DataFrame, model, features: str = "features", name: str = "p") -> DataFrame:
+    """df with the probability of class 1 by a linear gate or a fitted Spark ML pipeline."""
+    if isinstance(model, LinearGate):
+        return df.withColumn(name, model.probability(F.col(features)) if model.weights else F.lit(float(model.bias > 0)))
+    return model.transform(df.withColumnRenamed(features, "features") if features != "features" else df).withColumnRenamed("p", name)
+
+
+def fit(df: DataFrame, family: str = "linear", seed: int = 42) -> tuple[object, str]:
+    """A model of rows (id, y, features), and the family that it is of: linear where a perceptron has but one class to learn from."""
+    if family == "linear":
+        return fit_linear(df), family
+    from ravelin.plans.estimator import PerceptronEstimator
+
+    model = PerceptronEstimator(seed=seed).fit(df)
+    return model, "linear_fallback" if len(model.stages) == 1 else family
+
+
+def train(samples: DataFrame, positive: str, label_mode: str, k: int = FOLDS, family: str = "linear") -> dict:
+    """Metrics of grouped folds, whose repeated rows stay repeated, and a model of all samples. A single group has no fold to learn from, and no metrics."""
+    folds = balanced_folds(samples, "id", k).withColumnRenamed("id", "_id")
+    samples = stored(samples.join(folds, F.col("id").eqNullSafe(F.col("_id"))).drop("_id"), "samples")
+    counts = samples.agg(F.count("*").alias("n"), F.sum("y").alias("positive"), F.count_distinct("id").alias("groups")).first()
+    scores = []
+    sizes = {r.fold: r["count"] for r in samples.groupBy("fold").count().collect()}
+    for f in sorted(sizes) if len(sizes) > 1 else ():
+        model, _ = fit(samples.filter(F.col("fold") != f), family, 42 + f)
+        test = with_probability(samples.filter(F.col("fold") == f), model).withColumn("pred", (F.col("p") >= 0.5).cast("int"))
+        scores.append(binary_metrics(test, "y", "pred").first().asDict() | {"fold": f, "n_train": counts.n - sizes[f], "n_test": sizes[f]})
+    sources = {r.label_source: r["count"] for r in samples.filter("copy = 1").groupBy("label_source").count().collect()}
+    model, backend = fit(samples, family)
+    width = samples.select(F.size("features").alias("n")).first()
+    return {"model": model, "backend": backend, "positive_class": positive, "feature_dim": width.n if width else 0, "feature_spec": FEATURE_SPEC, "label_mode": label_mode, "n_samples": counts.n, "n_positive": counts.positive, "n_groups": counts.groups, "label_sources": sources, "folds": scores}
+
+
+def train_step(baseline: DataFrame, cot: DataFrame | None = None, gated: DataFrame | None = None, label_mode: str = "paper", family: str = "linear") -> dict:
     """Step gate; the paper labels need cot, mixed ones cot and gated."""
     if label_mode == "paper" and cot is None:
         raise ValueError("paper labels need chain-of-thought results")
     labelled = step_labels_paper(baseline, cot) if label_mode == "paper" else step_labels_mixed(baseline, cot, gated) if label_mode == "mixed" else step_labels(baseline)
-    return train(step_samples(labelled), "continue", label_mode)
+    return train(step_samples(labelled), "continue", label_mode, family=family)
 
 
-def train_commit(baseline: DataFrame, cot: DataFrame | None = None, gated: DataFrame | None = None, label_mode: str = "paper") -> dict:
+def train_commit(baseline: DataFrame, cot: DataFrame | None = None, gated: DataFrame | None = None, label_mode: str = "paper", family: str = "linear") -> dict:
     mode = ("mixed" if cot is not None else "off-policy") if label_mode == "paper" else label_mode
     labelled = commit_labels_mixed(baseline, cot, gated if gated is not None else baseline.limit(0)) if mode == "mixed" else commit_labels(baseline)
-    return train(commit_samples(labelled), "one_more_turn", mode)
+    return train(commit_samples(labelled), "one_more_turn", mode, family=family)
 
 
 # -- decisions --

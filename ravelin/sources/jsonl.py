@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 from ravelin.sources import lines
 
 SEQUENCE = "seq"
+#: The type of a model that Spark ML has written beside its artifact.
+PIPELINE = "spark_ml_pipeline"
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -43,6 +45,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/ravelin"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a written table in the shared folder, read back: computed once, and nothing is lost with an executor."""
+    path = f"{shared_folder(df.sparkSession)}/ravelin/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_stages(stages: dict[str, DataFrame], root: str) -> None:
     """A folder for each stage in order: 01_<name>, 02_<name> and so on."""
     for k, (name, df) in enumerate(stages.items(), 1):
@@ -123,30 +132,23 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
-def write_mlp(spark: SparkSession, model, path: str, facts: dict | None = None) -> None:
-    """A perceptron gate: Spark ML's own folder, and beside it the artifact's other facts as JSON."""
-    model.write().overwrite().save(f"{path}/model")
-    write_text(spark, f"{path}/facts.json", json.dumps(facts or {}, ensure_ascii=False))
-
-
-def read_mlp(spark: SparkSession, path: str) -> dict:
-    from pyspark.ml import PipelineModel
-
-    return json.loads(read_text(spark, f"{path}/facts.json")) | {"model": PipelineModel.load(f"{path}/model")}
-
-
 def read_text(spark: SparkSession, path: str) -> str:
     return "\n".join(r.value for r in spark.read.option("wholetext", "true").text(path).collect())
 
 
 def write_artifact(spark: SparkSession, artifact: dict, path: str) -> None:
-    """A gate's artifact as JSON, its model by to_dict()."""
+    """A gate's artifact as JSON, its model by to_dict(); a fitted Spark ML pipeline goes to a folder beside it by its own writer."""
     model = artifact["model"]
+    if hasattr(model, "stages"):
+        model.write().overwrite().save(f"{path}.model")
+        model = {"type": PIPELINE}
     write_text(spark, path, json.dumps(artifact | {"model": model.to_dict() if hasattr(model, "to_dict") else model}, ensure_ascii=False))
 
 
 def read_artifact(spark: SparkSession, path: str) -> dict:
-    """The artifact, its linear model restored. Pickles are refused, as reading them runs code."""
+    """The artifact, its model restored. Pickles are refused, as reading them runs code."""
+    from pyspark.ml import PipelineModel
+
     from ravelin.plans.gate import LinearGate
 
     if not path.endswith(".json"):
@@ -154,6 +156,9 @@ def read_artifact(spark: SparkSession, path: str) -> dict:
     artifact = json.loads(read_text(spark, path))
     if not isinstance(artifact, dict) or "model" not in artifact:
         raise ValueError(f"no model in {path}")
-    if isinstance(artifact["model"], dict) and artifact["model"].get("type") == LinearGate.TYPE:
+    kind = artifact["model"].get("type") if isinstance(artifact["model"], dict) else None
+    if kind == LinearGate.TYPE:
         artifact["model"] = LinearGate.from_dict(artifact["model"])
+    elif kind == PIPELINE:
+        artifact["model"] = PipelineModel.load(f"{path}.model")
     return artifact

@@ -157,11 +157,6 @@ def test_linear_gate(spark):
     assert tuple(p) == (0.0, 1.0)
 
 
-def test_mlp(spark):
-    df = spark.createDataFrame([([float(k % 2), float(k)], k % 2) for k in range(40)], "features array<double>, y int")
-    assert list(gate.fit_mlp(df).stages[1].getLayers()) == [2, 128, 64, 2]
-
-
 def test_relational(spark):
     df = spark.createDataFrame([("a", 1, 5), ("b", 2, 6), ("a", 3, 7), ("c", 4, 8), (None, 5, 9)], "k string, seq int, v int")
     assert {r.k: r.v for r in R.last_per_key(df, ["k"], "seq").collect()} == {"a": 7, "b": 6, "c": 8, None: 9}

@@ -167,17 +167,6 @@ def test_one_more_turn(spark):
     assert {r.gate_action for r in calm} == {"submit"}
 
 
-def test_perceptron_is_kept(spark, tmp_path):
-    rows = spark.createDataFrame([([float(k % 2), float(k)], k % 2) for k in range(40)], "features array<double>, y int")
-    model = gate.fit_mlp(rows)
-    jsonl.write_mlp(spark, model, f"{tmp_path}/mlp", {"positive_class": "continue"})
-    back = jsonl.read_mlp(spark, f"{tmp_path}/mlp")
-    from pyspark.ml.functions import array_to_vector
-
-    data = rows.select(array_to_vector("features").alias("raw"))
-    assert back["positive_class"] == "continue" and back["model"].transform(data).select("prediction").collect() == model.transform(data).select("prediction").collect()
-
-
 def test_stream(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()

@@ -7,7 +7,8 @@ and a common term is spread over all segments. The empty term stands behind each
 A window is looked up from its rarest term: the postings of that term are the candidates; those of the second rarest, moved by the
 difference of their offsets, are intersected with them; what is left meets the other terms of the window in the same way, by joins on document, term
 and place. Terms meet where they stand within SLOP words of the rarest one, which gives proximity matches, and exact phrases are
-those whose every term stands at its own offset.
+those whose every term stands at its own offset. Before each join the postings are cut down, in the tasks that read them, by a Bloom
+filter of what is asked for, a constant of MOST_BITS at most, so the lists of other terms and places are never shuffled.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ravelin.llm.common import materialise, table
+from ravelin.llm.url_cascade import MOST_BITS, Level, size_of
 
 WINDOW = 10
 #: Words to either side of the rarest one that a proximity match may use.
@@ -25,6 +27,8 @@ BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The term behind the last word of every document.
 END = ""
+#: Postings that pass a Bloom filter without being asked for.
+RATE = 1 / 16
 
 
 def lowered(word: Column) -> Column:
@@ -63,6 +67,13 @@ def index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return materialise(postings.join(terms, "term", "left_semi").sortWithinPartitions("term"), "postings")
 
 
+def among(postings: DataFrame, key: Column, asked: DataFrame) -> DataFrame:
+    """Postings whose key is in asked (key), and a share of the others, RATE while the constant has room: what joins them tells."""
+    bits, hashes = size_of(max(asked.count(), 1), RATE)
+    level = Level(0, min(bits, MOST_BITS), hashes).fill(asked)
+    return level.judged(postings.withColumn("_key", key), "_key", "_asked").filter("_asked").drop("_key", "_asked")
+
+
 def near(candidates: DataFrame, postings: DataFrame, slop: int) -> DataFrame:
     """Rows of candidates (uid, term, at) with pos, once for each of the term's postings in the document within slop words of at."""
     width = slop + 1
@@ -84,17 +95,19 @@ def matches(postings: DataFrame, windows: DataFrame, slop: int = SLOP) -> DataFr
     met = terms.join(frequency, "term").groupBy("id", "length").agg(F.sort_array(F.collect_list(F.struct("n", "term", "off"))).alias("by"))  # as many as a window has words
     asked = materialise(met.filter(F.size("by") == F.col("length")), "asked")
     by = lambda k, c: F.get("by", F.lit(k))[c]
+    of_rank = lambda k: among(postings, F.col("term"), asked.select(by(k, "term").alias("key")).filter("key is not null").distinct())
     first = asked.select("id", "length", by(0, "term").alias("term"), by(0, "off").alias("off"), by(1, "term").alias("second"), (by(1, "off") - by(0, "off")).alias("apart"))
-    found = first.join(postings.select("term", "uid", F.col("pos").alias("at")), "term").select("id", "uid", "at", "length", "off", F.col("second").alias("term"), "apart")
+    found = materialise(first.join(of_rank(0).select("term", "uid", F.col("pos").alias("at")), "term").select("id", "uid", "at", "length", "off", F.col("second").alias("term"), "apart"), "candidates")
     alone = found.filter("length = 1").select("id", "uid", "at", (F.col("at") - F.col("off")).alias("start"), "length", F.lit(True).alias("phrase"))
-    seconds = postings.join(asked.select(by(1, "term").alias("term")).distinct(), "term", "left_semi")
     key = ["id", "uid", "at", "length", "off"]
-    two = near(found.filter("length > 1"), seconds, slop).groupBy(*key).agg(F.bool_or(F.col("pos") - F.col("at") == F.col("apart")).alias("phrase"))
+    two = near(found.filter("length > 1"), of_rank(1), slop).groupBy(*key).agg(F.bool_or(F.col("pos") - F.col("at") == F.col("apart")).alias("phrase"))
     two = materialise(two, "intersected")
     done = two.filter("length = 2").select("id", "uid", "at", (F.col("at") - F.col("off")).alias("start"), "length", "phrase")
     left = two.filter("length > 2").join(asked.select("id", F.slice("by", F.lit(3), F.greatest(F.size("by"), F.lit(1))).alias("rest")), "id").select(*key, "phrase", F.explode("rest").alias("word"))
     left = left.select(*key, "phrase", F.col("word.term").alias("term"), F.col("word.off").alias("other"))
-    others = postings.filter(F.col("term") != END).join(two.select("uid").distinct(), "uid", "left_semi")
+    place = lambda c: F.expr(f"{c} div {slop + 1}")
+    around = two.select("uid", F.explode(F.array(*[place("at") + k for k in (-1, 0, 1)])).alias("place")).select(F.xxhash64("uid", "place").alias("key")).distinct()
+    others = among(postings.filter(F.col("term") != END), F.xxhash64("uid", place("pos")), around)
     met = near(left, others, slop).groupBy(*key, "phrase", "other").agg(F.bool_or(F.col("pos") - F.col("at") == F.col("other") - F.col("off")).alias("exact"))
     whole = met.groupBy(*key, "phrase").agg(F.count("*").alias("n"), F.bool_and("exact").alias("exact")).filter("n = length - 2")
     more = whole.select("id", "uid", "at", (F.col("at") - F.col("off")).alias("start"), "length", (F.col("phrase") & F.col("exact")).alias("phrase"))

@@ -1,7 +1,7 @@
 """Phrase collocations by suffix sorting (Suffix-sigma).
 
 Every word occurrence begins a suffix of its piece, cut after max_n words. Tasks count equal suffixes before anything is shuffled. Suffixes
-go to tasks by language and first word and are sorted reverse-lexicographically, so that all that begin alike stand together, and one stack of
+go to tasks by language and first word, and those of a word are sorted reverse-lexicographically, so that all that begin alike stand together, and one stack of
 open prefixes, a running count for each number of words, counts every phrase in one pass.
 
 The words that begin 1/(4 * parts) of all suffixes or more are known from a first count; there are 4 * parts of them at most. Behind such a
@@ -13,7 +13,6 @@ if it is rare. Afterwards phrases are joined with the parts they can be cut into
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from zlib import crc32
@@ -33,35 +32,50 @@ ABSORBED = 50
 SCALE = 1_000_000
 #: Languages of null.
 UNKNOWN = "und"
-#: What ends a piece, and what stands behind each word of a suffix: no word holds it, so suffixes that begin alike are neighbours.
-ENDS, MARK = re.compile(rb"[.,;:!?\x0a-\x0d]+"), b"\t"
-#: Distinct suffixes that a task holds before it hands them on, and suffixes of a task of the sort.
-MOST_HELD, ROWS_PER_TASK = 400_000, 20_000_000
+#: What ends a piece stands as STOP, which no word holds. MARK, which no word holds either, stands behind each word of a suffix, so those that begin alike are neighbours.
+STOP, MARK = b".", b"\t"
+ENDS = bytes.maketrans(b",;:!?\x0a\x0b\x0c\x0d", STOP * 9)
+#: Bytes of text of a language that a task counts at a time, and suffixes of a task of the sort.
+CHUNK_BYTES, ROWS_PER_TASK = 8 << 20, 20_000_000
 #: Parts that a language's best phrases are ranked in before they meet.
 RANK_PARTS = 64
 
 
-def pieces(text: bytes) -> Iterator[list[bytes]]:
-    """Words of each piece of a text, A-Z lower-cased."""
-    return map(bytes.split, ENDS.split(text.lower()))
-
-
-def _counted(batches: Iterator[pa.RecordBatch], take: Callable[[Counter, bytes], None]) -> Iterator[pa.RecordBatch]:
-    """(lang, key, n): what take adds to the counter of a text's language, summed over as many texts as may be held."""
-    held: dict[str, Counter] = {}
-
-    def told() -> Iterator[pa.RecordBatch]:
-        for lang, counts in held.items():
-            keys = pa.array(counts.keys(), pa.binary())
-            yield from pa.table({"lang": pa.array([lang] * len(keys), pa.string()), "key": keys, "n": pa.array(counts.values(), pa.int64())}).to_batches(50_000)
-        held.clear()
-
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+    """(lang, text) of the texts of a language one after the other, lower-cased, with STOP where a piece ends; longer texts are cut there."""
+    held: dict[str, list[bytes]] = {}
+    size: Counter = Counter()
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            take(held.setdefault(lang, Counter()), text)
-            if sum(map(len, held.values())) > MOST_HELD:
-                yield from told()
-    yield from told()
+            text, since = text.lower().translate(ENDS), 0
+            while since < len(text):
+                until = text.find(STOP, since + CHUNK_BYTES) % (len(text) + 1)
+                held.setdefault(lang, []).append(text[since:until])
+                size[lang] += until - since
+                since = until
+                if size[lang] >= CHUNK_BYTES:
+                    yield lang, STOP.join(held.pop(lang))
+                    del size[lang]
+            if sum(size.values()) > 4 * CHUNK_BYTES:
+                yield from ((lang, STOP.join(own)) for lang, own in held.items())
+                held, size = {}, Counter()
+    yield from ((lang, STOP.join(own)) for lang, own in held.items())
+
+
+def numbered(text: bytes) -> tuple[pa.Array, np.ndarray]:
+    """Distinct words, and for each word its place among them, from 1 on; 0 where a piece ends."""
+    tokens = pa.array(text.replace(STOP, b" . ").split(), pa.binary()).dictionary_encode()
+    stop = pc.index(tokens.dictionary, pa.scalar(STOP, pa.binary())).as_py()
+    words = tokens.dictionary.filter(pc.not_equal(tokens.dictionary, pa.scalar(STOP, pa.binary())))
+    place = np.arange(1, len(tokens.dictionary) + 1)
+    if stop >= 0:
+        place[stop:] -= 1
+        place[stop] = 0
+    return words, place[tokens.indices.to_numpy()]
+
+
+def _rows(lang: str, keys: pa.Array, counts: np.ndarray, **more: np.ndarray) -> Iterator[pa.RecordBatch]:
+    yield from pa.table({"lang": pa.array([lang] * len(keys), pa.string()), "key": keys, "n": pa.array(counts, pa.int64()), **{k: pa.array(v, pa.int64()) for k, v in more.items()}}).to_batches(50_000)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -71,99 +85,121 @@ def _texts(docs: DataFrame) -> DataFrame:
 def word_counts(docs: DataFrame) -> DataFrame:
     """Stored (lang, key, n) of the words of docs (lang, text)."""
 
-    def take(counts: Counter, text: bytes) -> None:
-        counts.update(ENDS.sub(b" ", text.lower()).split())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, text in chunks(batches):
+            words, places = numbered(text)
+            yield from _rows(lang, words, np.bincount(places, minlength=len(words) + 1)[1:])
 
-    rows = _texts(docs).mapInArrow(lambda batches: _counted(batches, take), "lang string, key binary, n long")
+    rows = _texts(docs).mapInArrow(run, "lang string, key binary, n long")
     return materialise(rows.groupBy("lang", "key").agg(F.sum("n").alias("n")), "words")
 
 
-def dealt_by(lang: str, key: bytes, hot: frozenset) -> int:
-    """A hash of the words that deal a suffix: the first one, and behind hot ones the next."""
-    at = key.index(MARK)
-    while (lang, key[:at].rpartition(MARK)[2]) in hot and (until := key.find(MARK, at + 1)) > 0:
-        at = until
-    return crc32(key[:at])
+def distinct_suffixes(places: np.ndarray, n_words: int, max_n: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Words of the distinct suffixes, an array for each of max_n words, 0 behind the last one; and how often each occurs."""
+    start = np.flatnonzero(places)
+    padded = np.concatenate((places, np.zeros(max_n, places.dtype)))
+    words = [padded[start]]
+    for k in range(1, max_n):
+        words.append(np.where(words[-1] > 0, padded[start + k], 0))
+    base = n_words + 1
+    if base**max_n < 2**63:  # a suffix is one number
+        code = words[0]
+        for w in words[1:]:
+            code = code * base + w
+        code, counts = np.unique(code, return_counts=True)
+        return [code // base**k % base for k in range(max_n - 1, -1, -1)], counts
+    some, counts = np.unique(np.stack(words), axis=1, return_counts=True)
+    return list(some), counts
 
 
 def suffixes(docs: DataFrame, max_n: int, hot: Broadcast) -> DataFrame:
-    """(lang, key, n, deal) of the suffixes, cut after max_n words, of all pieces of docs (lang, text); equal ones are summed within a task."""
+    """(lang, key, n, deal) of the suffixes, cut after max_n words, of all pieces of docs (lang, text); equal ones of a chunk are summed.
 
-    def take(counts: Counter, text: bytes) -> None:
-        for words in pieces(text):
-            words = [w + MARK for w in words]
-            counts.update(map(b"".join, zip(*(words[k:] for k in range(max_n)), strict=False)))
-            for k in range(max(0, len(words) - max_n + 1), len(words)):
-                counts[b"".join(words[k:])] += 1
+    deal is a hash of the words that deal a suffix: of the first one, and behind hot ones of the next.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = hot.value
-        for batch in _counted(batches, take):
-            deal = [dealt_by(lang, key, known) for lang, key in zip(batch.column("lang").to_pylist(), batch.column("key").to_pylist(), strict=True)]
-            yield batch.append_column("deal", pa.array(deal, pa.int64()))
+        for lang, text in chunks(batches):
+            distinct, places = numbered(text)
+            words, counts = distinct_suffixes(places, len(distinct), max_n)
+            names = distinct.to_pylist()
+            code, is_hot = np.array([0, *map(crc32, names)], np.int64), np.array([False, *((lang, w) in known for w in names)])
+            deal, more = code[words[0]], is_hot[words[0]]
+            for w in words[1:]:
+                deal, more = np.where(more, deal * 1_000_003 + code[w], deal), more & is_hot[w]
+            length = sum((w > 0).astype(np.int8) for w in words)
+            for n in range(1, max_n + 1):
+                at = np.flatnonzero(length == n)
+                keys = pc.binary_join_element_wise(*(distinct.take(pa.array(w[at] - 1)) for w in words[:n]), pa.scalar(b"", pa.binary()), pa.scalar(MARK, pa.binary()))
+                yield from _rows(lang, keys, counts[at], deal=deal[at])
 
     return _texts(docs).mapInArrow(run, "lang string, key binary, n long, deal long")
 
 
 class Stack:
-    """The open prefixes of a sorted run of suffixes of one language: for each number of words the phrase and its count so far."""
+    """The open prefixes of a sorted run of suffixes: for each number of words the language, the phrase and its count so far.
 
-    def __init__(self, max_n: int):
-        self.open: list[tuple[bytes, int]] = [(b"", 0)] * max_n
+    Suffixes are pushed in batches, for the speed of arrays; what remains open is carried to the next batch.
+    """
+
+    def __init__(self, max_n: int, least: int, hot: frozenset):
+        self.least, self.hot = least, pa.array([lang.encode() + MARK + w for lang, w in hot], pa.binary())
+        self.open: list[tuple[str, bytes, int]] = [("", b"", 0)] * max_n
+
+    def in_parts(self, lang: pa.Array, words: pa.Array) -> np.ndarray:
+        """Which words are hot in their language."""
+        return pc.is_in(pc.binary_join_element_wise(lang.cast(pa.binary()), words, pa.scalar(MARK, pa.binary())), value_set=self.hot).to_numpy(zero_copy_only=False)
 
-    def push(self, keys: pa.Array, counts: np.ndarray) -> Iterator[tuple[pa.Array, np.ndarray]]:
-        """Takes the next suffixes, in batches for the speed of arrays; gives the phrases that have ended, and their counts."""
+    def push(self, lang: pa.Array, keys: pa.Array, counts: np.ndarray) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
+        """Takes the next suffixes; gives (lang, phrase, count) of the phrases that have ended, are frequent, or are counted in parts."""
         words = pc.split_pattern(keys, MARK.decode())  # and nothing behind the last mark
         length, starts, flat = pc.list_value_length(words).to_numpy() - 1, words.offsets.to_numpy()[:-1], words.flatten()
-        same = np.ones(len(keys) - 1, bool)
+        same = pc.equal(lang.slice(1), lang.slice(0, len(lang) - 1)).to_numpy(zero_copy_only=False)
+        hot = np.ones(len(keys), bool)
         for depth in range(len(self.open)):
             has = length > depth
             word = flat.take(pa.array(np.where(has, starts + depth, starts)))
-            same &= has[1:] & has[:-1] & pc.equal(word.slice(1), word.slice(0, len(keys) - 1)).to_numpy(zero_copy_only=False)
+            same = same & has[1:] & has[:-1] & pc.equal(word.slice(1), word.slice(0, len(keys) - 1)).to_numpy(zero_copy_only=False)
             first = np.flatnonzero(has & np.append(True, ~same))
+            if hot.any():
+                hot &= has & self.in_parts(lang, word)
             sums = np.add.reduceat(np.where(has, counts, 0), first) if len(first) else np.zeros(0, np.int64)
-            yield from self.moved(depth, pc.binary_join(pc.list_slice(words.take(pa.array(first)), 0, depth + 1), b" "), sums, bool(has[0]), bool(has[-1]))
-
-    def moved(self, depth: int, phrases: pa.Array, sums: np.ndarray, at_once: bool, stays: bool) -> Iterator[tuple[pa.Array, np.ndarray]]:
-        """The open phrase goes on in the first one, or ends; the last one stays open, if the run still holds it."""
-        own, n = self.open[depth]
-        if n and at_once and phrases[0].as_py() == own:
-            sums[0] += n
-        elif n:
-            yield pa.array([own], pa.binary()), np.array([n])
-        over = len(phrases) - stays
-        self.open[depth] = (phrases[over].as_py(), int(sums[over])) if stays else (b"", 0)
-        if over > 0:
-            yield phrases.slice(0, over), sums[:over]
-
-    def ended(self) -> Iterator[tuple[pa.Array, np.ndarray]]:
-        for phrase, n in self.open:
-            if n:
-                yield pa.array([phrase], pa.binary()), np.array([n])
-        self.open = [(b"", 0)] * len(self.open)
-
-
-def _scanned(batches: Iterator[pa.RecordBatch], max_n: int, least: int, hot: Broadcast) -> Iterator[pa.RecordBatch]:
-    """(lang, key, n) of the phrases in rows (lang, key, n) sorted by language and suffix: those of `least` occurrences, and those that are counted in parts."""
-    stack, now, known = Stack(max_n), None, hot.value
-
-    def told(ended: Iterator[tuple[pa.Array, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        for phrases, n in ended:
-            stay = n >= least
-            rare = np.flatnonzero(~stay)
-            stay[rare] = [all((now, w) in known for w in p.split(b" ")) for p in phrases.take(pa.array(rare)).to_pylist()]
-            at = np.flatnonzero(stay)
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([now] * len(at), pa.string()), "key": phrases.take(pa.array(at)), "n": pa.array(n[at], pa.int64())})
+            phrase = lambda at, n=depth + 1: pc.binary_join(pc.list_slice(words.take(pa.array(at)), 0, n), b" ")
+            yield from self.moved(depth, lang, phrase, first, sums, hot, bool(has[-1]))
+
+    def moved(self, depth: int, lang: pa.Array, phrase: Callable, first: np.ndarray, sums: np.ndarray, hot: np.ndarray, stays: bool) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
+        """The open phrase goes on in the first one, or ends; the last one stays open, if the run still holds it. Others are spelled only if they are given."""
+        if len(first) and first[0] == 0 and self.open[depth][2] and (lang[0].as_py(), phrase(first[:1])[0].as_py()) == self.open[depth][:2]:
+            sums[0] += self.open[depth][2]
+        else:
+            yield from self.ended(depth)
+        self.open[depth] = (lang[int(first[-1])].as_py(), phrase(first[-1:])[0].as_py(), int(sums[-1])) if stays else ("", b"", 0)
+        over = len(first) - stays
+        at = np.flatnonzero((sums[:over] >= self.least) | hot[first[:over]])
+        if len(at):
+            yield lang.take(pa.array(first[at])), phrase(first[at]), sums[at]
+
+    def ended(self, depth: int) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
+        lang, phrase, n = self.open[depth]
+        words = pa.array(phrase.split(b" "), pa.binary())
+        if n and (n >= self.least or self.in_parts(pa.array([lang] * len(words)), words).all()):
+            yield pa.array([lang]), pa.array([phrase], pa.binary()), np.array([n])
+        self.open[depth] = ("", b"", 0)
+
+    def drained(self) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
+        for depth in range(len(self.open)):
+            yield from self.ended(depth)
+
 
+def _scanned(batches: Iterator[pa.RecordBatch], stack: Stack) -> Iterator[pa.RecordBatch]:
+    """(lang, key, n) of the phrases in rows (lang, key, n) sorted so that suffixes that begin alike are neighbours."""
     for batch in batches:
-        runs, since = pc.run_end_encode(batch.column("lang")), 0
-        for lang, until in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
-            if lang != now:
-                yield from told(stack.ended())
-                now = lang
-            yield from told(stack.push(batch.column("key").slice(since, until - since), batch.column("n").slice(since, until - since).to_numpy()))
-            since = until
-    yield from told(stack.ended())
+        if batch.num_rows:
+            for lang, phrase, n in stack.push(batch.column("lang"), batch.column("key"), batch.column("n").to_numpy()):
+                yield pa.RecordBatch.from_pydict({"lang": lang, "key": phrase, "n": pa.array(n, pa.int64())})
+    for lang, phrase, n in stack.drained():
+        yield pa.RecordBatch.from_pydict({"lang": lang, "key": phrase, "n": pa.array(n, pa.int64())})
 
 
 def frequencies(docs: DataFrame, words: DataFrame, max_n: int = MAX_N, least: int = LEAST) -> DataFrame:
@@ -173,8 +209,9 @@ def frequencies(docs: DataFrame, words: DataFrame, max_n: int = MAX_N, least: in
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / ROWS_PER_TASK))
     begin = words.filter(F.col("n") >= max(1, total // (4 * parts))).select("lang", "key").collect()  # 8 * parts at most
     hot = spark.sparkContext.broadcast(frozenset((r.lang, bytes(r.key)) for r in begin))
-    runs = suffixes(docs, max_n, hot).repartition(parts, "lang", "deal").sortWithinPartitions("lang", F.desc("key")).select("lang", "key", "n")
-    found = runs.mapInArrow(lambda batches: _scanned(batches, max_n, least, hot), "lang string, key binary, n long")
+    # words that deal are told apart by a number first, so most comparisons of the sort are of numbers
+    runs = suffixes(docs, max_n, hot).repartition(parts, "lang", "deal").sortWithinPartitions("deal", "lang", F.desc("key")).select("lang", "key", "n")
+    found = runs.mapInArrow(lambda batches: _scanned(batches, Stack(max_n, least, hot.value)), "lang string, key binary, n long")
     summed = found.groupBy("lang", F.col("key").cast("string").alias("phrase")).agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
     return materialise(summed.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("size"), "f"), "phrases")
 

@@ -49,34 +49,59 @@ def test_against_brute_force(spark, seed):
     assert P.collocations(df.limit(0)).count() == 0
 
 
-@settings(deadline=None, max_examples=40)
-@given(st.lists(st.lists(st.sampled_from([b"a", b"ab", b"b", b"c\x00"]), min_size=1, max_size=3), min_size=1, max_size=60), st.integers(1, 9))
-def test_stack_in_any_batches(rows, size):
-    keys = sorted({b"".join(w + P.MARK for w in r) for r in rows}, reverse=True)
-    counts, stack, got = np.arange(1, len(keys) + 1), P.Stack(3), Counter()
+@settings(deadline=None, max_examples=60)
+@given(st.lists(st.tuples(st.sampled_from(["en", "de"]), st.lists(st.sampled_from([b"a", b"ab", b"b", b"c\x00"]), min_size=1, max_size=3)), min_size=1, max_size=60), st.integers(1, 9), st.integers(1, 9))
+def test_stack_in_any_batches(rows, size, least):
+    keys = sorted({(lang, b"".join(w + P.MARK for w in r)) for lang, r in rows}, reverse=True)
+    counts, got, hot = np.arange(1, len(keys) + 1), Counter(), frozenset([("en", b"a"), ("en", b"b")])
+    stack = P.Stack(3, least, hot)
+
+    def take(ended):
+        for lang, phrases, n in ended:
+            for key in zip(lang.to_pylist(), phrases.to_pylist(), n.tolist(), strict=True):
+                assert key[:2] not in got
+                got[key[:2]] = key[2]
+
     for a in range(0, len(keys), size):
-        for phrases, n in stack.push(pa.array(keys[a : a + size], pa.binary()), counts[a : a + size]):
-            for p, k in zip(phrases.to_pylist(), n.tolist(), strict=True):
-                assert p not in got
-                got[p] = k
-    for phrases, n in stack.ended():
-        got[phrases[0].as_py()] += int(n[0])
+        some = keys[a : a + size]
+        take(stack.push(pa.array([k[0] for k in some]), pa.array([k[1] for k in some], pa.binary()), counts[a : a + size]))
+    take(stack.drained())
     want = Counter()
-    for key, n in zip(keys, counts.tolist(), strict=True):
+    for (lang, key), n in zip(keys, counts.tolist(), strict=True):
         own = key.split(P.MARK)[:-1]
         for k in range(len(own)):
-            want[b" ".join(own[: k + 1])] += n
-    assert got == want
-
-
-def test_hot_words_are_dealt_by_what_follows():
-    key = lambda *words: b"".join(w + P.MARK for w in words)
-    hot = frozenset([("en", b"the"), ("en", b"of")])
-    deal = lambda *words: P.dealt_by("en", key(*words), hot)
-    assert deal(b"cat", b"x", b"y") == deal(b"cat", b"the", b"z") == deal(b"cat")
-    assert deal(b"the", b"cat", b"y") == deal(b"the", b"cat", b"z") != deal(b"the", b"dog", b"z")
-    assert len({deal(b"the", b"of", w) for w in (b"a", b"b", b"the", b"of")}) == 4
-    assert P.dealt_by("de", key(b"the", b"cat"), hot) == P.dealt_by("de", key(b"the", b"dog"), hot)
+            want[lang, b" ".join(own[: k + 1])] += n
+    assert got == {k: n for k, n in want.items() if n >= least or all((k[0], w) in hot for w in k[1].split(b" "))}
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.lists(st.lists(st.sampled_from([b"a", b"b", b"c"]), max_size=5), max_size=6), st.integers(1, 4), st.booleans())
+def test_distinct_suffixes(texts, max_n, wide):
+    distinct, places = P.numbered(P.STOP.join(b" ".join(t) for t in texts))
+    names = [None, *distinct.to_pylist()]
+    words, counts = P.distinct_suffixes(places, 2**40 if wide else len(distinct), max_n)
+    got = {tuple(names[w[k]] for w in words if w[k]): n for k, n in enumerate(counts.tolist())}
+    assert got == Counter(tuple(t[k : k + max_n]) for t in texts for k in range(len(t)))
+
+
+def test_long_texts_are_cut_where_pieces_end(monkeypatch):
+    monkeypatch.setattr(P, "CHUNK_BYTES", 10)
+    texts = ["aa bb cc dd ee ff. gg hh; ii", "x" * 30, "", "a. b. c. d. e. f. g"]
+    batch = pa.RecordBatch.from_pydict({"lang": ["en", "de", "en", "en"], "text": pa.array([t.encode() for t in texts])})
+    got = Counter((lang, piece.strip()) for lang, text in P.chunks(iter([batch])) for piece in text.split(P.STOP) if piece.strip())
+    assert got == Counter([("en", p) for p in (b"aa bb cc dd ee ff", b"gg hh", b"ii", *b"a b c d e f g".split())] + [("de", b"x" * 30)])
+
+
+def test_hot_words_are_dealt_by_what_follows(spark):
+    class Known:
+        value = frozenset([("en", b"the"), ("en", b"of")])
+
+    docs = spark.createDataFrame([("en", "the cat x. the cat y. the dog z. of the a. of the b. cat the a. cat of"), ("de", "the cat. the dog")], "lang string, text string")
+    deal = {(r.lang, bytes(r.key)): r.deal for r in P.suffixes(docs, 3, Known).collect()}
+    key = lambda words: b"".join(w + P.MARK for w in words.encode().split())
+    of = lambda words, lang="en": deal[lang, key(words)]
+    assert of("cat the a") == of("cat of") == of("cat x") and of("the cat x") == of("the cat y") != of("the dog z")
+    assert of("of the a") != of("of the b") and of("the cat", "de") == of("the dog", "de")
 
 
 def test_numbers_beyond_64_bits(spark):

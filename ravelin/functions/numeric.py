@@ -108,15 +108,9 @@ def md5_mod(text: Column, k: int) -> Column:
     return F.pmod(F.pmod(md5_half(text, False), F.lit(k)) * turn + F.pmod(md5_half(text, True), F.lit(k)), F.lit(k)).cast("int")
 
 
-#: The character that stands for bin 0; bins are characters up to code 255.
-FIRST_BIN, MOST_BINS = 48, 208
-
-
 def md5_bins(tokens: Column, k: int) -> Column:
-    """The bins of tokens as text, a character for each."""
-    if k > MOST_BINS:
-        raise ValueError(f"at most {MOST_BINS} bins")
-    return F.array_join(F.transform(tokens, lambda t: F.char(md5_mod(t, k) + FIRST_BIN)), "")
+    """The bins of tokens as one text, in order: a number of as many digits as k - 1 for each."""
+    return F.array_join(F.array_sort(F.transform(tokens, lambda t: F.lpad(md5_mod(t, k).cast("string"), len(str(k - 1)), "0"))), "")
 
 
 def problem_seed(key: Column, seed: int) -> Column:
@@ -124,9 +118,17 @@ def problem_seed(key: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long") + seed
 
 
-def bin_counts(at: Column, bins: int) -> Column:
-    """How often each of 0 to bins - 1 is in at, a text of md5_bins: what it loses without the bin's character."""
-    return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: (F.length(at) - F.length(F.replace(at, F.char(i + FIRST_BIN), F.lit("")))).cast("double"))
+def bin_runs(at: Column, bins: int) -> Column:
+    """A map from each bin in at, a text of md5_bins, to how often it is there: equal numbers stand together, so one pass finds their runs."""
+    digits = len(str(bins - 1))
+    runs = F.regexp_extract_all(at, F.lit(f"([0-9]{{{digits}}})\\1*"), F.lit(0))
+    return F.map_from_arrays(F.transform(runs, lambda r: F.substring(r, F.lit(1), F.lit(digits)).cast("int")), F.transform(runs, lambda r: F.length(r) / digits))
+
+
+def bin_counts(runs: Column, bins: int) -> Column:
+    """How often each of 0 to bins - 1 occurs, from a map of bin_runs."""
+    each = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.coalesce(F.try_element_at(runs, i), F.lit(0.0)))
+    return F.when(F.size(runs) > 0, each).otherwise(F.array_repeat(F.lit(0.0), bins))
 
 
 def scaled(values: Column, length: Column) -> Column:

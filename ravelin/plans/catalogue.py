@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ravelin.functions import jsonrepair, numeric, text
 from ravelin.functions.calc import calculate_steps
 from ravelin.operators import aggregates, tables
+from ravelin.operators.membership import KeyFilter
 from ravelin.operators import relational as R
 from ravelin.plans import ablation, gate, generation, live
 from ravelin.sources import lines, providers
@@ -25,8 +26,6 @@ from ravelin.streaming import progress as streamed
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-#: Passages, of some hundred bytes each, that may be sent to all tasks.
-MOST_PASSAGES = 10_000
 SEP = "chr(31)"
 
 
@@ -348,8 +347,8 @@ def passage_leakage(spark, sf):
     """Documents that hold a whole passage: what is inside a passage is looked up among what documents hold, and hits are compared.
 
     Passages of six words or more are found by four inner words, of three or more by one, and shorter ones by their first letters. Only
-    kinds that occur are looked up. Few passages are sent to the documents, so that these are not shuffled; many are joined,
-    where a key that many documents hold can be split.
+    kinds that occur are looked up, by a filter of all keys where the document stands: only what passes becomes rows that are joined,
+    and a key that many documents hold can be split there.
     """
     words = lambda c: F.split(F.lower(c), r"[ \t\n\r\x0b\f]+")
     gram = lambda w, i, n: F.xxhash64(F.array_join(F.slice(w, i, n), " "))
@@ -358,15 +357,21 @@ def passage_leakage(spark, sf):
     key = F.when(F.size("w") >= 6, gram(F.col("w"), F.lit(2), 4)).when(F.size("w") >= 3, gram(F.col("w"), F.lit(2), 1)).otherwise(F.xxhash64(F.substring("passage", F.lit(1), letters)))
     b = t(spark, sf, "benchmark").select("item_id", F.lower("text").alias("passage")).filter("passage <> ''").withColumn("w", words(F.col("passage")))
     b = b.select("item_id", "passage", kind.alias("kind"), key.alias("key"))
-    kinds = {r.kind: r.n for r in b.groupBy("kind").agg(F.count("*").alias("n")).collect()}  # six at most
-    few = F.broadcast if sum(kinds.values()) <= MOST_PASSAGES else lambda x: x
+    kinds = sorted(r.kind for r in b.select("kind").distinct().collect())  # six at most
     d = t(spark, sf, "documents").select("doc_id", F.lower("text").alias("text")).withColumn("w", words(F.col("text")))
     keys = {"four": F.transform(text.indexes(F.size("w") - 3), lambda i: gram(F.col("w"), i + 1, 4)), "one": F.transform("w", lambda x: F.xxhash64(x))}
     letter_keys = lambda n: F.transform(text.indexes(F.length("text") - n + 1), lambda i: F.xxhash64(F.substring(F.col("text"), i + 1, F.lit(n))))
     keys |= {f"letters{n}": letter_keys(n) for n in range(1, 5)}
-    found = [d.select("doc_id", F.explode(F.array_distinct(keys[k])).alias("key")).join(few(b.filter(F.col("kind") == k).select("item_id", "key")), "key") for k in sorted(kinds)]
+
+    def hits(kind: str) -> DataFrame:
+        own = b.filter(F.col("kind") == kind).select("item_id", "key")
+        known = KeyFilter(own.select("key").distinct(), "key")
+        # explode or a filter of arrays would have the optimiser copy the words into every step of the lambda
+        return d.select("doc_id", F.explode_outer(F.array_distinct(F.filter(keys[kind], known.passes))).alias("key")).filter("key IS NOT NULL").join(own, "key")
+
+    found = [hits(k) for k in kinds]
     pairs = reduce(DataFrame.union, [f.select("doc_id", "item_id") for f in found], d.select("doc_id", F.lit(0).cast("long").alias("item_id")).limit(0)).distinct()
-    checked = pairs.join(few(b.select("item_id", "passage")), "item_id").join(d.select("doc_id", "text"), "doc_id")
+    checked = pairs.join(b.select("item_id", "passage"), "item_id").join(d.select("doc_id", "text"), "doc_id")
     return checked.filter(F.contains("text", F.col("passage"))).select("doc_id", "item_id")
 
 

@@ -100,12 +100,13 @@ def vector(columns: dict[str, Column], names: list[str] = FEATURES) -> Column:
 
 
 def with_bags(df: DataFrame, bags: dict[str, tuple[Column, int]]) -> DataFrame:
-    """Adds a hashed bag of words for each name: (text, bins). Bins of tokens are found once a row, then counted.
+    """Adds a hashed bag of words for each name: (text, bins). Bins of tokens are found and put in order once a row, then counted.
 
     Each column is used twice by the next, or the optimiser would put it into the function that runs for every bin.
     """
     df = df.withColumns({f"_{n}_at": numeric.md5_bins(text.feature_tokens(c), k) for n, (c, k) in bags.items()})
-    df = df.withColumns({f"_{n}_count": numeric.bin_counts(F.col(f"_{n}_at"), k) for n, (_, k) in bags.items()})
+    df = df.withColumns({f"_{n}_runs": numeric.bin_runs(F.col(f"_{n}_at"), k) for n, (_, k) in bags.items()})
+    df = df.withColumns({f"_{n}_count": numeric.bin_counts(F.col(f"_{n}_runs"), k) for n, (_, k) in bags.items()})
     df = df.withColumns({f"_{n}_length": F.sqrt(F.aggregate(f"_{n}_count", F.lit(0.0), lambda s, v: s + v * v)) for n in bags})
     return df.withColumns({n: numeric.scaled(F.col(f"_{n}_count"), F.col(f"_{n}_length")) for n in bags})
 

@@ -6,11 +6,16 @@ and texts with ROWS equal minima in one band meet in a bucket: at similarity LEA
 Buckets of the same texts are kept once. Every bucket of two texts or more links its texts by
 verified pairs: one after the other is held against all not yet linked, by postings of their shingles, so
 that groups of very many near copies cost no more than their size. Nothing is capped.
+
+A bucket whose shingles exceed BUCKET_BYTES is made smaller before it goes to a task: all its texts are held against one of them, the pivot, in a plain join, which can be
+split and streams. What is near the pivot is linked by it. Jaccard distance is a metric, so such a text can only be near one that is not linked yet if its
+distance from the pivot is at least that of the nearest of these less the greatest allowed; all others have nothing more to tell and leave the bucket, and so does the pivot.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +29,8 @@ SHINGLE = 5
 #: Least similarity of near-duplicates, as a fraction, so that integers tell.
 LEAST = (4, 5)
 BANDS, ROWS = 20, 5
+#: Bytes of the shingles of a bucket that goes to a task as it is, and the share of the bytes of larger ones that a round of pivots must take away for another one to follow.
+BUCKET_BYTES, LEAST_GAIN = 8 << 20, 0.02
 SEED = 42
 ODD = np.uint64(0x9E3779B97F4A7C15)
 _random = np.random.default_rng(SEED)
@@ -135,6 +142,47 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from told()
 
 
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distance of each text from its bucket's pivot, and whether they are near-duplicates."""
+    for batch in batches:
+        far, close = [], []
+        for own, pivot in zip(batch.column("shingles").to_pylist(), batch.column("pivot_shingles").to_pylist(), strict=True):
+            x, y = np.frombuffer(own, np.uint64), np.frombuffer(pivot, np.uint64)
+            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+            both = int((y[at] == x).sum())
+            far.append(1 - both / (len(x) + len(y) - both))
+            close.append(both * LEAST[1] >= (len(x) + len(y) - both) * LEAST[0])
+        yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("key", "content", "fresh", "pivot")} | {"far": far, "close": pa.array(close, pa.bool_())})
+
+
+def without_linked(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(key, content) of what buckets must still compare, and edges (a, b) found meanwhile. members: (key, content); sets: (content, shingles).
+
+    Buckets of BUCKET_BYTES at most stay as they are. Larger ones go through rounds of pivots until they are small, or empty; if a round
+    takes less than LEAST_GAIN of their bytes, they stay as large as they are, and whole.
+    """
+    size = F.octet_length("shingles").alias("bytes")
+    members = materialise(members.join(sets.select("content", size), "content").withColumn("fresh", F.lit(True)), "sized")
+    edges, done, before = [], [], None
+    while True:
+        large = materialise(members.groupBy("key").agg(F.sum("bytes").alias("all")).filter(F.col("all") > BUCKET_BYTES), "large")
+        now = large.agg(F.sum("all")).first()[0] or 0
+        if not now or (before is not None and now > (1 - LEAST_GAIN) * before):
+            return reduce(DataFrame.union, [m.select("key", "content") for m in [*done, members]]), edges
+        before = now
+        done.append(members.join(large, "key", "left_anti"))
+        rest = members.join(large.select("key"), "key")
+        pivots = rest.filter("fresh").groupBy("key").agg(F.min("content").alias("pivot"))
+        pivots = materialise(pivots.join(sets, F.col("pivot") == F.col("content")).select("key", "pivot", F.col("shingles").alias("pivot_shingles")), "pivots")
+        rows = rest.join(sets, "content").join(pivots, "key").select("key", "content", "fresh", "shingles", "pivot", "pivot_shingles")
+        held = materialise(rows.mapInArrow(_held, "key long, content long, fresh boolean, pivot long, far double, close boolean"), "held")
+        edges.append(held.filter("close AND content <> pivot").select(F.col("pivot").alias("a"), F.col("content").alias("b")))
+        nearest = held.filter("fresh AND NOT close").groupBy("key").agg(F.min("far").alias("nearest"))
+        allowed = 1 - LEAST[0] / LEAST[1] + 1e-9
+        kept = held.join(nearest, "key").filter((F.col("fresh") & ~F.col("close")) | ((F.col("content") != F.col("pivot")) & (F.col("far") >= F.col("nearest") - allowed)))
+        members = materialise(kept.select("key", "content", (F.col("fresh") & ~F.col("close")).alias("fresh")).join(sets.select("content", size), "content"), "members")
+
+
 def near_duplicates(docs: DataFrame, balls: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(uid, component_id) per row of docs (uid long, text), of rows in a group of near-duplicates: the least uid of the group.
 
@@ -157,8 +205,9 @@ def near_duplicates(docs: DataFrame, balls: Callable[[DataFrame], DataFrame] | N
     texts = docs.select("uid", "text").join(asked, F.col("uid") == F.col("least")).select("content", "text").mapInArrow(_shingled, "content long, shingles binary")
     sets = materialise(texts.groupBy("content").agg(F.min("shingles").alias("shingles")), "shingles")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = members.join(sets, "content").select("key", "content", "shingles").repartition(parts, "key").sortWithinPartitions("key", "content")
-    found = materialise(components(buckets.mapInArrow(_edges, "a long, b long").distinct()), "components")
+    left, edges = without_linked(members, sets)
+    buckets = left.join(sets, "content").select("key", "content", "shingles").repartition(parts, "key").sortWithinPartitions("key", "content")
+    found = materialise(components(reduce(DataFrame.union, edges, buckets.mapInArrow(_edges, "a long, b long")).distinct()), "components")
     roots = materialise(found.join(distinct, found.node == distinct.content).groupBy("root").agg(F.min("least").alias("component_id")), "roots")
     of_content = found.join(roots, "root").select(F.col("node").alias("linked"), "component_id")
     own = materialise(distinct.join(of_content, F.col("content") == F.col("linked"), "left").select("content", F.coalesce("component_id", "least").alias("component_id")), "components")

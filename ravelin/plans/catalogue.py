@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.functions import jsonrepair, numeric, text
+from ravelin.functions import jsonrepair, numeric, phrases, text
 from ravelin.functions.calc import calculate_steps
 from ravelin.operators import aggregates, tables
 from ravelin.operators.membership import KeyFilter
@@ -338,8 +338,8 @@ def any_sql(column: str, phrases: list[str]) -> str:
 SELECT doc_id, {any_sql('text', text.RELATION_HINTS)} AS relation, {any_sql('text', text.DIFFERENCE_MARKERS)} AS difference, {any_sql('text', text.HEDGING_MARKERS)} AS hedging,
        {any_sql('text', text.SOLVING_MARKERS)} AS solving, {any_sql('text', text.ASSERTION_MARKERS)} AS asserting, regexp_matches(text, '\\b\\d+\\b') AS has_number FROM documents""")
 def phrase_flags(spark, sf):
-    c = F.col("text")
-    return t(spark, sf, "documents").select("doc_id", text.has_relation_hint(c).alias("relation"), text.contains_any(c, text.DIFFERENCE_MARKERS).alias("difference"), text.contains_any(c, text.HEDGING_MARKERS).alias("hedging"), text.contains_any(c, text.SOLVING_MARKERS).alias("solving"), text.contains_any(c, text.ASSERTION_MARKERS).alias("asserting"), text.has_number(c).alias("has_number"))
+    lists = {"relation": text.RELATION_HINTS, "difference": text.DIFFERENCE_MARKERS, "hedging": text.HEDGING_MARKERS, "solving": text.SOLVING_MARKERS, "asserting": text.ASSERTION_MARKERS}
+    return t(spark, sf, "documents").select("doc_id", phrases.held(F.col("text"), lists).alias("h"), text.has_number(F.col("text")).alias("has_number")).select("doc_id", "h.*", "has_number")
 
 
 @query("SELECT doc_id, item_id FROM documents d, benchmark b WHERE b.text <> '' AND contains(lower(d.text), lower(b.text))")

@@ -10,7 +10,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ravelin.functions import calc, jsonrepair
+from ravelin.functions import calc, jsonrepair, phrases
 from ravelin.operators import aggregates, tables
 from ravelin.operators import relational as R
 from ravelin.plans import catalogue, generation
@@ -126,3 +126,22 @@ def test_first_object(t, want):
 def test_well_formed_replies_stay_in_the_engine(spark):
     df = spark.createDataFrame([('{"a": 1}',), ("{'a': 2}",), ("[1]",), ("none here",), (None,), ('{"a": "<think>x</think>y"}',)], "t string")
     assert [r[0] for r in df.select(jsonrepair.object_text(F.col("t"))).collect()] == ['{"a": 1}', '{"a": 2}', "[1]", None, None, '{"a": "y"}']
+
+
+WORDS = st.text("abAB é", max_size=4)
+
+
+@given(st.lists(st.lists(WORDS, max_size=4), max_size=4), st.lists(st.one_of(st.none(), st.text("abAB éx", max_size=12)), max_size=5))
+def test_phrases_of_lists(lists, texts):
+    own = tuple(map(tuple, lists))
+    low = [t.lower() if t is not None else None for t in texts]
+    want = [sum(1 << k for k, ps in enumerate(own) if any(p.lower() in (t or "") for p in ps)) for t in low]
+    assert phrases.masks(low, own) == want
+
+
+def test_many_phrases_are_one_function(spark):
+    df = spark.createDataFrame([("The word number 9999 ends",), ("none",), (None,), ("",)], "t string")
+    lists = {"many": [f"number {k} e" for k in range(10_000)], "few": ["NONE", "the"], "empty": []}
+    found = df.select(phrases.held(F.col("t"), lists).alias("h"))
+    assert len(found._jdf.queryExecution().toString()) < 5_000
+    assert [r.h and tuple(r.h) for r in found.collect()] == [(True, True, False), (False, True, False), (None, None, None), (False, False, False)]

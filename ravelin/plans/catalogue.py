@@ -715,7 +715,37 @@ def mock_ablation(spark, sf):
     return ablation.summary(ablation.run(rows))
 
 
-@query()
+def tokens_sql(s: str) -> str:
+    return f"list_distinct(list_filter(list_transform(regexp_extract_all({s}, '[A-Za-z]+'), lambda w: lower(w)), lambda w: length(w) >= 3))"
+
+
+def whole_words_sql(s: str) -> str:
+    return f"regexp_extract_all({s}, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+')"
+
+
+def marked(phrases: list[str], s: str = "s") -> str:
+    return any_sql(s, phrases)
+
+
+NUMBERS_SQL = r"regexp_extract_all({0}, '\b\d+(?:\.\d+)?\b')"
+NO_NUMBER, NO_NAME = f"len({NUMBERS_SQL.format('s')}) = 0", f"len(list_intersect({whole_words_sql('lower(s)')}, names)) = 0"
+PREFIXES = " OR ".join(f"starts_with(lower(core[i + 1]), '{p}')" for p in text.QUESTION_PREFIXES)
+
+
+@query(f"""
+WITH {VARIANT_ROWS}, z AS (SELECT item_id, array_to_string(s, ' ') AS q FROM a),
+w AS (SELECT item_id, q, list_transform(list_filter(list_distinct({whole_words_sql('q')}), lambda w: regexp_full_match(w, '[A-Z][a-z]+') AND w NOT IN ({", ".join(f"'{x}'" for x in text.NOT_CORE_WORDS)})), lambda w: lower(w)) AS names,
+  list_distinct({NUMBERS_SQL.format('q')}) AS numbers,
+  list_transform(list_zip(regexp_extract_all(lower(q), 'each\\s+([a-z]+)\\s+{HAS}\\s+\\d+\\s+([a-z]+)s', 2), regexp_extract_all(lower(q), 'each\\s+([a-z]+)\\s+{HAS}\\s+\\d+\\s+([a-z]+)s', 1)), lambda z: z[1] || ' per ' || z[2]) AS pairs FROM z),
+e AS (SELECT item_id, variant, core, before || after AS noise, list_filter(range(len(core)), lambda i: NOT (ends_with(core[i + 1], '?') OR {PREFIXES}) AND (regexp_matches(core[i + 1], '\\b\\d+\\b') OR {any_sql('core[i + 1]', text.RELATION_HINTS)})) AS ids FROM v WHERE variant <> 'base'),
+t AS (SELECT e.*, names, numbers, pairs, list_transform(CASE WHEN len(ids) = 0 THEN [0] ELSE ids END, lambda i: {tokens_sql('core[i + 1]')}) AS evidence, lower(array_to_string(noise, ' ')) AS low FROM e JOIN w USING (item_id))
+SELECT item_id::VARCHAR AS id, variant, len(list_filter(noise, lambda s: NOT CASE variant
+    WHEN 'TB' THEN {NO_NUMBER} AND NOT {marked(text.DIFFERENCE_MARKERS)} AND NOT {marked(text.HEDGING_MARKERS)} AND NOT {marked(text.SOLVING_MARKERS)} AND {NO_NAME}
+    WHEN 'PED' THEN {marked(text.DIFFERENCE_MARKERS)} AND {NO_NUMBER} AND NOT {marked(text.HEDGING_MARKERS)} AND {NO_NAME}
+    WHEN 'HU' THEN {marked(text.HEDGING_MARKERS)} AND NOT {marked(text.DIFFERENCE_MARKERS)} AND {NO_NUMBER} AND NOT {marked(text.ASSERTION_MARKERS)}
+    ELSE len(list_filter({NUMBERS_SQL.format('s')}, lambda n: NOT list_contains(numbers, n))) = 0 AND NOT {marked(text.DIFFERENCE_MARKERS)} AND NOT {marked(text.HEDGING_MARKERS)} AND NOT {marked(text.SOLVING_MARKERS)}
+      AND len({tokens_sql('s')}) >= 2 AND len(list_filter(evidence, lambda g: len(list_intersect({tokens_sql('s')}, g)) >= 2)) > 0 END)) = 0 AS class_constraints,
+  NOT contains(low, (item_id + 1)::VARCHAR) AND len(list_filter(pairs, lambda p: contains(low, p))) = 0 AS no_leakage, true AS truth_invariant FROM t""")
 def validated_noise(spark, sf):
     v = generation.generate(problems(spark, sf))["validated"]
     return v.select("id", F.explode_outer("validated_noises").alias("variant", "checks"), F.col("meta_checks.truth_invariant").alias("truth_invariant")).select("id", "variant", "checks.*", "truth_invariant")

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -23,8 +24,9 @@ from ravelin.llm.common import materialise, table
 
 #: Rules (host, path) and their verdicts; of those that fit, the longest wins.
 RULES = (("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"), ("net/", "block"))
-#: The query's list of hosts: those of its table with one of these labels.
+#: The query's list of hosts: those of its table with one of these labels, and those of whose pages this share in percent, and LEAST_PAGES at least, have a title with such runs of signs.
 LISTED_LABELS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+JUNK_TITLE, JUNK_PERCENT, LEAST_PAGES = "<title>[^<]*[#%*]{3}", 3, 5
 #: Bits of all levels together, 8 MiB, and the least that may be asked for.
 MOST_BITS, LEAST_BITS = 1 << 26, 1 << 12
 #: A block is LONGS numbers of LONG_BITS bits, of which a prime number are used; a byte of the constant holds seven bits.
@@ -106,6 +108,9 @@ class Cascade:
         self.fits, self.bits = True, 0
         inside, outside, k = universe.filter("listed").select("key"), universe.filter("not listed").select("key"), n.listed
         rate = min(0.5, max(n.listed, 1) / (math.sqrt(2) * max(1, n["all"] - n.listed)))
+        if k > SMALL and sum(self.expected(n.listed, n["all"], rate)) > most_bits:
+            self.fits = False
+            return
         while k:
             level = Level(len(self.levels), *size_of(k, min(rate, SMALL_RATE) if k <= SMALL else rate))
             self.bits += level.bits
@@ -116,6 +121,14 @@ class Cascade:
             inside, outside = level.judged(outside, "key", "_hit").filter("_hit").select("key"), inside
             k, rate = inside.count(), 0.5
 
+    @staticmethod
+    def expected(listed: int, of_all: int, rate: float) -> Iterator[float]:
+        """Bits of each level by what is expected to pass the one before, until few keys are left."""
+        inside, outside = float(listed), float(of_all - listed)
+        while inside > SMALL:
+            yield size_of(round(inside), rate)[0]
+            inside, outside, rate = outside * rate, inside, 0.5
+
     def judged(self, rows: DataFrame, key: str, out: str) -> DataFrame:
         """rows with a column out: whether the key, one of the universe, is listed. A null or unknown key gives any answer."""
         names = rows.columns
@@ -133,7 +146,7 @@ def judged_in_parts(rows: DataFrame, key: str, out: str, universe: DataFrame, mo
     Beyond it keys are halved by the next bit of a hash, and either half goes the same way. Each part is written before the next one is
     built, so no plan and no task holds the constants of two. Keys of one hash in all 64 bits can't be halved and raise.
     """
-    cascade = Cascade(universe, max(most_bits, LEAST_BITS))
+    cascade = Cascade(universe, max(most_bits, LEAST_BITS))  # counts first: a list that cannot fit builds no level
     if cascade.fits:
         whole = cascade.judged(rows, key, out)
         return materialise(whole, "judged") if halvings else whole
@@ -168,17 +181,25 @@ def hosts_by_label(pages: DataFrame, labels: tuple = LISTED_LABELS) -> DataFrame
     return pages.select(host.alias("host")).filter(listed_by_label(F.col("host"), labels)).distinct()
 
 
+def hosts_by_titles(pages: DataFrame, pattern: str = JUNK_TITLE, percent: int = JUNK_PERCENT, least: int = LEAST_PAGES) -> DataFrame:
+    """A list (host): the hosts of so many pages (url, html) of which this percentage at least has html that matches. A null html matches nothing."""
+    own = pages.select(host_and_path(F.col("url"))[0].alias("host"), F.coalesce(F.col("html").rlike(pattern), F.lit(False)).alias("junk"))
+    return own.groupBy("host").agg(F.count("*").alias("n"), F.count_if("junk").alias("k")).filter((F.col("n") >= least) & (100 * F.col("k") >= percent * F.col("n"))).select("host")
+
+
 def op6_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return judge(pages, hosts_by_label(pages))
+    return judge(pages, hosts_by_label(pages).union(hosts_by_titles(pages)))
 
 
 ORACLE = f"""
 WITH parts AS (
     SELECT page_id,
            translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host,
-           coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+           coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path, html
     FROM pages
+), titles AS (
+    SELECT host FROM parts GROUP BY host HAVING count(*) >= {LEAST_PAGES} AND 100 * coalesce(sum(regexp_matches(html, '{JUNK_TITLE}')::INT), 0) >= {JUNK_PERCENT} * count(*)
 ), ruled AS (
     SELECT *, CASE
         WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
@@ -186,7 +207,7 @@ WITH parts AS (
         WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
         WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/'
     END AS rule,
-    regexp_matches(host, '(^|\\.)({"|".join(LISTED_LABELS)})(\\.|$)') AS listed
+    regexp_matches(host, '(^|\\.)({"|".join(LISTED_LABELS)})(\\.|$)') OR host IN (SELECT host FROM titles) AS listed
     FROM parts
 )
 SELECT page_id, host, path, rule,

@@ -12,8 +12,8 @@ def test_against_sql(spark):
     rows = [(k, u, "clash") for k, u in enumerate(URLS)]
     df = spark.createDataFrame(rows, "page_id long, url string, host string")
     con = duckdb.connect()
-    con.execute("create table pages(page_id bigint, url varchar)")
-    con.executemany("insert into pages values (?, ?)", [r[:2] for r in rows])
+    con.execute("create table pages(page_id bigint, url varchar, html varchar)")
+    con.executemany("insert into pages values (?, ?, null)", [r[:2] for r in rows])
     want = sorted(con.sql(U.ORACLE).fetchall())
     own = U.hosts_by_label(df)
     for some in (own, own.union(own).union(spark.createDataFrame([(None,), ("elsewhere.org",)], "host string"))):
@@ -56,6 +56,20 @@ def test_parts_of_a_large_list(spark, step):
     assert {(r.page_id, r.verdict) for r in rows} == {(k, "allow" if k % 4000 % step else "block") for k in range(8000)} | {(-1, "allow")}
 
 
+def test_hosts_by_what_their_pages_hold(spark):
+    page = lambda host, junk: (f"http://{host}/", "<html><title>a ### b</title>" if junk else "<html><title>a # b</title><p>###" if junk is False else None)
+    rows = [page("a", k == 0) for k in range(10)] + [page("b", False)] * 10 + [page("c", True)] * 4 + [page("d", None)] * 6 + [page("e", k == 0) for k in range(40)] + [(None, None)] * 9
+    assert [r.host for r in U.hosts_by_titles(spark.createDataFrame(rows, "url string, html string")).collect()] == ["a"]
+    got = U.op6_url_cascade(spark, "/root/testdata/sf0.01").filter("listed").select("host").distinct().collect()
+    assert [r for r in got if not any(label in r.host for label in U.LISTED_LABELS)]
+
+
+def test_parts_are_told_by_counts(spark, monkeypatch):
+    monkeypatch.setattr(U.Level, "fill", lambda *a: 1 / 0)
+    keys = spark.range(200_000).select(F.concat(F.lit("h"), "id").alias("key"), (F.col("id") % 3 == 0).alias("listed"))
+    assert not U.Cascade(keys, 100_000).fits
+
+
 def test_plan_is_native(spark):
     plan = U.op6_url_cascade(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan

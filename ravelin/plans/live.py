@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ravelin import schemas
@@ -131,15 +132,19 @@ def committed(found: DataFrame, build: Callable[[], object], model: gate.LinearG
     def again(llm, r) -> dict:
         first = {c: getattr(r, c) for c in names(FOUND)} | {"pred_evidence_ids": list(r.pred_evidence_ids)}
         trace, messages = json.loads(r.trace_text), json.loads(r.messages_text)
-        loop = providers.Loop(llm, providers.tool_function(r.tool_mode, r.gold_answer), 1, True, base_url, messages=[*messages, {"role": "user", "content": prompt}], trace=trace)
+        tool = providers.tool_function(r.tool_mode, r.gold_answer)
+        for call in trace:  # the variables of the first turns are known again
+            tool(call["input"])
+        loop = providers.Loop(llm, tool, 1, True, base_url, messages=[*messages, {"role": "user", "content": prompt}], trace=trace)
         try:
             return first | replies.after_tools(loop.run(SYSTEM, r.prompt), loop.trace, r.tool_mode, lenient) | {"trace_text": json.dumps(loop.trace), "messages_text": json.dumps(loop.messages)}
         except Exception:  # the first answer stands
             return first
 
     keys = ["id", "variant", "mode"]
-    verdicts = more.select(*keys, "gate_action", "gate_p_one_more")
-    return own.filter("gate_action <> 'one_more_turn'").unionByName(mapped(more.select(*names(KEPT), *names(FOUND)), build, again).join(verdicts, keys))
+    verdicts = more.select(*[F.col(k).alias(f"_{k}") for k in keys], "gate_action", "gate_p_one_more")
+    told = mapped(more.select(*names(KEPT), *names(FOUND)), build, again).join(verdicts, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]))
+    return own.filter("gate_action <> 'one_more_turn'").unionByName(told.drop(*[f"_{k}" for k in keys]))
 
 
 def results(found: DataFrame) -> DataFrame:

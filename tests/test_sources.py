@@ -2,6 +2,7 @@ import json
 
 import pytest
 from problems import RAW
+from pyspark.sql import functions as F
 
 from ravelin import schemas
 from ravelin.plans import gate, live
@@ -167,6 +168,14 @@ def test_one_more_turn(spark):
     assert {r.gate_action for r in calm} == {"submit"}
 
 
+def test_variables_and_null_keys_outlast_the_first_turns(spark):
+    rows = live_rows(spark, ("gate_commit_only", "real", True), n=1).withColumn("id", F.lit(None).cast("string"))
+    first = lambda: providers.Answering(lambda m, c: calc("x = 42") if c == "required" else providers.Reply('{"final_answer": "2", "evidence_ids": [0]}'))
+    second = lambda: providers.Answering(lambda m, c: calc("x + 1") if c == "required" else providers.Reply('{"final_answer": "43", "evidence_ids": [0, 1]}'))
+    got = live.results(live.committed(live.answered(rows, first).cache(), second, gate.LinearGate([0.0] * 136, 8.0))).collect()
+    assert [(r.id, r.pred_answer, [t.output for t in r.tool_trace]) for r in got] == [(None, "43", ["42", "43"])]
+
+
 def test_stream(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
@@ -185,7 +194,6 @@ def test_stream(spark, tmp_path):
 
 
 def test_windows(spark):
-    from pyspark.sql import functions as F
 
     e = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     got = stream.windowed_counts(e, "ts", "event_type")

@@ -169,12 +169,14 @@ def lemma(word: Column) -> Column:
     )
 
 
+# The patterns of units and of what each holder has.
+COUNTED_UNIT, PER_UNIT = r"\b\d+\s+([A-Za-z]+s)\b", r"\bper\s+([A-Za-z]+)\b"
 EACH_HAS = r"\beach\s+([A-Za-z]+)\s+(?:has|having|contains)\s+\d+\s+([A-Za-z]+)s\b"
 EACH_HAS_LOOSE = r"each\s+([a-z]+)\s+(?:has|having|contains)\s+\d+\s+([a-z]+)s"
 
 
 def units(question: Column) -> Column:
-    found = F.concat(find_all(question, r"\b\d+\s+([A-Za-z]+s)\b", 1), find_all(question, EACH_HAS, 1), find_all(question, EACH_HAS, 2), find_all(question, r"\bper\s+([A-Za-z]+)\b", 1))
+    found = F.concat(find_all(question, COUNTED_UNIT, 1), find_all(question, EACH_HAS, 1), find_all(question, EACH_HAS, 2), find_all(question, PER_UNIT, 1))
     return F.array_sort(F.array_except(F.array_distinct(F.transform(found, lemma)), words([*STOP_UNITS, ""])))
 
 

@@ -192,7 +192,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encodes docs (doc_id, text) and decodes the ids: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
     A null or empty text has no tokens and the digests of nothing. Strings of special tokens are
-    ordinary text. Repeated rows and null ids give a row each; an empty table gives none.
+    ordinary text. Repeated rows and null ids give a row each; an empty table gives none. Long texts are
+    encoded whole, long words as the module says; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

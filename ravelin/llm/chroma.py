@@ -227,11 +227,13 @@ def search(prints: DataFrame, is_query) -> DataFrame:
     match: id and class_id are class representatives, that of a query's class and of another class;
     offset, votes, bit_error and n_overlap tell the best alignment of the two. Classes without
     items match nothing. Of the offsets within the limits the best has most votes; of equal ones the one nearest 0, then the least.
+    Rows of null items give none. A null id is a member like any other and no query; a class of null ids alone matches nothing. Rows that repeat an id are members each.
+    Long recordings are compared whole. An empty table gives no rows; other columns are ignored.
     """
     prints = materialise(prints, "prints")
     classes = materialise(prints.groupBy("items").agg(F.min("id").alias("class_id"), F.max(F.when(is_query(F.col("id")), 1).otherwise(0)).alias("query")), "classes")
     members = prints.join(classes.select("items", "class_id"), "items").select(F.lit("member").alias("kind"), "id", "class_id", F.size("items").cast("long").alias("n_items"))
-    some = classes.filter(F.size("items") > REACH)
+    some = classes.filter((F.size("items") > REACH) & F.col("class_id").isNotNull())
     n = some.agg(F.sum(F.size("items").cast("long")).alias("all"), F.sum(F.when(F.col("query") == 1, F.size("items").cast("long"))).alias("asked")).first()
     n_blocks, n_query_blocks = 1 + (n["all"] or 0) // BLOCK_ITEMS, 1 + (n.asked or 0) // QUERY_BLOCK_ITEMS
     # each side names its columns anew: with shared ones cogroup hands over wrong tables

@@ -205,7 +205,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     Spans are kind:start:end in code points, end exclusive, by start and then kind, comma-joined; base
-    ones of different kinds may overlap. Null and empty texts have none. Repeated rows give repeated
+    ones of different kinds may overlap. Null and empty texts have none; long texts are read whole. Repeated rows give repeated
     rows and an empty table none; other columns are ignored.
     """
     return all_spans(found(docs)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", text_of(F.col("spans")).alias("spans"))

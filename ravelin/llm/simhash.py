@@ -150,7 +150,7 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     """Per document: doc_id, fingerprint (16 lowercase hex digits), component_id.
 
     Words are runs of other than space and \\t to \\r, A-Z lower-cased; fewer words than n form one
-    shingle. Texts without words (null, empty, blank) have fingerprint 0 and link like any other.
+    shingle, and long texts are read whole. Texts without words (null, empty, blank) have fingerprint 0 and link like any other.
     component_id is the least doc_id reachable by links of at most RADIUS bits, itself included. A
     null doc_id gets the component's id, or null if it has no other. Repeated rows give repeated
     rows; an empty table gives none; other columns are ignored.

@@ -518,7 +518,7 @@ def remove_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     A byte goes if a string of `least` bytes over it also starts earlier: in a document of a smaller
     doc_id, or before in the same one. Null texts are empty; null ids come last. Rows that repeat both
     id and text are one document, each with its result; rows of one id and other texts are documents
-    in the order of a hash of the text. An empty table gives no rows; other columns are ignored.
+    in the order of a hash of the text. Long texts are read whole. An empty table gives no rows; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -46,6 +46,12 @@ def test_alignment_of_noisy_and_shifted(spark):
     members = sorted((r.id, r.class_id) for r in got if r.kind == "member")
     assert members == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 0), (5, 5), (6, 5), (6, 5), (7, 7)] and len(got) == len(rows) + 2
     assert C.search(C.fingerprints(df.limit(0), "id", "audio"), lambda i: i % 100 == 0).count() == 0
+    prints = C.fingerprints(df.filter("id < 2"), "id", "audio")
+    items = prints.filter("id = 0").select("items")
+    odd = prints.union(items.selectExpr("cast(null as long)", "items")).union(items.selectExpr("cast(null as long)", "slice(items, 20, 400)")).union(items.selectExpr("9L", "cast(null as array<int>)"))
+    found = C.search(odd.selectExpr("*", "1 AS other"), lambda i: i % 100 == 0).collect()
+    assert sorted((str(r.id), r.class_id) for r in found if r.kind == "member" and r.class_id is not None) == [("0", 0), ("1", 1), ("None", 0)]
+    assert [(r.id, r.class_id) for r in found if r.kind == "match"] == [(0, 1)] and sum(r.kind == "member" for r in found) == 4
 
 
 def test_recall_against_brute_force(spark):

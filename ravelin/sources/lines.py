@@ -119,14 +119,13 @@ class Writer(DataSourceArrowWriter):
         return fs, root, f"{root}/{STAGING}{self.job}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        """A file for the task's rows, none for no rows; nulls are written, and letters beyond ASCII stay as they are."""
+        """A file for the task's rows, none for no rows, in the folder that the driver has made; nulls are written, and letters beyond ASCII stay as they are."""
         fs, _, staging = self.staging()
         out, path = None, f"{staging}/part-{uuid.uuid4().hex}.jsonl"
         try:
             for batch in iterator:
                 if batch.num_rows and out is None:
-                    fs.create_dir(staging, recursive=True)
-                    out = fs.open_output_stream(path)
+                    out = fs.open_output_stream(path)  # a task that outlives its job finds no folder
                 for row in batch.to_pylist():
                     out.write(json.dumps(row, ensure_ascii=False, default=str).encode() + b"\n")
         finally:
@@ -177,7 +176,10 @@ class JsonLines(DataSource):
         return Reader(self.options["path"], schema, int(self.options.get("range_bytes", RANGE_BYTES)), raw)
 
     def writer(self, schema: StructType, overwrite: bool) -> Writer:
-        return Writer(self.options["path"], overwrite)
+        out = Writer(self.options["path"], overwrite)
+        fs, _, staging = out.staging()
+        fs.create_dir(staging, recursive=True)
+        return out
 
 
 def register(spark: SparkSession) -> None:

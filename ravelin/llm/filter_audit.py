@@ -115,7 +115,8 @@ def document_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
     flags = materialise(flags, "measures")
     copies = flags.groupBy(F.col("digest").alias("_digest")).agg(F.min("doc_id").alias("_least"), F.count("*").alias("_n")).filter("_n > 1")
-    flags = materialise(flags.join(copies, F.col("digest") == F.col("_digest"), "left").select("doc_id", "part", "A", "B", "C", "D", F.coalesce(F.coalesce("doc_id", F.lit((1 << 63) - 1)) > F.col("_least"), F.lit(False)).alias("E")), "copies")  # alone, so that a text of very many copies can be split
+    copies = materialise(copies, "digests")  # or the join below would stand in one stage with this sum, which cannot be split
+    flags = materialise(flags.join(copies, F.col("digest") == F.col("_digest"), "left").select("doc_id", "part", "A", "B", "C", "D", F.coalesce(F.coalesce("doc_id", F.lit((1 << 63) - 1)) > F.col("_least"), F.lit(False)).alias("E")), "copies")
     known = labels.groupBy(F.col("doc_id").alias("_id")).agg(F.bool_or(F.col("quality") == 1).alias("good"), F.bool_or(F.col("toxic") == 1).alias("toxic"))
     return flags.join(known, F.col("doc_id") == F.col("_id"), "left").select("part", *LETTERS, "good", "toxic")
 

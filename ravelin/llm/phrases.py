@@ -36,7 +36,7 @@ UNKNOWN = "und"
 STOP, MARK = b".", b"\t"
 ENDS = bytes.maketrans(b",;:!?\x0a\x0b\x0c\x0d", STOP * 9)
 #: Bytes of text of a language that a task counts at a time, and suffixes of a task of the sort.
-CHUNK_BYTES, ROWS_PER_TASK = 8 << 20, 20_000_000
+CHUNK_BYTES, ROWS_PER_TASK = 4 << 20, 20_000_000
 #: Parts that a language's best phrases are ranked in before they meet.
 RANK_PARTS = 64
 

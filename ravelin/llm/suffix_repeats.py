@@ -13,8 +13,11 @@ more whose members have more than one left neighbour is a maximal repeat, with a
 The occurrences other than the first are removed.
 
 No suffix array covers more than ARRAY_BYTES, about 200 bytes of memory each. A minimizer whose different
-pieces are more than GROUP_BYTES together, as next to a line that very many documents share, is split by a
-second key, the hash of the whole string of LEAST bytes; strings of one hash are compared by their bytes.
+pieces are more than GROUP_BYTES together, as next to a line that very many documents share, is split by the
+place of the minimizer in the string: strings that hold it within some 17 places share LEAST - 16 bytes, whose
+hash is their second key. So a piece falls into a few parts, not into a row for each string. Equal parts are told
+by their bytes, different ones of one key meet in suffix arrays; keys that are still too frequent are split
+again by 4 places and by one, which leaves single strings.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ GRAM = 32
 CHUNK, MOST_WINDOWS = 1 << 20, 1 << 9
 #: Bytes of pieces that one suffix array covers at most, and of the pieces of one minimizer that are not split.
 ARRAY_BYTES, GROUP_BYTES = 1 << 20, 1 << 18
+#: Ranges that the places of a minimizer in its strings are cut into, each time its pieces are split.
+RANGES = 4
 #: Pieces that a task holds to tell copies among them before they are shuffled.
 HELD_PIECES = 1 << 19
 
@@ -381,12 +386,15 @@ def window_hashes(data: np.ndarray, size: int) -> np.ndarray:
     return y * _ODD[5]
 
 
-WINDOW = pa.schema([("w", pa.int64()), ("uid", pa.int64()), ("piece_start", pa.int64()), ("start", pa.int64()), ("copy", pa.bool_())])
-WINDOW_SQL = "w long, uid long, piece_start long, start long, copy boolean"
+RANGE = pa.schema([("h", pa.int64()), ("uid", pa.int64()), ("start", pa.int64()), ("bytes", pa.int32()), ("copy", pa.bool_()), ("piece", pa.binary())])
+RANGE_SQL = "h long, uid long, start long, bytes int, copy boolean, piece binary"
 
 
-def _windows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """The hash of every string of `least` bytes of pieces (uid, start, piece). Those with an earlier equal string at hand, by their bytes, are copies for certain."""
+def _ranges(batches: Iterator[pa.RecordBatch], least: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Pieces (uid, start, piece) cut by the place of the minimizer in their strings, in ranges of width places.
+
+    h is the hash of what all strings of a range share. Parts with an earlier equal one at hand, by their bytes, are copies for certain and go without bytes.
+    """
     for batch in batches:
         part: list[tuple[int, int, bytes]] = []
         size = 0
@@ -394,30 +402,42 @@ def _windows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Recor
             part.append(row)
             size += len(row[2])
             if size > ARRAY_BYTES:
-                yield from _windows_of(part, least)
+                yield _ranges_of(part, least, width)
                 part, size = [], 0
         if part:
-            yield from _windows_of(part, least)
+            yield _ranges_of(part, least, width)
 
 
-def _windows_of(part: list[tuple[int, int, bytes]], least: int) -> Iterator[pa.RecordBatch]:
-    data = np.frombuffer(b"".join(x[2] for x in part), np.uint8)
+def _ranges_of(part: list[tuple[int, int, bytes]], least: int, width: int) -> pa.RecordBatch:
+    raw = b"".join(x[2] for x in part)
     n = np.array([len(x[2]) - least + 1 for x in part])
-    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    at = np.repeat(np.cumsum(n + least - 1) - (n + least - 1), n) + step
-    uid, begin = np.repeat([x[0] for x in part], n), np.repeat([x[1] for x in part], n)
-    start = begin + step
-    strings = np.lib.stride_tricks.sliding_window_view(data, least)
-    w, copy = window_hashes(data, least)[at], np.zeros(len(at), bool)
-    order = np.lexsort((start, uid, w))
-    new = np.concatenate(([True], w[order][1:] != w[order][:-1]))
-    head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]  # the first of each row's hash
-    for a in range(0, len(order), 1 << 14):
-        own, first = order[a : a + (1 << 14)], head[a : a + (1 << 14)]
-        rest = own != first
-        own, first = own[rest], first[rest]
-        copy[own] = (strings[at[own]] == strings[at[first]]).all(axis=1)
-    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w.view(np.int64), uid, begin, start, copy)], schema=WINDOW)
+    before = np.cumsum(n) - n
+    at = np.arange(n.sum()) + np.repeat((least - 1) * np.arange(len(n)), n)
+    owner = np.repeat(np.arange(len(n)), n)
+    h, cut = cores(np.frombuffer(raw, np.uint8), at, least, width), np.ones(len(at), bool)
+    if width > 1:  # strings one by one, else where what they share changes
+        cut[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    first = np.flatnonzero(cut)
+    last = np.append(first[1:], len(at)) - 1
+    of = owner[first]
+    uid, start = np.array([x[0] for x in part], np.int64)[of], np.array([x[1] for x in part], np.int64)[of] + first - before[of]
+    pieces: list[bytes | None] = [raw[a : b + least] for a, b in zip(at[first].tolist(), at[last].tolist(), strict=True)]
+    size, copy, seen = np.fromiter(map(len, pieces), np.int32, len(pieces)), np.zeros(len(pieces), bool), set()
+    for k in np.lexsort((start, uid)).tolist():
+        if pieces[k] in seen:
+            copy[k], pieces[k] = True, None
+        else:
+            seen.add(pieces[k])
+    return pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(uid), pa.array(start), pa.array(size), pa.array(copy), pa.array(pieces, pa.binary())], schema=RANGE)
+
+
+def cores(data: np.ndarray, at: np.ndarray, least: int, width: int) -> np.ndarray:
+    """Of each string of `least` bytes at `at`, the hash of the least - width + 1 bytes that it shares with the strings next to it
+    that hold their minimizer in the same range of width places; what is hashed hangs on the string's bytes alone."""
+    gram = min(GRAM, 1 << (least.bit_length() - 2))
+    grams = np.lib.stride_tricks.sliding_window_view(gram_hashes(data, gram), least - gram + 1)
+    place = np.concatenate([grams[at[a : a + (1 << 14)]].argmin(axis=1) for a in range(0, len(at), 1 << 14)])  # the first, of equal ones
+    return window_hashes(data, least - width + 1)[at + place % width]
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -465,25 +485,30 @@ def removed_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
         sliced = materialise(sliced, "slices")
     usual = sliced.join(hot, "h", "left_anti") if some_hot else sliced
     spans = copies.union(usual.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(lambda it: _arrays(it, least), SPAN_SQL))
-    return spans.union(_split_spans(materialise(sliced.join(hot, "h", "left_semi").select("uid", "start", "piece"), "split"), least)) if some_hot else spans
+    wide = least - min(GRAM, 1 << (least.bit_length() - 2)) + 1  # places of a minimizer in its strings
+    return spans.union(_split_spans(sliced.join(hot, "h", "left_semi").select("uid", "start", "piece"), least, wide)) if some_hot else spans
 
 
-def _split_spans(split: DataFrame, least: int) -> DataFrame:
-    """Removed spans from pieces (uid, start, piece) of very frequent minimizers, string by string.
+def _split_spans(split: DataFrame, least: int, places: int, level: int = 0) -> DataFrame:
+    """Removed spans from pieces (uid, start, piece) of very frequent minimizers, whose strings hold theirs in so many places that are told apart in ranges.
 
-    Hashes find the strings that may occur twice; only these are cut out of their pieces and compared by
-    their bytes. All counts have partial sums, and the joins stand alone, so very frequent strings can be split.
+    Parts of equal bytes are copies; different ones of one hash meet in suffix arrays, or are cut in finer ranges where there are too many, down to single strings.
+    All counts have partial sums, and the joins stand alone, so very frequent parts can be split.
     """
-    windows = materialise(split.mapInArrow(lambda it: _windows(it, least), WINDOW_SQL), "windows")
-    open_ones = windows.filter("not copy")
-    often = materialise(open_ones.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1").select("w"), "often")
-    asked = open_ones.join(often, "w").groupBy(F.col("uid").alias("of"), "piece_start").agg(F.collect_list(F.struct("w", F.col("start").alias("at"))).alias("asked"))
-    rows = split.join(asked, (F.col("uid") == F.col("of")) & (F.col("start") == F.col("piece_start"))).select("uid", "start", "piece", F.explode("asked").alias("x"))
-    strings = materialise(rows.select("x.w", F.substring("piece", F.col("x.at") - F.col("start") + 1, F.lit(least)).alias("string"), "uid", F.col("x.at").alias("start")), "strings")
-    first = strings.groupBy("w", "string").agg(F.min(F.struct("uid", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    first = materialise(first.select("w", "string", "first"), "firsts")
-    later = strings.join(first, ["w", "string"]).filter((F.col("uid") != F.col("first.uid")) | (F.col("start") != F.col("first.start")))
-    return windows.filter("copy").select("uid", "start").union(later.select("uid", "start")).select("uid", "start", (F.col("start") + least).alias("end"))
+    parts, width, suffix = int(split.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(1, places // RANGES), level or ""
+    ranges = materialise(split.mapInArrow(lambda it: _ranges(it, least, width), RANGE_SQL), f"windows{suffix}")
+    open_ones = ranges.filter("not copy")
+    firsts = materialise(open_ones.groupBy("h", "piece").agg(F.min(F.struct("uid", "start")).alias("first"), F.count("*").alias("n")), f"firsts{suffix}")
+    later = open_ones.join(firsts.filter("n > 1").select("h", "piece", "first"), ["h", "piece"]).filter((F.col("uid") != F.col("first.uid")) | (F.col("start") != F.col("first.start")))
+    spans = ranges.filter("copy").select("uid", "start", "bytes").union(later.select("uid", "start", "bytes")).select("uid", "start", (F.col("start") + F.col("bytes")).alias("end"))
+    if width == 1:
+        return spans
+    different = firsts.select("h", "first.uid", "first.start", "piece")
+    hot = materialise(different.groupBy("h").agg(F.sum(F.octet_length("piece")).alias("n")).filter(F.col("n") > GROUP_BYTES).select("h"), f"hot{level + 1}")
+    some_hot = not hot.isEmpty()
+    usual = different.join(hot, "h", "left_anti") if some_hot else different
+    spans = spans.union(usual.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(lambda it: _arrays(it, least), SPAN_SQL))
+    return spans.union(_split_spans(different.join(hot, "h", "left_semi").select("uid", "start", "piece"), least, width, level + 1)) if some_hot else spans
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:

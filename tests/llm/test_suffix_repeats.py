@@ -134,6 +134,37 @@ def test_many_runs_of_one_character_in_bounded_groups(spark, monkeypatch):
     assert hot and hot == {r.h for r in groups if r[1] > S.GROUP_BYTES} and not tables["windows"].isEmpty()
 
 
+@given(st.lists(st.text("abc", max_size=60).map(str.encode), min_size=1, max_size=4), st.integers(8, 20), st.sampled_from([1, 2, 4]))
+@settings(deadline=None)
+def test_ranges_cover_each_string_once(texts, least, width):
+    pieces = [(k, 7 * k, t) for k, t in enumerate(texts) if len(t) >= least]
+    rows = S._ranges_of(pieces, least, width).to_pylist() if pieces else []
+    own = lambda r: dict((k, t) for k, _, t in pieces)[r["uid"]][r["start"] - 7 * r["uid"] :][: r["bytes"]]
+    assert all(r["piece"] == (None if r["copy"] else own(r)) for r in rows)
+    of, got = {}, []
+    for r in rows:
+        for k in range(r["bytes"] - least + 1):
+            got.append((r["uid"], r["start"] + k))
+            assert of.setdefault(own(r)[k : k + least], r["h"]) == r["h"]
+    assert sorted(got) == [(k, a + x) for k, a, t in pieces for x in range(len(t) - least + 1)]
+
+
+def test_a_very_frequent_line_gives_few_rows_a_piece(spark, monkeypatch):
+    tables = {}
+    monkeypatch.setattr(S, "materialise", lambda df, name, real=S.materialise: tables.setdefault(name, real(df, name)))
+    monkeypatch.setattr(S, "GROUP_BYTES", 1 << 13)
+    r = random.Random(4)
+    line = " ".join("".join(r.choice("abcde") for _ in range(6)) for _ in range(20))
+    noise = lambda n: "".join(r.choice("klmnopqrstuvwxyz ") for _ in range(n))
+    texts = [f"{noise(150)} {line} {noise(150)}" for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {r.doc_id: tuple(r)[1:] for r in S.remove_repeats(df).collect()} == brute(list(enumerate(texts)), 100)
+    firsts = tables["pieces"].filter("not copy").join(tables["hot"], "h")
+    rows = sum(t.count() for n, t in tables.items() if n.startswith("windows"))
+    strings = firsts.selectExpr("sum(bytes - 99)").first()[0]
+    assert firsts.count() > 300 and rows < strings / 4
+
+
 def test_long_texts_in_chunks(spark, monkeypatch):
     monkeypatch.setattr(S, "CHUNK", 700)
     monkeypatch.setattr(S, "MOST_WINDOWS", 50)

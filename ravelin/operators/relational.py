@@ -61,10 +61,11 @@ def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(c).alias(names.get(c, c)) for c in df.columns])
 
 
-def binary_metrics(df: DataFrame, truth: str, pred: str) -> DataFrame:
-    """accuracy, precision, recall and f1 of 0/1 columns; each denominator is at least 1."""
-    count = lambda t, p: F.count_if((F.col(truth) == t) & (F.col(pred) == p))
-    c = df.agg(count(1, 1).alias("tp"), count(0, 1).alias("fp"), count(1, 0).alias("fn"), count(0, 0).alias("tn"))
+def binary_metrics(df: DataFrame, truth: str, pred: str, by: tuple[str, ...] = (), times: str | None = None) -> DataFrame:
+    """accuracy, precision, recall and f1 of 0/1 columns, for each by; each denominator is at least 1. times: how many rows a row stands for."""
+    of = lambda c: F.count_if(c) if times is None else F.coalesce(F.sum(F.when(c, F.col(times))), F.lit(0))
+    count = lambda t, p: of((F.col(truth) == t) & (F.col(pred) == p))
+    c = df.groupBy(*by).agg(count(1, 1).alias("tp"), count(0, 1).alias("fp"), count(1, 0).alias("fn"), count(0, 0).alias("tn"))
     ratio = lambda a, b: a / F.greatest(F.lit(1), b)
     tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
     c = c.withColumn("accuracy", ratio(tp + tn, tp + fp + fn + tn)).withColumn("precision", ratio(tp, tp + fp)).withColumn("recall", ratio(tp, tp + fn))

@@ -593,8 +593,8 @@ def trained_gate(spark, sf):
     b, c, _ = label_rows(spark, sf)
     o = t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.concat("o_orderpriority", F.lit(" then "), "o_orderstatus").alias("reasoning"))
     b = b.join(o, "id")
-    artifact = gate.train_step(b, c)
-    own = gate.with_probability(gate.with_step_features(gate._optional(gate.step_labels_paper(b, c))), artifact["model"])
+    samples = gate.step_samples(gate.step_labels_paper(b, c))
+    own = gate.with_probability(samples, gate.train(samples, "continue", "paper")["model"])
     action = gate.step_decision(F.col("p"), F.col("tool_calls"), F.lit(5), F.lit(0)).action
     return own.select("id", (F.col("label") == "continue").cast("int").alias("y"), r6(F.col("p")).alias("p"), action.alias("action"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -216,13 +217,13 @@ def water_level(load: list[int], more: int) -> float:
     return 0.0
 
 
-def balanced_folds(df: DataFrame, group: str, k: int = FOLDS, heavy: int = HEAVY_GROUPS) -> DataFrame:
-    """(group, fold): min(k, number of groups) folds of near-equal numbers of rows; null is a group.
+def balanced_folds(df: DataFrame, group: str, k: int = FOLDS, heavy: int = HEAVY_GROUPS, times: str | None = None) -> DataFrame:
+    """(group, fold): min(k, number of groups) folds of near-equal numbers of rows; null is a group. times: how many rows a row stands for.
 
     Groups are taken by size, the largest first, then by name. The first `heavy` ones go each to the fold with the fewest rows so far. The others stand in that
     order over the partitions of a range shuffle, and their running sum tells which fold's room they fall into, so a fold is off by the size of one of them at most.
     """
-    sizes = df.groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("n"))
+    sizes = df.groupBy(F.col(group).alias("_group")).agg((F.sum(times) if times else F.count("*")).alias("n"))
     spark, order = df.sparkSession, [F.desc("n"), F.asc("_group")]
     sizes = stored(sizes, "sizes")
     facts = sizes.agg(F.count("*").alias("groups"), F.sum("n").alias("rows")).first()
@@ -272,12 +273,14 @@ class LinearGate:
         return cls([float(w) for w in d["weights"]], float(d["bias"]), list(d.get("classes_", [0, 1])))
 
 
-def mean_vectors(df: DataFrame, features: str = "features", label: str = "y") -> DataFrame:
-    """(label, mean): the mean of the feature vectors of each class, by one aggregate over vectors."""
+def mean_vectors(df: DataFrame, features: str = "features", label: str = "y", by: tuple[str, ...] = (), times: str | None = None) -> DataFrame:
+    """(by, label, mean, n): the mean of the feature vectors of each class and their number, by one aggregate over vectors. times: how many rows a row stands for."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
-    return df.filter(F.col(features).isNotNull()).groupBy(label).agg(vector_to_array(Summarizer.mean(array_to_vector(F.col(features)))).alias("mean"))
+    weight = F.col(times).cast("double") if times else F.lit(1.0)
+    mean = vector_to_array(Summarizer.mean(array_to_vector(F.col(features)), weight))
+    return df.filter(F.col(features).isNotNull()).groupBy(*by, label).agg(mean.alias("mean"), F.sum(weight).alias("n"))
 
 
 def class_means(df: DataFrame, features: str = "features", label: str = "y") -> DataFrame:
@@ -285,9 +288,8 @@ def class_means(df: DataFrame, features: str = "features", label: str = "y") ->
     return mean_vectors(df, features, label).select(label, F.posexplode("mean").alias("pos", "mean"))
 
 
-def fit_linear(df: DataFrame, features: str = "features", label: str = "y") -> LinearGate:
+def between(means: dict[int, list[float]]) -> LinearGate:
     """Weights from class 0's mean to class 1's, and the bias half-way; with one class weights of 0 and a bias of 8 or -8."""
-    means = {int(r[label]): r["mean"] for r in mean_vectors(df, features, label).collect()}  # two rows
     if len(means) < 2:
         return LinearGate([0.0] * max(map(len, means.values()), default=0), 8.0 if 1 in means else -8.0)
     low, high = means[0], means[1]
@@ -295,27 +297,62 @@ def fit_linear(df: DataFrame, features: str = "features", label: str = "y") -> L
     return LinearGate(weights, -sum(w * (a + b) for w, a, b in zip(weights, low, high, strict=True)) / 2)
 
 
+def fit_linear(df: DataFrame, features: str = "features", label: str = "y") -> LinearGate:
+    """The gate between the class means of all rows."""
+    return between({int(r[label]): r["mean"] for r in mean_vectors(df, features, label).collect()})  # two rows
+
+
+def fit_linear_folds(samples: DataFrame, folds: list[int]) -> tuple[dict[int, LinearGate], LinearGate]:
+    """A linear gate without each fold, and that of all, from one pass: the means of a fold and class are weighed by its rows."""
+    parts = mean_vectors(samples, by=("fold",), times="copies").collect()  # two rows a fold
+
+    def without(fold: int | None) -> LinearGate:
+        means = {}
+        for y in {int(r.y) for r in parts if r.fold != fold}:
+            own = [r for r in parts if r.y == y and r.fold != fold]
+            n = sum(r.n for r in own)
+            means[y] = [sum(r.n * x for r, x in zip(own, xs, strict=True)) / n for xs in zip(*(r["mean"] for r in own), strict=True)]
+        return between(means)
+
+    return {f: without(f) for f in folds}, without(None)
+
+
 def _optional(df: DataFrame) -> DataFrame:
     """df with the result columns that features read and old files lack."""
     kinds = {"pred_answer": "string", "reasoning": "string", "n_chunks_seen": "int", "max_tool_calls_limit": "int", "pred_evidence_ids": "array<int>", "expression": "string"}
     return df.withColumns({c: F.lit(None).cast(k) for c, k in kinds.items() if c not in df.columns})
 
 
+def with_folds(samples: DataFrame, k: int = FOLDS) -> DataFrame:
+    """samples with the fold of their id, each counted as often as copies says."""
+    folds = balanced_folds(samples, "id", k, times="copies").withColumnRenamed("id", "_id")
+    return samples.join(folds, F.col("id").eqNullSafe(F.col("_id"))).drop("_id")
+
+
+def _samples(labelled: DataFrame, y: Column, copies: Column, featured: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Features are worked out once, after the joins, so that none is shuffled. Rows are short and their features are not, so all partitions share the work."""
+    own = stored(_optional(labelled).withColumn("y", y.cast("int")).withColumn("copies", copies), "labelled")
+    parts = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(featured(with_folds(own).repartition(parts, *[c for c in KEYS if c in own.columns])), "samples")
+
+
 def step_samples(labelled: DataFrame) -> DataFrame:
-    """Features, y (1 for continue) and group of labelled step rows, repeated by confidence."""
-    rows = with_step_features(_optional(labelled)).select("id", "label_source", "label_confidence", (F.col("label") == "continue").cast("int").alias("y"), "features")
-    return oversample(rows, repeats_of(F.col("label_confidence"), F.col("label_source")))
+    """Labelled step rows with features, y (1 for continue), copies, by confidence, and the fold of their id."""
+    return _samples(labelled, F.col("label") == "continue", repeats_of(F.col("label_confidence"), F.col("label_source")), with_step_features)
 
 
 def commit_samples(labelled: DataFrame) -> DataFrame:
-    own = with_commit_features(_optional(labelled))
-    return own.select("id", "label_source", F.lit("").alias("label_confidence"), (F.col("binary_label") == "one_more_turn").cast("int").alias("y"), "features").withColumn("copy", F.lit(1))
+    return _samples(labelled, F.col("binary_label") == "one_more_turn", F.lit(1), with_commit_features)
+
+
+def probability(model: LinearGate, x: Column) -> Column:
+    return model.probability(x) if model.weights else F.lit(float(model.bias > 0))
 
 
 def with_probability(df: DataFrame, model, features: str = "features", name: str = "p") -> DataFrame:
     """df with the probability of class 1 by a linear gate or a fitted Spark ML pipeline."""
     if isinstance(model, LinearGate):
-        return df.withColumn(name, model.probability(F.col(features)) if model.weights else F.lit(float(model.bias > 0)))
+        return df.withColumn(name, probability(model, F.col(features)))
     return model.transform(df.withColumnRenamed(features, "features") if features != "features" else df).withColumnRenamed("p", name)
 
 
@@ -330,20 +367,32 @@ def fit(df: DataFrame, family: str = "linear", seed: int = 42) -> tuple[object,
 
 
 def train(samples: DataFrame, positive: str, label_mode: str, k: int = FOLDS, family: str = "linear") -> dict:
-    """Metrics of grouped folds, whose repeated rows stay repeated, and a model of all samples. A single group has no fold to learn from, and no metrics."""
-    folds = balanced_folds(samples, "id", k).withColumnRenamed("id", "_id")
-    samples = stored(samples.join(folds, F.col("id").eqNullSafe(F.col("_id"))).drop("_id"), "samples")
-    counts = samples.agg(F.count("*").alias("n"), F.sum("y").alias("positive"), F.count_distinct("id").alias("groups")).first()
-    scores = []
-    sizes = {r.fold: r["count"] for r in samples.groupBy("fold").count().collect()}
-    for f in sorted(sizes) if len(sizes) > 1 else ():
-        model, _ = fit(samples.filter(F.col("fold") != f), family, 42 + f)
-        test = with_probability(samples.filter(F.col("fold") == f), model).withColumn("pred", (F.col("p") >= 0.5).cast("int"))
-        scores.append(binary_metrics(test, "y", "pred").first().asDict() | {"fold": f, "n_train": counts.n - sizes[f], "n_test": sizes[f]})
-    sources = {r.label_source: r["count"] for r in samples.filter("copy = 1").groupBy("label_source").count().collect()}
-    model, backend = fit(samples, family)
+    """Metrics of grouped folds, and a model of all samples; a row counts as often as copies says. A single group has no fold to learn from, and no metrics."""
+    firsts = "copy = 1" if "copy" in samples.columns else "true"  # where copies are rows of their own
+    samples = samples if "copies" in samples.columns else samples.withColumn("copies", F.lit(1))
+    samples = samples if "fold" in samples.columns else stored(with_folds(samples, k), "samples")
+    groups = samples.agg(F.count_distinct("id")).first()[0]
+    parts = samples.groupBy("fold").agg(F.sum("copies").alias("n"), F.sum(F.col("y") * F.col("copies")).alias("positive")).collect()
+    sizes, n = {r.fold: r.n for r in parts}, sum(r.n for r in parts)
+    own_folds, scores = sorted(sizes) if len(sizes) > 1 else [], []
+    if family == "linear":
+        models, model = fit_linear_folds(samples, own_folds)
+        backend = family
+        if own_folds:
+            p = F.coalesce(*[F.when(F.col("fold") == f, probability(m, F.col("features"))) for f, m in models.items()])
+            test = samples.select("fold", "y", "copies", (p >= 0.5).cast("int").alias("pred"))
+            scores = [r.asDict() for r in binary_metrics(test, "y", "pred", ("fold",), "copies").collect()]
+    else:
+        repeated = oversample(samples, F.col("copies"))
+        for f in own_folds:
+            part, _ = fit(repeated.filter(F.col("fold") != f), family, 42 + f)
+            test = with_probability(samples.filter(F.col("fold") == f), part).withColumn("pred", (F.col("p") >= 0.5).cast("int"))
+            scores.append(binary_metrics(test, "y", "pred", times="copies").first().asDict() | {"fold": f})
+        model, backend = fit(repeated, family)
+    scores = [s | {"n_train": n - sizes[s["fold"]], "n_test": sizes[s["fold"]]} for s in sorted(scores, key=lambda s: s["fold"])]
+    sources = {r.label_source: r["count"] for r in samples.filter(firsts).groupBy("label_source").count().collect()}
     width = samples.select(F.size("features").alias("n")).first()
-    return {"model": model, "backend": backend, "positive_class": positive, "feature_dim": width.n if width else 0, "feature_spec": FEATURE_SPEC, "label_mode": label_mode, "n_samples": counts.n, "n_positive": counts.positive, "n_groups": counts.groups, "label_sources": sources, "folds": scores}
+    return {"model": model, "backend": backend, "positive_class": positive, "feature_dim": width.n if width else 0, "feature_spec": FEATURE_SPEC, "label_mode": label_mode, "n_samples": n, "n_positive": sum(r.positive or 0 for r in parts) if parts else None, "n_groups": groups, "label_sources": sources, "folds": scores}
 
 
 def train_step(baseline: DataFrame, cot: DataFrame | None = None, gated: DataFrame | None = None, label_mode: str = "paper", family: str = "linear") -> dict:

@@ -102,6 +102,31 @@ def test_training_with_either_family(spark, tmp_path):
     assert alone["folds"] == [] and alone["n_groups"] == 1
 
 
+def test_copies_count_as_rows_without_being_rows(spark):
+    rows = samples(spark, 60).drop("copy").withColumn("copies", F.length("id") - 1)
+    repeated = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).drop("copies")
+    one, many = gate.train(rows, "continue", "paper", 4), gate.train(repeated, "continue", "paper", 4)
+    assert one["model"].weights == pytest.approx(many["model"].weights) and one["model"].bias == pytest.approx(many["model"].bias)
+    assert {k: v for k, v in one.items() if k != "model"} == {k: v for k, v in many.items() if k != "model"} and one["n_samples"] == 110
+    folds = {r._id: r.fold for r in gate.balanced_folds(repeated, "id", 4).withColumnRenamed("id", "_id").collect()}
+    own = rows.withColumn("fold", F.udf(folds.get, "int")("id"))
+    for f in one["folds"]:
+        by_hand = gate.fit_linear(repeated.join(own.select("id", "fold"), "id").filter(F.col("fold") != f["fold"]))
+        test = gate.with_probability(own.filter(F.col("fold") == f["fold"]), by_hand).withColumn("pred", (F.col("p") >= 0.5).cast("int"))
+        assert f["tp"] == test.filter("y = 1 and pred = 1").agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+
+
+def test_training_reads_features_in_few_passes(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("passes", "training")
+    rows = gate.stored(gate.with_folds(samples(spark, 60).drop("copy").withColumn("copies", F.lit(3))), "samples")
+    before = len(tracker.getJobIdsForGroup("passes"))
+    gate.train(rows, "continue", "paper")
+    jobs = len(tracker.getJobIdsForGroup("passes")) - before
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 14  # not some for each fold
+
+
 def test_gates_of_two_classes_on_the_command_line(spark, tmp_path):
     rows = [result(k, "TB", k % 2 == 0, 1 + k % 3, [call(str(k))]) | {"reasoning": "fine" if k % 2 == 0 else "maybe not"} for k in range(12)]
     rows += [r | {"mode": "fc_notool_cot", "answer_correct": True} for r in rows]
